@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docsieve.llm.common import read
+from docsieve.llm.decontaminate import overlaps
 from docsieve.llm.jaccard_join import jaccard_components
+from docsieve.llm.licenses import scan_licenses
+from docsieve.llm.mixing import mix_sources
+from docsieve.llm.secrets import scan_secrets
 from docsieve.llm.suffix_dedup import remove_repeats
+from docsieve.llm.token_output import token_output
+from docsieve.llm.topk import top_k
+from docsieve.llm.toxicity import toxicity
+from docsieve.llm.url_filter import judge_urls
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +59,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_top_k": op2_top_k,
+    "op3_license_scan": op3_license_scan,
+    "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_token_output": op8_token_output,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
