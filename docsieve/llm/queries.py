@@ -71,4 +71,31 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+p as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) score from v q, v c
+  where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e))
+select query_id, row_number() over (partition by query_id order by score desc, vec_id) rank, vec_id, score from p qualify rank <= 10""",
+    "op9_jaccard_join": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end s from w),
+n as (select doc_id, len(s) n from s), e as (select doc_id, unnest(s) x from s),
+p as (select a.doc_id a, b.doc_id b, count(*) k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+both_ways as (select a, b from l union all select b, a from l),
+reach as (select doc_id, doc_id c from n union select b.b, r.c from reach r join both_ways b on b.a = r.doc_id)
+select doc_id, any_value(n) n_shingles, min(c) component_id from reach join n using (doc_id) group by doc_id""",
+    "op10_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) x from (select doc_id, h, unnest(range(len(h) // 2 - 99)) i from d where len(h) >= 200)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by x order by doc_id, i) k from w) where k > 1),
+g as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) new from r),
+u as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) s from g),
+sp as (select doc_id, s, min(i) a, max(i) + 100 b from u group by 1, 2),
+k as (select doc_id, s, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) p from sp),
+t as (select doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) kept, sum(b - a) n, count(*) c from k join d using (doc_id) group by 1)
+select d.doc_id, len(h) // 2 n_bytes, cast(coalesce(t.n, 0) as bigint) n_removed, coalesce(t.c, 0) n_spans, sha256(unhex(coalesce(t.kept, h))) kept_sha256 from d left join t using (doc_id)""",
+}

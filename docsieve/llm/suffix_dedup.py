@@ -158,7 +158,7 @@ def cut_segments(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, ROWS)
 
 
-def collapse(rows: DataFrame, length: int, open_rest: bool) -> DataFrame:
+def collapse(rows: DataFrame, length: int, open_rest: bool, hot: int = HOT_SEGMENTS, per_salt: int = SALT_SEGMENTS) -> DataFrame:
     """Of equal (h, g) all but the first are repeats; where an h has other firsts too, they stay open if open_rest."""
     dealt = rows.repartition("h").sortWithinPartitions("h")
 
@@ -172,7 +172,7 @@ def collapse(rows: DataFrame, length: int, open_rest: bool) -> DataFrame:
             n = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))) if len(h) else np.zeros(0, int)
             many = np.repeat(n > 1, n)
             # g of an open segment is its salt: 0, or a shard of its own for every 256 segments of a hot minimiser.
-            salts = np.repeat(np.where(n > HOT_SEGMENTS, -(-n // SALT_SEGMENTS), 0), n)
+            salts = np.repeat(np.where(n > hot, -(-n // per_salt), 0), n)
             salt = np.where(salts > 0, 1 + (g & 0x7FFFFFFF) % np.maximum(salts, 1), 0)
             yield _rows(h[many], salt[many], key[many], a[many], b[many], True)
 
@@ -288,7 +288,7 @@ def shard_repeats(pieces: list[bytes], key: np.ndarray, a: np.ndarray, length: i
     return text, pos, k, s, run, late
 
 
-def compare(opened: DataFrame, length: int) -> DataFrame:
+def compare(opened: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Repeats among the windows of open segments (h, salt, key, a, piece); firsts of salted ones come out open."""
     dealt = opened.repartition("h", "salt").sortWithinPartitions("h", "salt")
 
@@ -339,7 +339,7 @@ def compare(opened: DataFrame, length: int) -> DataFrame:
             h, salt, key, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             pieces = batch.column(4).to_pylist()
             for i in range(len(pieces)):
-                if size >= SHARD_BYTES:
+                if size >= shard_bytes:
                     cols = [np.array(x) for x in list(zip(*held, strict=True))[:4]]
                     out, carry = shard(*cols, [x[4] for x in held], carry, held[-1][:2] != (h[i], salt[i]))
                     yield from out
@@ -390,29 +390,30 @@ def number_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, out.dropDuplicates(["key"])
 
 
-def repeated_spans(keyed: DataFrame, length: int = 100) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT_SEGMENTS, per_salt: int = SALT_SEGMENTS) -> DataFrame:
     """(key, a, b): byte spans, possibly overlapping, that together are the bytes covered by a repeated window."""
     cut = materialise(cut_segments(keyed, length), "cut").where("open is not true")
-    first = materialise(collapse(cut.where("open is null"), length, True), "collapsed")
+    first = materialise(collapse(cut.where("open is null"), length, True, hot, per_salt), "collapsed")
     opened = fetch(keyed, first.where("open"), length)
-    second = materialise(compare(opened, length), "compared")
+    second = materialise(compare(opened, length, shard_bytes), "compared")
     third = collapse(second.where("open"), length, False)
     done = [x.where(~F.col("open")).select("key", "a", "b") for x in (cut, first, second, third)]
     return done[0].union(done[1]).union(done[2]).union(done[3])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, **sizes: int) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, spans (array of a, b), kept (binary), kept_sha256.
 
     Texts are UTF-8 bytes, null ones empty. A byte is removed if a string of `length` bytes that covers it also
     starts earlier: in a smaller doc_id, or earlier in the same document. Strings may overlap and are judged on the
     input. spans are the maximal removed runs. Texts shorter than `length` keep all bytes. Equal rows count as one
     document and each gets its result; different texts of one id follow in a fixed order, a null id comes first.
-    Other columns are ignored; an empty table gives an empty one.
+    Other columns are ignored; an empty table gives an empty one. sizes (shard_bytes, hot,
+    per_salt) only shift work between shards.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed, once = number_rows(docs)
-    found = repeated_spans(once, length).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    found = repeated_spans(once, length, **sizes).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, kept binary, kept_sha256 string"
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"]
     kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary(), pa.string()]
