@@ -98,5 +98,5 @@ def contrast(a: Column, b: Column) -> Column:
 
 def plain_date(date: Column, precision: Column) -> Column:
     """An ISO date by its precision: 9 year, 10 month, 11 day; null if it is no date."""
-    day = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.left(date, F.lit(10)), "^[+]", ""), "-00", "-01"), F.lit("yyyy-MM-dd"))
+    day = F.try_to_timestamp(F.regexp_replace(F.left(F.regexp_replace(date, "^[+]", ""), F.lit(10)), "-00", "-01"), F.lit("yyyy-MM-dd"))
     return F.when(precision == 9, F.date_format(day, "yyyy")).when(precision == 10, F.date_format(day, "MMMM yyyy")).when(precision == 11, F.date_format(day, "d MMMM yyyy"))

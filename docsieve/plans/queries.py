@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsieve.functions import grounding as G
 from docsieve.functions import text as T
 from docsieve.functions.markup import html_text
 from docsieve.operators import selection as S
 from docsieve.operators import similarity as M
 from docsieve.operators import state as K
+from docsieve.operators.screening import screen
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -420,5 +422,33 @@ def record_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", key.alias("key"), F.left("s_name", F.lit(12)).alias("short"))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation but the first as a caption of the turn before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("caption"), F.lag("text").over(w).alias("source")).where("source is not null")
+
+
+@query(rf"""
+with t as (select conv_id, turn, text caption, lag(text) over (partition by conv_id order by turn) source from conversations),
+w as (select *, {WORDS.format("caption")} cw, {WORDS.format("source")} sw from t where source is not null),
+r as (select conv_id, turn, case when len(cw) = 0 then 'empty' when regexp_matches(caption, '(?i)https?://|www\.') then 'link' when regexp_matches(caption, '(^|\s)![a-z]') then 'command'
+  when regexp_matches(caption, '(^|\s)@\w') then 'mention' when list_contains({list(G.PRONOUNS)}, cw[1]) then 'pronoun'
+  when source <> '' and len(list_filter(cw, lambda w: regexp_full_match(w, '[0-9]+') and not list_contains(sw, w))) > 0 then 'number'
+  when source <> '' and len(list_filter(regexp_extract_all(caption, '[^.!?\s]\s+(\p{{Lu}}\p{{L}}+)', 1), lambda n: not list_contains(sw, lower(n)))) > 0 then 'name'
+  when source <> '' and list_has_any(sw, {list(G.HEDGES)}) and not list_has_any(cw, {list(G.HEDGES)}) then 'hedge'
+  when length(caption) > 160 then 'long' else 'kept' end reason from w)
+select reason, count(*) n, min(conv_id * 100 + turn) first_one from r group by 1""")
+def screen_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.coalesce(G.screen_reason(F.col("caption"), F.col("source")), F.lit("kept")).alias("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.min(F.col("conv_id") * 100 + F.col("turn")).alias("first_one"))
+
+
+@query()
+def screened_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every conversation as captions of its text, with near-duplicates resolved in order."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences_of(F.col("text"))).alias("k", "caption"), F.col("text").alias("source"))
+    return screen(turns.withColumn("pos", F.col("turn") * 10000 + F.col("k")), "conv_id", "pos")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_standard_stats(spark, sf_dir)

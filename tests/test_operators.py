@@ -1,0 +1,126 @@
+"""Folds, screening, markup, sources and streams against plain Python or by hand."""
+
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from docsieve.functions import grounding as G
+from docsieve.functions import text as T
+from docsieve.functions.markup import plain
+from docsieve.operators import selection as S
+from docsieve.operators import state as K
+from docsieve.operators.screening import screen
+from docsieve.sources import readers, stores
+from docsieve.streaming import keyed
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    rng = random.Random(1)
+    rows = [(i, f"k{i % 3}", pd.Timestamp(2024, 1, 1) + pd.Timedelta(seconds=rng.randint(0, 20_000)), rng.random()) for i in range(400)]
+    return rows, spark.createDataFrame(pd.DataFrame(rows, columns=["id", "key", "at", "value"]))
+
+
+def ordered(rows, key):
+    return sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+
+
+def test_hysteresis_and_anchor(readings):
+    rows, df = readings
+    busy = {r.key: (r.busy, r.turns) for r in K.hysteresis(df, "key", "at", "id", "value", 0.9, 0.6, 3).collect()}
+    plays = {r.key: r.plays for r in K.anchored_counts(df, "key", "at", 600, "id").collect()}
+    for key in busy:
+        now, quiet, turns, anchor, n = False, 0, 0, None, 0
+        for _, _, at, v in ordered(rows, key):
+            quiet = quiet + 1 if now and v < 0.6 else 0
+            new = True if v >= 0.9 else False if quiet >= 3 else now
+            turns, now = turns + (new != now), new
+            quiet = quiet if now else 0
+            if anchor is None or (at - anchor).total_seconds() >= 600:
+                anchor, n = at, n + 1
+        assert busy[key] == (now, turns) and plays[key] == n
+
+
+def test_pace_levels(readings):
+    rows, df = readings
+    seconds = lambda v: None if v > 0.93 else v * 100
+    got = {r.key: (r.level, r.changes) for r in K.pace_levels(df.withColumn("s", F.when(F.col("value") <= 0.93, F.col("value") * 100)), "key", "at", "id", "s").collect()}
+    for key in got:
+        level, seen, changes = "full", [], 0
+        for *_, v in ordered(rows, key):
+            s = seconds(v)
+            seen = [*seen, s][-3:]
+            if s is None:
+                new = "quick"
+            elif level == "quick" and s <= 60:
+                new = "short"
+            elif level == "short" and len(seen) == 3 and all(x <= 30 for x in seen):
+                new = "full"
+            elif level == "full" and len(seen) >= 2 and sum(seen) / len(seen) > 60:
+                new = "short"
+            else:
+                new = level
+            if new != level or s is None:
+                seen = []
+            changes, level = changes + (new != level), new
+        assert got[key] == (level, changes)
+
+
+def test_packing_rotation_and_budget(spark):
+    rows = [("a", i, "x" * n, k) for i, (n, k) in enumerate([(3, "p"), (4, "p"), (2, "q"), (9, "plain"), (1, "p"), (5, "q")])]
+    df = spark.createDataFrame(rows, "g string, pos long, t string, kind string")
+    lines = K.packed_lines(df, "g", "pos", "t", 8).first().lines
+    assert [len(x) for x in lines] == [8, 2, 9, 7]
+    assert K.rotated(df, "g", "pos", "kind", "pos").first()["items"] == [0, 2, 1, 3, 4, 5]
+    assert sorted(r.pos for r in S.within_budget(df, "g", ["pos"], F.length("t"), 8).collect()) == [0, 1]
+    assert sorted(r.pos for r in stores.share_within(df.withColumn("n", F.length("t")), "g", ["pos"], "n", 10).collect()) == [0, 1, 2, 4]
+
+
+def test_screening(spark):
+    source = "Ada Lovelace wrote the first program in 1843 for a machine of brass"
+    texts = ["Ada wrote 9 programs", "He wrote a program", "see https://x.y", "Ada met Grace there", "program machine brass zebra", "program machine brass first", "program machine brass first", "x" * 170]
+    df = spark.createDataFrame([(1, i, t, source) for i, t in enumerate(texts)], "b long, pos long, caption string, source string")
+    got = [r.reason for r in screen(df, "b", "pos").orderBy("pos").collect()]
+    assert got == ["number", "pronoun", "link", "name", "replaced", None, "duplicate", "long"]
+    quote = spark.createDataFrame([('she said "the first machine of brass"', source), ('"a machine of brass" it was', source)], "c string, s string")
+    assert [r[0] for r in quote.select(G.altered_quote(F.col("c"), F.col("s"))).collect()] == [True, False]
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("  - Café  \x07 Noir ", "Café")], "t string, u string")
+    got = df.select(T.clean_request(F.col("t")), T.without_markers(F.col("t")), T.fold_case("u"), F.round(T.contrast(T.luminance(*map(F.lit, (255, 255, 255))), T.luminance(*map(F.lit, (0, 0, 0)))), 6)).first()
+    assert tuple(got) == ("- Café Noir", "Café  \x07 Noir", "cafe", 21.0)
+    dates = spark.createDataFrame([("+1999-03-07T00:00:00Z", 11), ("+1999-03-00T00:00:00Z", 10), ("+1999-00-00T00:00:00Z", 9), ("nonsense", 11)], "d string, p int")
+    assert [r[0] for r in dates.select(T.plain_date(F.col("d"), F.col("p"))).collect()] == ["7 March 1999", "March 1999", "1999", None]
+
+
+def test_html():
+    page = "<html><head><title>no</title></head><body><h1>A &amp; B</h1><nav><nav>x</nav>y</nav><h2>Life</h2><p>One<br>two<script>if (a<b) c</script></p><p>unclosed <b"
+    assert plain(page).split("\n")[:4] == ["A & B", "== Life ==", "One", "two"] and plain(None) == "" and "x" not in plain(page)
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbf\n Some Band - A Song \n")
+    assert readers.now_playing(spark, str(tmp_path)).first().song.asDict() == {"artist": "Some Band", "title": "A Song"}
+    (tmp_path / "a.txt").write_bytes("﻿Just a title".encode("utf-16-le"))
+    assert readers.now_playing(spark, str(tmp_path)).first().song.asDict() == {"artist": None, "title": "Just a title"}
+    (tmp_path / "pack.json").write_text('{"lines": ["[rock] one", "two", "two"]}')
+    assert sorted(tuple(r) for r in readers.topics(spark, str(tmp_path / "pack.json")).na.fill("").collect()) == [("", "two"), ("rock", "one")]
+    (tmp_path / "e.jsonl").write_text('{"key": "k", "at": "2024-01-01T00:00:00"}\nbroken\n{"key": "k"}\n')
+    assert readers.events(spark, str(tmp_path / "e.jsonl")).count() == 1
+
+
+def test_streams(spark, readings, tmp_path):
+    rows, df = readings
+    df.select("key", "at", "value").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("key string, at timestamp, value double").option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
+    for name, out, mode in (("plays", keyed.anchored_plays(stream(), 600), "update"), ("spells", keyed.busy_spells(stream(), 0.9, 0.6, 3), "append"), ("windows", keyed.counts_by_window(stream(), "key"), "complete")):
+        q = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+    plays = {r.key: r.plays for r in K.anchored_counts(df, "key", "at", 600, "id").collect()}
+    assert {r.key: r.plays for r in spark.sql("select key, max(plays) plays from plays group by key").collect()} == plays
+    turns = {r.key: r.turns for r in K.hysteresis(df, "key", "at", "id", "value", 0.9, 0.6, 3).collect()}
+    assert {r.key: r.n for r in spark.sql("select key, count(*) n from spells group by key").collect()} == turns
+    assert spark.sql("select sum(n) from windows").first()[0] == len(rows)
