@@ -74,8 +74,8 @@ def band_keys(shingled: Column, size: Column, count: Column) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per document and template found: doc_id, license, contained (shared shingles), template_shingles, word.
 
-    Texts are lower-cased runs of a-z and 0-9. A template is found if a window of its length holds at least 80 % of its
-    shingles; word is the first word of the best such window, the earliest if several are best. Templates of fewer than
+    Texts are lower-cased runs of a-z and 0-9. A template is found if a window of its length, with a step to either side, holds at least
+    80 % of its shingles; word is the first word of the best such window, the earliest if several are best. Templates of fewer than
     five words are refused. Null and empty texts hold none; equal rows of docs count once. Other columns are ignored;
     an empty table gives an empty one.
     """
@@ -103,10 +103,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     last = F.greatest(F.col("n") - size, F.lit(0))
     whole = lambda x: F.floor(x / step).cast("int")
     near = F.transform("at", lambda p: F.transform(F.sequence(whole(F.greatest(p - size + 1, F.lit(0))), whole(p)), lambda s: F.least(s * step, last)))
-    window = some.select("doc_id", "words", "size", "bands", F.explode(F.array_distinct(F.flatten(near))).alias("start"))
-    window = window.select("doc_id", "size", "bands", "start", F.slice("words", F.col("start") + 1, size).alias("w")).where(F.size("w") >= WORDS)
-    window = window.select("doc_id", "size", "bands", "start", shingles(F.col("w")).alias("held"))
-    keyed = window.select("doc_id", "start", "held", F.explode(band_keys(F.col("held"), size, F.col("bands"))).alias("band"))
+    window = some.select("doc_id", "words", "size", "step", "bands", F.explode(F.array_distinct(F.flatten(near))).alias("start"))
+    # Containment is counted a step beyond both ends, so that no shingle is lost to where windows happen to begin.
+    wider = F.slice("words", F.greatest(F.col("start") - step, F.lit(0)) + 1, size + 2 * step)
+    window = window.select("doc_id", "size", "bands", "start", F.slice("words", F.col("start") + 1, size).alias("w"), wider.alias("wider")).where(F.size("w") >= WORDS)
+    keyed = window.select("doc_id", "start", shingles(F.col("wider")).alias("held"), F.explode(band_keys(shingles(F.col("w")), size, F.col("bands"))).alias("band"))
     # The templates are a fixed list of this module or of the caller's, a few rows each.
     met = keyed.join(F.broadcast(known), "band")
     met = met.select("doc_id", "start", "license", F.size(F.array_intersect("own", "held")).alias("contained"), F.size(F.array_distinct("own")).alias("template_shingles"))

@@ -29,12 +29,16 @@ def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", F.transform("embedding", whole).alias("v"))
 
 
+def bounded(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether all inner products, and all their parts, are exact in double precision."""
+    return not one.size or not two.size or float(np.abs(one.astype(float)).max()) * float(np.abs(two.astype(float)).max()) * one.shape[1] < 2**52
+
+
 def products(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of long integers, as int64; those beyond its range are held at its ends."""
     if not one.size or not two.size:
         return np.zeros((len(one), len(two)), np.int64)
-    top = float(np.abs(one.astype(float)).max()) * float(np.abs(two.astype(float)).max()) * one.shape[1]
-    if top < 2**52:
+    if bounded(one, two):
         return (one.astype(float) @ two.astype(float).T).astype(np.int64)
     exact = one.astype(object) @ two.astype(object).T
     return np.clip(exact, LONG.min, LONG.max).astype(np.int64)
@@ -66,9 +70,7 @@ def _batches(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[tu
                 q_ids, q = queries.by[int(n)]
                 cut = np.linspace(0, int(n), min(LISTS, max(1, int(n))) + 1).astype(int)
                 parts = [products(q[:, a:b], x[:, a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                score = parts[0].copy()
-                for p in parts[1:]:
-                    score += p
+                score = np.sum(parts, axis=0) if bounded(q, x) else products(q, x)
                 yield q_ids, ids, score, parts
 
 
@@ -100,7 +102,7 @@ def _sufficient(base: DataFrame, queries: Queries) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q_ids, ids, score, parts in _batches(batches, held.value):
             cutoff = np.array([held.value.cutoff.get(int(q), LONG.min) for q in q_ids], np.int64)
-            share = -(-cutoff // len(parts))  # the least whole number from cutoff / lists on
+            share = cutoff // len(parts) + (cutoff % len(parts) > 0)  # the least whole number from cutoff / lists on
             some = np.zeros(score.shape, bool)
             for p in parts:
                 some |= p >= share[:, None]
