@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from docsieve.llm.common import U, materialise, mix, segment_sums, shingle_sets, signed
 from docsieve.llm.components import components
 
-SKETCH_BITS = 512
+SKETCH_BITS, SKETCH_DOUBLINGS = 512, 7
 BAND = 1.5
 ALL_PAIRS = 32
 HUBS = 4
 BLOCK = 256
+FILTER_BITS = 1 << 22
 #: The sample of sets that marks common shingles, the share of it that makes one common, and the most of them sent out.
 SAMPLE_SETS, COMMON_SHARE, COMMON_MOST = 4096, 0.01, 1 << 18
 
@@ -98,11 +99,20 @@ def fingerprints(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def sketches(h: np.ndarray, cut: np.ndarray) -> list[bytes]:
-    """Parities of the numbers of elements in 512 cells: the bits in which two sketches differ never exceed the distance."""
-    n = len(cut) - 1
-    cell = np.repeat(np.arange(n) * SKETCH_BITS, np.diff(cut)) + (mix(h + U(99)) & U(SKETCH_BITS - 1)).astype(np.int64)
-    odd = np.bincount(cell, minlength=n * SKETCH_BITS).reshape(n, SKETCH_BITS) & 1
-    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
+    """Parities of the numbers of elements in cells, 512 or about as many as elements: the bits in which two sketches
+    differ never exceed the distance. A sketch folds to one of half the cells by exclusive or of its halves."""
+    size = np.diff(cut)
+    bits = SKETCH_BITS << np.clip(np.ceil(np.log2(np.maximum(size, 1) / SKETCH_BITS)), 0, SKETCH_DOUBLINGS).astype(np.int64)
+    begin = np.append(0, np.cumsum(bits))
+    cell = np.repeat(begin[:-1], size) + (mix(h + U(99)) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(cell, minlength=begin[-1]) & 1).astype(np.uint8))
+    return [packed[i // 8 : j // 8].tobytes() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def fold(column: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length, folded to `size` bytes, as rows of 64-bit words."""
+    whole = np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1, size // 8)
+    return np.bitwise_xor.reduce(whole, axis=1)
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
@@ -217,10 +227,6 @@ def near(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b:
     return fits & (differ <= max_distance(size_a + size_b, percent))
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
-
-
 def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those that sizes and sketches leave possible, with the classes' representatives."""
     one = classes.select(F.col("fp").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("rep").alias("ra"))
@@ -229,17 +235,43 @@ def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             na, nb = (x.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            ok = near(na, nb, _words(x.column("sa")), _words(x.column("sb")), percent)
+            sa, sb = (np.array(x.column(c).to_pylist(), object) for c in ("sa", "sb"))
+            la, lb = (np.fromiter(map(len, s), np.int64, len(s)) for s in (sa, sb))
+            ok = np.zeros(len(na), bool)
+            for i, j in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+                at = np.flatnonzero((la == i) & (lb == j))
+                ok[at] = near(na[at], nb[at], fold(list(sa[at]), min(i, j)), fold(list(sb[at]), min(i, j)), percent)
             yield x.select(["a", "b", "ra", "rb"]).filter(pa.array(ok))
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, ra long, rb long")
 
 
+def only(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """docs (doc_id, text) without most rows whose id is not needed, before they are exchanged.
+
+    The filter is a bitmap of 2**22 hashed ids, whatever the number of ids: made by aggregation, half a megabyte.
+    """
+    place = needed.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    held = np.zeros(FILTER_BITS // 64, np.int64)
+    for x in words.collect():
+        held[x.w] = x.bits
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy(zero_copy_only=False)
+            ok = (sent.value[p >> 6] >> (p & 63)) & 1
+            yield batch.select([0, 1]).filter(pa.array(ok.astype(bool)))
+
+    return docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, text string")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """(u, v): the representatives of pairs whose shingle sets reach the threshold, counted exactly."""
     needed = pairs.select(F.col("ra").alias("doc_id")).union(pairs.select(F.col("rb").alias("doc_id"))).distinct()
     # One row of an id is enough: equal ids of a class stand for one text, and fp was checked to name that text's set.
-    texts = materialise(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), "texts")
+    texts = materialise(only(docs.select("doc_id", "text"), needed).join(needed, "doc_id", "left_semi"), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -280,7 +312,9 @@ def residue(members: DataFrame, classes: DataFrame, labels: DataFrame, percent:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         fp, n, label, own = (t.column(c).to_numpy() for c in ("fp", "n_shingles", "label", "own"))
-        sketch = _words(t.column("sketch").combine_chunks())
+        held = t.column("sketch").to_pylist()
+        least = min(map(len, held))
+        sketch = np.concatenate([fold([x], least) for x in held])
         i, j = key[1].as_py(), key[2].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
