@@ -179,21 +179,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     white space within a run of taken words stays. n_chars is the number of characters of the new text.
     """
     names = docs.columns
-    marked = docs.withColumn("mix_size", word_count()).withColumn("mix_tie", F.xxhash64("text"))
     taken, _ = mix_sources(docs, **options)
     taken = taken.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_n"), "pieces")
-    # Equal rows of one id are told apart by number, so that each meets one share of the mix.
-    twin = Window.partitionBy("doc_id", "source", "mix_size").orderBy("mix_tie")
-    other = Window.partitionBy("mix_id", "mix_source", "mix_n").orderBy("pieces")
-    marked = marked.withColumn("mix_nth", F.row_number().over(twin))
-    taken = taken.withColumn("mix_k", F.row_number().over(other))
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("mix_id"))
-        & F.col("source").eqNullSafe(F.col("mix_source"))
-        & (F.col("mix_size") == F.col("mix_n"))
-        & (F.col("mix_nth") == F.col("mix_k"))
-    )
-    held = marked.join(taken, same)
+    n, ids, known = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.count("doc_id")).first()
+    if n == ids == known:
+        held = docs.join(taken.select("mix_id", "pieces"), F.col("doc_id") == F.col("mix_id"))
+    else:  # rows of one id are told apart by number, so that each meets one share of the mix
+        marked = docs.withColumn("mix_size", word_count()).withColumn("mix_tie", F.xxhash64("text"))
+        twin = Window.partitionBy("doc_id", "source", "mix_size").orderBy("mix_tie")
+        other = Window.partitionBy("mix_id", "mix_source", "mix_n").orderBy("pieces")
+        marked = marked.withColumn("mix_nth", F.row_number().over(twin))
+        taken = taken.withColumn("mix_k", F.row_number().over(other))
+        same = (
+            F.col("doc_id").eqNullSafe(F.col("mix_id"))
+            & F.col("source").eqNullSafe(F.col("mix_source"))
+            & (F.col("mix_size") == F.col("mix_n"))
+            & (F.col("mix_nth") == F.col("mix_k"))
+        )
+        held = marked.join(taken, same)
 
     @F.pandas_udf("string")
     def cut(text, pieces):  # noqa: ANN001, ANN202
