@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
 
 def plain(rows):
