@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import grounding as G
 from docsieve.functions import text as T
+from docsieve.functions import titles as N
 from docsieve.functions.markup import html_text
+from docsieve.operators import sections as X
 from docsieve.operators import selection as S
 from docsieve.operators import similarity as M
 from docsieve.operators import state as K
@@ -450,5 +452,38 @@ def screened_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen(turns.withColumn("pos", F.col("turn") * 10000 + F.col("k")), "conv_id", "pos")
 
 
+@query(rf"""
+with d as (select doc_id, left({SENTENCES.format("text")}[1], 60) t from documents)
+select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '(\s*[(\[][^()\[\]]*[)\]])+\s*$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) key,
+  list_min(list_transform(regexp_extract_all(t, '(?:^|[^0-9])([12][0-9]{{3}})(?:$|[^0-9])', 1), lambda y: y::int)) "year" from d where t is not null""")
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.left(F.get(T.sentences_of(F.col("text")), F.lit(0)), F.lit(60))
+    rows = table(spark, sf_dir, "documents").select("doc_id", title.alias("t")).where("t is not null")
+    return rows.select("doc_id", N.title_key(F.col("t")).alias("key"), N.earliest_year(F.col("t")).alias("year"))
+
+
+@query(r"""
+with d as (select doc_id, string_split(text, chr(10)) ls from documents), l as (select doc_id, unnest(ls) s, unnest(range(len(ls))) i from d),
+h as (select doc_id, i, length(split_part(s, ' ', 1)) % 5 + 2 lev from l where length(s) % 3 = 0),
+e as (select a.doc_id, a.i, a.lev, coalesce((select min(b.i) from h b where b.doc_id = a.doc_id and b.i > a.i and b.lev <= a.lev), (select len(ls) from d where d.doc_id = a.doc_id)) t from h a)
+select doc_id, i "from", t "to", lev "level" from e""")
+def nested_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of sections, over documents of which every line with a length divisible by three is made a heading."""
+    marks = F.transform(
+        F.split("text", "\n"),
+        lambda s: F.when(F.length(s) % 3 == 0, F.concat(F.repeat(F.lit("="), F.length(F.split_part(s, F.lit(" "), F.lit(1))) % 5 + 2), F.lit(" x "), F.lit("=="))).otherwise("-"),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(marks, "\n").alias("t"))
+    return X.section_table(docs, "doc_id", "t").select("doc_id", "from", "to", "level")
+
+
+@query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages with the characters under each heading, the page's own lines under a null one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("t"))
+    rows = X.last_heading(X.line_table(pages, "page_id", "t"), "page_id")
+    return rows.groupBy("page_id", "under").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_standard_stats(spark, sf_dir)

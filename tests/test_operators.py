@@ -124,3 +124,25 @@ def test_streams(spark, readings, tmp_path):
     turns = {r.key: r.turns for r in K.hysteresis(df, "key", "at", "id", "value", 0.9, 0.6, 3).collect()}
     assert {r.key: r.n for r in spark.sql("select key, count(*) n from spells group by key").collect()} == turns
     assert spark.sql("select sum(n) from windows").first()[0] == len(rows)
+
+
+def test_titles(spark):
+    from docsieve.functions import titles as N
+
+    df = spark.createDataFrame([("Sóng (Live) [Remastered 2009]", "Game: Theme", "Part II", "part 2", "JRR Tolkien")], "a string, b string, c string, d string, e string")
+    w = lambda c: T.words_of(F.col(c))
+    got = df.select(
+        N.title_key(F.col("a")), N.without_version(F.col("a")), N.two_parts(F.col("b")), N.numerals_differ(w("c"), w("d")), N.is_initials(F.lit("J.T."), w("e")),
+        N.initials_clash(F.array(F.lit("j"), F.lit("smith")), F.array(F.lit("karl"), F.lit("smith"))), N.mentions(F.col("b"), F.array(F.lit("theme"))), N.mentions(F.col("b"), F.array(F.lit("them"))), N.earliest_year(F.lit("in 2001, 1999 and 12345")),
+    ).first()
+    assert [x.asDict() if hasattr(x, "asDict") else x for x in got] == ["song", "Sóng", {"whole": "Game", "part": "Theme"}, True, True, True, True, False, 1999]
+
+
+def test_sections(spark):
+    from docsieve.operators import sections as X
+
+    text = "Title\n== A ==\na1\n=== B ===\nb1\n== C ==\nc1"
+    df = spark.createDataFrame([(1, text), (2, "plain")], "k long, t string")
+    assert [tuple(r)[1:] for r in X.section_table(df, "k", "t").orderBy("from").collect()] == [("A", 2, 1, 5), ("B", 3, 3, 5), ("C", 2, 5, 7)]
+    assert {r.k: (r.text, r.sections) for r in X.without_sections(df, "k", "t", "^A$").collect()} == {1: ("Title\n== C ==\nc1", 1), 2: ("plain", 0)}
+    assert [(r.pos, r.under) for r in X.last_heading(X.line_table(df, "k", "t"), "k").where("k = 1").orderBy("pos").collect()] == [(0, None), (2, "A"), (4, "B"), (6, "C")]
