@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SONG = "title string, artist string, song_id long, video_id string"
-EVENT = f"key string, at timestamp, kind string, song struct<{SONG.replace(' ', ':').replace(',:', ',')}>"
+EVENT = "key string, at timestamp, kind string, song struct<title:string,artist:string,song_id:long,video_id:string>"
 FORMATS = ("artist-title", "title-artist", "title")
 
 

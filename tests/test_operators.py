@@ -146,3 +146,15 @@ def test_sections(spark):
     assert [tuple(r)[1:] for r in X.section_table(df, "k", "t").orderBy("from").collect()] == [("A", 2, 1, 5), ("B", 3, 3, 5), ("C", 2, 5, 7)]
     assert {r.k: (r.text, r.sections) for r in X.without_sections(df, "k", "t", "^A$").collect()} == {1: ("Title\n== C ==\nc1", 1), 2: ("plain", 0)}
     assert [(r.pos, r.under) for r in X.last_heading(X.line_table(df, "k", "t"), "k").where("k = 1").orderBy("pos").collect()] == [(0, None), (2, "A"), (4, "B"), (6, "C")]
+
+
+def test_boxes(spark):
+    from docsieve.functions import boxes as B
+
+    markup = "x <!-- {{Infobox no}} -->{{Infobox song\n| name = ''A''<ref name=a>n</ref>\n| released = {{start date|1999|3}}\n| writer = [[P Q|Pat]], Sam\n| genre = {{hlist|[[Rock music|Rock]]|Pop}}\n| empty =\n}} tail"
+    df = spark.createDataFrame([(1, markup), (2, "{{Infobox song | a = b"), (3, None)], "k long, m string").withColumn("b", B.box_of("m"))
+    rows = {r.k: r for r in df.select("k", "b", B.facts_of(F.col("b")).alias("f")).collect()}
+    assert rows[1].b.kind == "song" and rows[1].b.fields == {"name": "A", "released": "1999\n3", "writer": "Pat, Sam", "genre": "Rock\nPop"}
+    assert rows[1].f == ["It came out in 1999, 3.", "Its genre is given as Rock, Pop.", "It was written by Pat, Sam."] and rows[2].b.kind is None and rows[3].b.kind is None
+    said = df.where("k = 1").select(B.said_elsewhere(B.items_of(F.col("b")["fields"], "writer"), F.array(F.lit("by Pat"), F.lit("with sam")))).first()[0]
+    assert said is True
