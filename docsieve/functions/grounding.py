@@ -74,3 +74,64 @@ def source_reason(caption: Column, source: Column) -> Column:
 def screen_reason(caption: Column, source: Column) -> Column:
     """Reasons in their order: the caption's own, those against the source, then its length."""
     return F.coalesce(caption_reason(caption), source_reason(caption, source), F.when(F.length(caption) > LONGEST, "long"))
+
+
+#: Word lists of the wider checks (fixed values).
+MONTHS = ("january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december")
+CONNECTIVES = ("because", "therefore", "thus", "although", "despite", "before", "after", "instead")
+EXCEPTIONS = ("except", "unless", "excluding", "apart")
+RELATIONS = ("brother", "daughter", "father", "husband", "mother", "sister", "son", "wife")
+LIMITS = ("only", "almost", "nearly", "partly", "mainly", "sometimes", "initially", "originally")
+ROLES = ("composed", "directed", "performed", "produced", "published", "recorded", "wrote")
+AWARDS = ("awarded", "nominated", "won", "prize", "award")
+
+
+def introduced(caption: Column, source: Column, words: tuple[str, ...]) -> Column:
+    """Whether the caption has a word of the list that the source lacks."""
+    return F.size(F.array_except(F.array_intersect(words_of(caption), array(words)), words_of(source))) > 0
+
+
+def lost(caption: Column, sentence: Column, words: tuple[str, ...]) -> Column:
+    """Whether the sentence has a word of the list and the caption has none."""
+    return F.arrays_overlap(words_of(sentence), array(words)) & ~F.arrays_overlap(words_of(caption), array(words))
+
+
+def years_of(text: Column) -> Column:
+    return F.filter(words_of(text), lambda w: w.rlike("^[12][0-9]{3}$"))
+
+
+def misplaced_year(caption: Column, retold: Column, source: Column) -> Column:
+    """A year of the caption that the source has, but not in any of the retold sentences (an array)."""
+    near = F.flatten(F.transform(retold, lambda s: years_of(s)))
+    return F.size(F.array_except(F.array_intersect(years_of(caption), years_of(source)), near)) > 0
+
+
+def dropped_year(caption: Column, sentence: Column) -> Column:
+    """A month of the sentence kept while its year is gone."""
+    both = F.array_intersect(F.array_intersect(words_of(caption), words_of(sentence)), array(MONTHS))
+    return (F.size(both) > 0) & (F.size(years_of(sentence)) > 0) & (F.size(years_of(caption)) == 0)
+
+
+def turned_round(caption: Column, sentence: Column) -> Column:
+    """"a by b" where the sentence has "b by a"."""
+    pair = lambda t: (F.regexp_extract(F.lower(t), r"(\w+) by (\w+)", 1), F.regexp_extract(F.lower(t), r"(\w+) by (\w+)", 2))
+    (a, b), (c, d) = pair(caption), pair(sentence)
+    return (a != "") & (a == d) & (b == c) & (a != b)
+
+
+def wider_reason(caption: Column, source: Column, retold: Column) -> Column:
+    """The first reason of the wider checks; retold is the array of sentences that the caption retells."""
+    best = F.coalesce(F.get(retold, F.lit(0)), F.lit(""))
+    checks = (
+        ("turned", turned_round(caption, best)),
+        ("month", introduced(caption, source, MONTHS)),
+        ("year", misplaced_year(caption, retold, source)),
+        ("dropped-year", dropped_year(caption, best)),
+        ("connective", introduced(caption, source, CONNECTIVES)),
+        ("exception", introduced(caption, source, EXCEPTIONS)),
+        ("relation", introduced(caption, source, RELATIONS)),
+        ("role", introduced(caption, source, ROLES)),
+        ("award", introduced(caption, source, AWARDS)),
+        ("limit", lost(caption, best, LIMITS)),
+    )
+    return F.coalesce(*[F.when(check, label) for label, check in checks])

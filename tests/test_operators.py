@@ -158,3 +158,22 @@ def test_boxes(spark):
     assert rows[1].f == ["It came out in 1999, 3.", "Its genre is given as Rock, Pop.", "It was written by Pat, Sam."] and rows[2].b.kind is None and rows[3].b.kind is None
     said = df.where("k = 1").select(B.said_elsewhere(B.items_of(F.col("b")["fields"], "writer"), F.array(F.lit("by Pat"), F.lit("with sam")))).first()[0]
     assert said is True
+
+
+def test_wider_checks(spark):
+    source = "The album by Ada came out in March 1999. It was only partly recorded in 2001 and written by Sam."
+    cases = {"Ada by album": "turned", "It came out in June": "month", "The album of 2001": "year", "It came out in March": "dropped-year", "because of Ada": "connective", "all except Ada": "exception", "Ada and sister": "relation", "Ada produced it": "role", "Ada won": "award", "The album": None}
+    rows = [(c, source, source.split(". ")[:1]) for c in cases]
+    df = spark.createDataFrame(rows, "c string, s string, r array<string>")
+    assert {r.c: r.w for r in df.select("c", G.wider_reason(F.col("c"), F.col("s"), F.col("r")).alias("w")).collect()} == cases
+    lost = spark.createDataFrame([("It was recorded in 2001", source, [source.split(". ")[1]])], "c string, s string, r array<string>")
+    assert lost.select(G.wider_reason(F.col("c"), F.col("s"), F.col("r"))).first()[0] == "limit"
+
+
+def test_uploads(spark):
+    from docsieve.functions import uploads as V
+
+    cases = [("Ada - Engine (Official Video)", "AdaVEVO", ("Ada", "Engine", True)), ("Engine - Ada", "Ada - Topic", ("Ada", "Engine", True)), ('Sam sings "Brass" live', "x", ("Sam sings", "Brass", False)), ("Engine [4K] | Lyrics HD", "Some Band Official", ("Some Band", "Engine", True)), ("A – B", "c", ("A", "B", False))]
+    df = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, t string, c string")
+    assert [tuple(r.p) for r in df.select("i", V.upload_parts(F.col("t"), F.col("c")).alias("p")).orderBy("i").collect()] == [w for *_, w in cases]
+    assert df.select(V.is_not_music(F.lit("My Podcast 3"))).first()[0] is True
