@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import PLACE, U, mix, signed, slices, text_bytes, word_hashes, words
+from docsieve.llm.common import PLACE, U, mix, released, signed, slices, text_bytes, word_hashes, words
 
 #: Positions that each mask keeps (fixed values).
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4), (0, 2, 3, 5, 7))
@@ -149,7 +149,7 @@ def _sent(docs: DataFrame, items: Items) -> DataFrame:
                             best[row, item] = max(best.get((row, item), got), got)
                     yield _batch([(ids[k + i + r], items.ids[n], g, -a, b, s, len(items.words[n])) for (r, n), (g, a, b, s) in sorted(best.items())])
 
-    return docs.select("doc_id", "text").mapInArrow(run, OVERLAPS)
+    return docs.select("doc_id", "text").mapInArrow(released(run), OVERLAPS)
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -175,11 +175,11 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text", F.lit(1)))
     items = items.withColumn("key", F.xxhash64("item_id", "item", F.lit(2)))
-    left = docs.select("key", "text").mapInArrow(sow, "h long, key long, pos long")
-    right = items.select("key", "item").mapInArrow(sow, "h long, key long, pos long").select("h", F.col("key").alias("other"), F.col("pos").alias("q"))
+    left = docs.select("key", "text").mapInArrow(released(sow), "h long, key long, pos long")
+    right = items.select("key", "item").mapInArrow(released(sow), "h long, key long, pos long").select("h", F.col("key").alias("other"), F.col("pos").alias("q"))
     met = left.join(right, "h").select("key", "other", (F.col("pos") - F.col("q")).alias("diagonal")).distinct()
     met = met.join(items.select(F.col("key").alias("other"), "item_id", "item"), "other").join(docs, "key")
-    found = met.select("doc_id", "item_id", "diagonal", "text", "item").mapInArrow(compare, OVERLAPS)
+    found = met.select("doc_id", "item_id", "diagonal", "text", "item").mapInArrow(released(compare), OVERLAPS)
     order = F.struct("agree", (-F.col("doc_start")).alias("a"), "doc_end", "item_start")
     best = found.groupBy("doc_id", "item_id", "item_tokens").agg(F.max(order).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.agree").alias("agree"), (-F.col("m.a")).alias("doc_start"), "m.doc_end", "m.item_start", "item_tokens")

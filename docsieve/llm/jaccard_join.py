@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import U, materialise, mix, segment_sums, shingle_sets, signed
+from docsieve.llm.common import U, materialise, mix, released, segment_sums, shingle_sets, signed
 from docsieve.llm.components import components
 
 SKETCH_BITS, SKETCH_DOUBLINGS = 512, 7
@@ -126,7 +126,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "fp", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, fp long, sketch binary")
 
 
 def common_shingles(docs: DataFrame, info: DataFrame, k: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def common_shingles(docs: DataFrame, info: DataFrame, k: int) -> np.ndarray:
                 got, count = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(got)), pa.array(count)], ["h", "n"])
 
-    count = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    count = some.mapInArrow(released(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = count.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").collect()
     return np.sort(np.array([x.h for x in rows], np.int64).view(np.uint64))
 
@@ -166,7 +166,7 @@ def sign(docs: DataFrame, common: np.ndarray, percent: int, k: int) -> DataFrame
                 keep = new[of]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.array(signed(fp[of[keep]]))], ["sig", "fp"])
 
-    return docs.select("text").mapInArrow(run, "sig long, fp long")
+    return docs.select("text").mapInArrow(released(run), "sig long, fp long")
 
 
 def pair_up(signed_sets: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def pair_up(signed_sets: DataFrame) -> DataFrame:
         if len(sig):
             yield from groups(sig, fp)
 
-    return dealt.mapInArrow(run, "a long, b long, sig long")
+    return dealt.mapInArrow(released(run), "a long, b long, sig long")
 
 
 def near(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, percent: int) -> np.ndarray:
@@ -243,7 +243,7 @@ def screen(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 ok[at] = near(na[at], nb[at], fold(list(sa[at]), min(i, j)), fold(list(sb[at]), min(i, j)), percent)
             yield x.select(["a", "b", "ra", "rb"]).filter(pa.array(ok))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, ra long, rb long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(released(run), "a long, b long, ra long, rb long")
 
 
 def only(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -264,14 +264,14 @@ def only(docs: DataFrame, needed: DataFrame) -> DataFrame:
             ok = (sent.value[p >> 6] >> (p & 63)) & 1
             yield batch.select([0, 1]).filter(pa.array(ok.astype(bool)))
 
-    return docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, text string")
+    return docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(released(run), "doc_id long, text string")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """(u, v): the representatives of pairs whose shingle sets reach the threshold, counted exactly."""
     needed = pairs.select(F.col("ra").alias("doc_id")).union(pairs.select(F.col("rb").alias("doc_id"))).distinct()
     # One row of an id is enough: equal ids of a class stand for one text, and fp was checked to name that text's set.
-    texts = materialise(only(docs.select("doc_id", "text"), needed).join(needed, "doc_id", "left_semi"), "texts")
+    texts = materialise(only(docs.select("doc_id", "text"), needed).join(needed, "doc_id", "left_semi"), "texts", 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -286,7 +286,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame
     left = pairs.select(F.col("ra").alias("u"), F.col("rb").alias("v"))
     joined = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tb")), "v")
     joined = joined.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("ta")), "u")
-    return joined.select("u", "v", "ta", "tb").mapInArrow(run, "u long, v long").distinct()
+    return joined.select("u", "v", "ta", "tb").mapInArrow(released(run), "u long, v long").distinct()
 
 
 def residue(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -339,18 +339,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFr
     no link and have a null component_id. Other columns are ignored. An empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
-    info = materialise(describe(docs, k), "shingles")
+    info = materialise(describe(docs, k), "shingles", 2048)
     live = info.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    found = materialise(pair_up(sign(docs.where("doc_id is not null"), common_shingles(docs, info, k), percent, k)), "pairs")
+    found = materialise(pair_up(sign(docs.where("doc_id is not null"), common_shingles(docs, info, k), percent, k)), "pairs", 8192)
     pairs = screen(found.where("a is not null").select("a", "b").distinct(), classes, percent)
-    links = materialise(verify(materialise(pairs, "screened"), docs, percent, k), "links")
+    links = materialise(verify(materialise(pairs, "screened", 2048), docs, percent, k), "links", 256)
     members = found.where("sig is not null").select(F.col("b").alias("fp"), "sig")
     if not members.isEmpty():
         rest = materialise(residue(members, classes, components(links), percent), "residue")
-        more = verify(materialise(screen(rest, classes, percent), "screened"), docs, percent, k)
-        links = links.union(materialise(more, "links"))
+        more = verify(materialise(screen(rest, classes, percent), "screened", 2048), docs, percent, k)
+        links = links.union(materialise(more, "links", 256))
     # Rows of one doc_id with different texts are one node of the graph.
     same = live.select("doc_id", "fp").join(classes.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     label = components(links.union(same))

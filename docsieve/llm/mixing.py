@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import U, materialise, mix, text_bytes, words
+from docsieve.llm.common import U, materialise, mix, released, text_bytes, words
 
 BLOCK_WORDS, SHARD_SLOTS, STRIPES, GRID = 64, 4096, 512, 4096
 WEIGHTS = (5, 2, 1)
@@ -151,7 +151,7 @@ def mix_sources(docs: DataFrame, percent: int = 150, most: int = 2, weights: tup
             yield pa.RecordBatch.from_arrays([*x.select(["shard", "slot", "sid"]).columns, pa.array(permuted(nth % n, n, key))], ["shard", "slot", "sid", "block"])
 
     slots = slots.join(targets.select("sid", "blocks"), "sid").select("shard", "slot", "sid", "nth", "blocks")
-    slots = materialise(slots.mapInArrow(index, "shard long, slot long, sid int, block long"), "slots")
+    slots = materialise(slots.mapInArrow(released(index), "shard long, slot long, sid int, block long"), "slots")
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     told = targets.select(F.col("source").alias("s2"), "sid", "source_size", "target")
     held = placed.join(told, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import BASE, BYTE_VALUE, U, materialise, mix, powers, signed, slices, text_bytes
+from docsieve.llm.common import BASE, BYTE_VALUE, U, materialise, mix, powers, released, signed, slices, text_bytes
 
 GRAM = 20
 CHUNK = 1 << 20
@@ -155,7 +155,7 @@ def cut_segments(docs: DataFrame, length: int) -> DataFrame:
                 yield _rows(h[x], g[x], key[x], a[x], b[x], None)
             yield _rows(None, None, *spans_of(key[two], a[two], b[two] + length - 1), False)
 
-    return docs.select("key", "text").mapInArrow(run, ROWS)
+    return docs.select("key", "text").mapInArrow(released(run), ROWS)
 
 
 def collapse(rows: DataFrame, length: int, open_rest: bool, hot: int = HOT_SEGMENTS, per_salt: int = SALT_SEGMENTS) -> DataFrame:
@@ -187,7 +187,7 @@ def collapse(rows: DataFrame, length: int, open_rest: bool, hot: int = HOT_SEGME
         if len(held[0]):
             yield from groups(*held)
 
-    return dealt.select("h", "g", "key", "a", "b").mapInArrow(run, ROWS)
+    return dealt.select("h", "g", "key", "a", "b").mapInArrow(released(run), ROWS)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -351,7 +351,7 @@ def compare(opened: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> D
             out, carry = shard(*cols, [x[4] for x in held], carry, True)
             yield from out
 
-    return dealt.select("h", "salt", "key", "a", "piece").mapInArrow(run, ROWS)
+    return dealt.select("h", "salt", "key", "a", "piece").mapInArrow(released(run), ROWS)
 
 
 def fetch(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
@@ -370,7 +370,7 @@ def fetch(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
                 cols = [pa.array(list(x), pa.int64()) for x in zip(*rows[i : i + (1 << 14)], strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pieces[i : i + (1 << 14)], pa.binary())], ["h", "salt", "key", "a", "piece"])
 
-    return docs.select("key", "text").join(lists, "key").mapInArrow(run, "h long, salt long, key long, a long, piece binary")
+    return docs.select("key", "text").join(lists, "key").mapInArrow(released(run), "h long, salt long, key long, a long, piece binary")
 
 
 def number_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -435,4 +435,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, **sizes: int) -> DataFram
                 cols = zip(*rows[i : i + 2048], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return keyed.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(run, schema)
+    return keyed.join(found, "key", "left").select("doc_id", "text", "found").mapInArrow(released(run), schema)

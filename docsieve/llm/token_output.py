@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import materialise, shared_dir
+from docsieve.llm.common import materialise, released, shared_dir
 from docsieve.llm.rans import BLOCK_IDS, Table, crc32_combine, decode, encode
 from docsieve.llm.tokens import encoder
 
@@ -33,7 +33,7 @@ def tokenise(docs: DataFrame, vocabulary: str, end: int = 0) -> DataFrame:
                 held = pa.array([raw[a * w : b * w] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), held], ["doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n long, ids binary")
 
 
 def count_ids(tokens: DataFrame, width: int, size: int) -> np.ndarray:
@@ -51,7 +51,7 @@ def count_ids(tokens: DataFrame, width: int, size: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(released(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, np.int64)
     for x in rows:
         out[x.id] = x.n
@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> N
             yield frame(np.concatenate(parts), docs_, sizes, 0, 1)
 
     dealt = tokens.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    dealt.select("doc_id", "ids").mapInArrow(run, FRAMES).write.option("compression", "none").parquet(f"{path}/frames")
+    dealt.select("doc_id", "ids").mapInArrow(released(run), FRAMES).write.option("compression", "none").parquet(f"{path}/frames")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +141,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 cols = [[x["part"]] * n, [x["block"]] * n, range(n), [x["piece"]] * n, [x["pieces"]] * n, x["doc_ids"], ends - sizes + x["first"], sizes, crc]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], schema.replace(" long", "").split(", "))
 
-    read = frames.join(index, ["part", "block"]).select("part", "block", "first", "piece", "pieces", "doc_ids", "sizes", "frame").mapInArrow(run, schema)
+    read = frames.join(index, ["part", "block"]).select("part", "block", "first", "piece", "pieces", "doc_ids", "sizes", "frame").mapInArrow(released(run), schema)
     keep = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     @F.pandas_udf("long")

@@ -2,7 +2,7 @@
 
 The vocabulary's pre-tokenizer cuts a text into pieces that are then encoded on their own. The same cuts are made
 here over arrays of code points, so that a piece that the worker has met before costs a table lookup only. Texts
-that hold an added token's string go through the library whole.
+that hold an added token's string, or are too long for the table, go through the library whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from docsieve.llm.common import U, mix, powers
 
 LETTER, NUMBER, SPACE_ = 1, 2, 3
-CACHE_SLOTS, CACHE_MOST, TEXT_CHARS = 1 << 22, 3 << 19, 1 << 20
+CACHE_SLOTS, CACHE_MOST, TEXT_CHARS = 1 << 21, 3 << 18, 1 << 19
 #: Unicode's White_Space property (fixed values).
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
@@ -66,7 +66,7 @@ def pretoken_starts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """One vocabulary with the ids of the pieces met so far (at most about 1.5 million, then it starts afresh)."""
+    """One vocabulary with the ids of the pieces met so far (at most about 800,000, then it starts afresh)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,8 +80,8 @@ class Encoder:
     def clear(self) -> None:
         self.key = np.zeros(CACHE_SLOTS, np.uint64)
         self.entry = np.zeros(CACHE_SLOTS, np.int32)
-        self.off = np.zeros(0, np.int64)
-        self.len = np.zeros(0, np.int64)
+        self.off = np.zeros(0, np.int32)
+        self.len = np.zeros(0, np.int32)
         self.ids = np.zeros(0, self.kind)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -102,8 +102,8 @@ class Encoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), self.kind, int(size.sum()))
         first = len(self.off)
-        self.off = np.append(self.off, len(self.ids) + np.cumsum(size) - size)
-        self.len = np.append(self.len, size)
+        self.off = np.append(self.off, (len(self.ids) + np.cumsum(size) - size).astype(np.int32))
+        self.len = np.append(self.len, size.astype(np.int32))
         self.ids = np.append(self.ids, flat)
         entry = np.arange(first, first + len(h), dtype=np.int32)
         slot = (h & U(CACHE_SLOTS - 1)).astype(np.int64)
@@ -136,7 +136,7 @@ class Encoder:
         return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(counts)))
 
     def _encode(self, texts: Sequence[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i: self.tokenizer.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts) if any(a in x for a in self.added)}
+        whole = {i: self.tokenizer.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts) if len(x) > CACHE_MOST or any(a in x for a in self.added)}
         texts = ["" if i in whole else x for i, x in enumerate(texts)]
         joined = "".join(texts)
         at = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
@@ -155,10 +155,9 @@ class Encoder:
                 if len(self.off) + len(got) > CACHE_MOST and len(self.off):
                     self.clear()
                     return self._encode([x if i not in whole else "" for i, x in enumerate(texts)], end) if not whole else self._splice(*self._encode(texts, end), whole, end)
-                # At most a text's worth of pieces is added at a time; a text has fewer than CACHE_SLOTS of them.
                 self.add(got, [joined[starts[k] : ends[k]] for k in new[first]])
                 entry[new] = self.find(h[new])
-            size = self.len[entry]
+            size = self.len[entry].astype(np.int64)
             total = int(size.sum())
             ids = self.ids[np.repeat(self.off[entry] - (np.cumsum(size) - size), size) + np.arange(total)]
             upto = np.append(0, np.cumsum(size))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import materialise
+from docsieve.llm.common import materialise, released
 
 LISTS, BLOCK_QUERIES, ROWS = 2, 2048, 2048
 LONG = np.iinfo(np.int64)
@@ -92,7 +92,7 @@ def _leaders(base: DataFrame, queries: Queries, k: int) -> DataFrame:
         for q, s in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q)), pa.array(s)], ["query_id", "score"])
 
-    return base.mapInArrow(run, "query_id long, score long")
+    return base.mapInArrow(released(run), "query_id long, score long")
 
 
 def _sufficient(base: DataFrame, queries: Queries) -> DataFrame:
@@ -111,7 +111,7 @@ def _sufficient(base: DataFrame, queries: Queries) -> DataFrame:
             ok = whole >= cutoff[i]
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[i][ok]), pa.array(ids[j][ok]), pa.array(whole[ok])], ["query_id", "vec_id", "score"])
 
-    return base.mapInArrow(run, "query_id long, vec_id long, score long")
+    return base.mapInArrow(released(run), "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, block: int = BLOCK_QUERIES) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import materialise
+from docsieve.llm.common import materialise, released
 
 #: The most labelled documents that are learnt from, terms in the machine, and length of a term's vector.
 SAMPLE, TERMS, FACTORS = 12_000, 768, 8
@@ -34,7 +34,7 @@ def term_set(text: str | None) -> set[int]:
         if h is None:
             forms = [w] if len(w) <= BEGINNING else [w, w[:BEGINNING] + "*"]
             h = tuple(zlib.crc32(x.encode()) & (BUCKETS - 1) for x in forms)
-            if len(_known) < 1 << 18:
+            if len(_known) < 1 << 16:
                 _known[w] = h
         out.update(h)
     return out
@@ -59,18 +59,15 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(line, -40, 40)))
 
 
-def fit(rows: list[list[int]], label: np.ndarray, terms: np.ndarray, factors: int = FACTORS, rounds: int = 150, decay: float = 1e-3) -> Machine:
-    """By Adam on the mean logistic loss with decay of weights and vectors; rows hold places in terms."""
-    n, m = len(rows), len(terms)
+def fit(x: np.ndarray, label: np.ndarray, terms: np.ndarray, factors: int = FACTORS, rounds: int = 150, decay: float = 1e-3) -> Machine:
+    """By Adam on the mean logistic loss with decay of weights and vectors; x has 1 where a document has a term."""
+    n, m = x.shape
     rate = (label.sum() + 0.5) / (n + 1)
     bias = float(np.log(rate / (1 - rate)))
     rng = np.random.default_rng(11)
     weight, vector = np.zeros(m), rng.normal(0, 0.05, (m, factors))
     if n == 0 or m == 0 or label.min() == label.max():
         return Machine(bias, terms, weight, vector)
-    x = np.zeros((n, m), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
     params = [np.array([bias]), weight, vector]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
@@ -109,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
             sets = [sorted(term_set(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    rows = materialise(texts.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, terms array<int>"), "labelled")
+    rows = materialise(texts.select("doc_id", "text", "toxic").mapInArrow(released(run), "doc_id long, toxic int, terms array<int>"), "labelled")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     each = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
     # Chi-square of the two-by-two table of term and label.
@@ -118,8 +115,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     top = each.where("n >= 3").withColumn("chi", chi).where("chi >= 12").orderBy(F.desc("chi"), "term").limit(terms).select("term")
     chosen = np.array(sorted(x.term for x in top.collect()), np.int64)
     kept = rows.select("doc_id", "toxic", F.array_intersect("terms", F.lit(chosen.tolist()) if len(chosen) else F.array().cast("array<int>")).alias("terms"))
-    got = sorted((x.doc_id, x.toxic, sorted(x.terms)) for x in kept.collect())
-    return fit([np.searchsorted(chosen, x[2]) for x in got], np.array([x[1] for x in got], float), chosen)
+    got = kept.toArrow().combine_chunks().sort_by("doc_id").combine_chunks()
+    held = got.column("terms").combine_chunks()
+    row = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+    x = np.zeros((len(held), len(chosen)), np.float32)
+    x[row, np.searchsorted(chosen, held.flatten().to_numpy(zero_copy_only=False))] = 1
+    return fit(x, got.column("toxic").to_numpy().astype(float), chosen)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
@@ -132,7 +133,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = 0.3) ->
             score = machine.score(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(released(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:

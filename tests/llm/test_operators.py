@@ -300,7 +300,7 @@ def test_machine_learns_pairs():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 6)) < 0.4
     rows, y = [np.flatnonzero(r).tolist() for r in x], (x[:, 0] & x[:, 1]).astype(float)
-    score = toxicity.fit(rows, y, np.arange(6)).score(rows)
+    score = toxicity.fit(x.astype(np.float32), y, np.arange(6)).score(rows)
     assert ((score >= 0.5) == (y == 1)).mean() > 0.99
 
 
