@@ -43,13 +43,26 @@ SENTENCES = r"list_filter(list_transform(regexp_split_to_array(coalesce({0}, '')
 
 
 @query(f"""
-with t as (select doc_id, list_sort({TOKENS.format("text")}) tokens from documents),
-s as (select min(doc_id) id, tokens, len(tokens) n from t where len(tokens) > 0 group by tokens),
-e as (select id, n, unnest(tokens) token from s),
-p as (select x.id a, y.id b, count(*) "both", min(x.n) na, min(y.n) nb from e x join e y on x.token = y.token and x.id < y.id group by 1, 2)
-select a, b, "both", na, nb from p where 2 * "both" >= na + nb - "both" or 10 * "both" >= 7 * least(na, nb)""")
+with t as (select conv_id, turn, list_sort({TOKENS.format("text")}) tokens from conversations),
+s as (select conv_id, min(turn) id, tokens, len(tokens) n from t where len(tokens) > 0 group by conv_id, tokens),
+e as (select conv_id, id, n, unnest(tokens) token from s),
+p as (select x.conv_id, x.id a, y.id b, count(*) "both", min(x.n) na, min(y.n) nb from e x join e y on x.conv_id = y.conv_id and x.token = y.token and x.id < y.id group by 1, 2, 3)
+select conv_id, a, b, "both", na, nb from p where 2 * "both" >= na + nb - "both" or 10 * "both" >= 7 * least(na, nb)""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.near_duplicate_pairs(table(spark, sf_dir, "documents"))
+    """Near-duplicate turns of one conversation, the batch in which statements are compared."""
+    return M.near_duplicate_pairs(table(spark, sf_dir, "conversations").withColumnRenamed("turn", "doc_id"), "conv_id")
+
+
+@query(f"""
+with t as (select source, n_chars // 400 k, doc_id, list_sort({TOKENS.format("text")}) tokens from documents),
+s as (select source || ':' || k g, min(doc_id) id, tokens, len(tokens) n from t where len(tokens) > 0 group by source || ':' || k, tokens),
+e as (select g, id, n, unnest(tokens) token from s),
+p as (select x.g, x.id a, y.id b, count(*) "both", min(x.n) na, min(y.n) nb from e x join e y on x.g = y.g and x.token = y.token and x.id < y.id group by 1, 2, 3)
+select g, a, b, "both", na, nb from p where 2 * "both" >= na + nb - "both" or 10 * "both" >= 7 * least(na, nb)""")
+def near_dup_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents, in batches of one source and about one length."""
+    docs = table(spark, sf_dir, "documents").withColumn("g", F.concat_ws(":", "source", F.floor(F.col("n_chars") / 400)))
+    return M.near_duplicate_pairs(docs, "g")
 
 
 def _captions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
