@@ -4,8 +4,8 @@ Windows of a template's length begin at every eighth of it; a window that lies b
 template's shingles has at least a Jaccard similarity of `least_jaccard`, and the number of bands is the least for
 which such a window meets the template with a probability of 99 %. DataFrame functions only.
 
-A window that holds 80 % of a template's shingles holds one of them whole, and with it that shingle's longest word, its
-anchor. So texts without an anchor, and windows without one, are left out; no match is lost by it.
+A window that holds 80 % of a template's shingles holds one of them whole, and with it that shingle's longest word that
+is not too common, its anchor. So texts without an anchor, and windows without one, are left out; no match is lost by it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS, ROWS, SURE, CONTAINED = 5, 2, 0.99, 80
+#: Words too common to be anchors where a shingle has another (fixed values).
+COMMON = ("and", "any", "are", "the", "this", "that", "under", "with", "work", "you")
 #: Notices to look for (fixed values).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -57,7 +59,7 @@ def bands(size: int) -> int:
 
 def anchors(template: str) -> set[str]:
     words = plain_words(template)
-    return {max(words[i : i + WORDS], key=lambda w: (len(w), w)) for i in range(len(words) - WORDS + 1)}
+    return {max(words[i : i + WORDS], key=lambda w: (w not in COMMON, len(w), w)) for i in range(len(words) - WORDS + 1)}
 
 
 def shingles(words: Column) -> Column:
@@ -89,8 +91,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     known = spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.license", "t.size", "t.bands", shingles(F.split("t.line", " ")).alias("own"))
     known = known.select("license", "own", F.explode(band_keys(F.col("own"), F.col("size"), F.col("bands"))).alias("band"))
 
-    # The pattern is a filter by plain words, found anywhere, also within longer ones: those are told apart below.
-    some = docs.select("doc_id", "text").where(F.lower("text").rlike("|".join(map(re.escape, marks))))
+    anchor = f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, marks))})(?![a-z0-9])"
+    some = docs.select("doc_id", "text").where(F.lower("text").rlike(anchor))
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
     some = some.select("doc_id", words.alias("words")).where(F.size("words") >= WORDS)
     at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull())
