@@ -65,6 +65,17 @@ def near_dup_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.near_duplicate_pairs(docs, "g")
 
 
+@query(f"""
+with t as (select doc_id, list_sort({TOKENS.format("text")}) tokens from documents),
+s as (select min(doc_id) id, tokens, len(tokens) n from t where len(tokens) > 0 group by tokens),
+e as (select id, n, unnest(tokens) token from s),
+p as (select x.id a, y.id b, count(*) "both", min(x.n) na, min(y.n) nb from e x join e y on x.token = y.token and x.id < y.id group by 1, 2)
+select a, b, "both", na, nb from p where 2 * "both" >= na + nb - "both" or 10 * "both" >= 7 * least(na, nb)""")
+def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all documents, with no batches."""
+    return M.near_duplicate_documents(table(spark, sf_dir, "documents"))
+
+
 def _captions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The first sentence of each document as a caption of it, and the documents as sources."""
     docs = table(spark, sf_dir, "documents")

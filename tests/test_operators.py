@@ -10,6 +10,7 @@ from docsieve.functions import grounding as G
 from docsieve.functions import text as T
 from docsieve.functions.markup import plain
 from docsieve.operators import selection as S
+from docsieve.operators import similarity as M
 from docsieve.operators import state as K
 from docsieve.operators.screening import screen
 from docsieve.sources import readers, stores
@@ -177,3 +178,26 @@ def test_uploads(spark):
     df = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, t string, c string")
     assert [tuple(r.p) for r in df.select("i", V.upload_parts(F.col("t"), F.col("c")).alias("p")).orderBy("i").collect()] == [w for *_, w in cases]
     assert df.select(V.is_not_music(F.lit("My Podcast 3"))).first()[0] is True
+
+
+def test_near_duplicates_of_all_documents(spark, monkeypatch):
+    """Across sources, on two sides of a multiple of 400 characters, and a short text within a long one."""
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(120)]
+    texts = [rng.sample(vocabulary, rng.randint(1, 60)) for _ in range(60)]
+    texts += [x[: len(x) * 3 // 4] + ["other"] for x in texts[:15]] + [texts[20][:4], vocabulary[:100], vocabulary[10:20], vocabulary[10:20], ["other"], []]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)] + [(500, None)], "doc_id long, text string")
+    sets = {}
+    for i, x in enumerate(texts):
+        sets.setdefault(frozenset(x), i)
+    held = sorted((i, x) for x, i in sets.items() if x)
+    want = []
+    for k, (i, x) in enumerate(held):
+        for j, y in held[k + 1 :]:
+            both = len(x & y)
+            if 2 * both >= len(x | y) or 10 * both >= 7 * min(len(x), len(y)):
+                want.append((i, j, both, len(x), len(y)))
+    assert len(want) > 50
+    for hot in (4096, 3):
+        monkeypatch.setattr(M, "HOT", hot)
+        assert sorted(tuple(r) for r in M.near_duplicate_documents(docs).collect()) == want
