@@ -70,19 +70,29 @@ def short_seeds(word: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def best_stretch(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(tokens that agree, first place in doc, end) of the stretch along doc position - item position = diagonal that
-    scores most, 1 for a token that agrees and -4 for another: at least 4 of 5 agree in it."""
+    """(tokens that agree, first place in doc, end) of a stretch along doc position - item position = diagonal in which
+    at least 4 of 5 agree: the one that scores most, 1 for a token that agrees and -4 for another, if enough agree in
+    it, else the one in which most agree. Of equals, the first."""
     a, b = max(0, diagonal), min(len(doc), diagonal + len(item))
     same = doc[a:b] == item[a - diagonal : b - diagonal]
     total = np.append(0, np.cumsum(np.where(same, 1, -4)))
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.argmin(total[: end + 1]))
-    return int(same[start:end].sum()), a + start, a + end
+    if not enough(agree := int(same[start:end].sum()), len(item)):
+        # The longest stretch up to each end whose score is not below zero begins where the lowest score so far first is that low.
+        agreed = np.append(0, np.cumsum(same))
+        begin = np.searchsorted(-low, -total, "left")
+        end = int(np.argmax(agreed - agreed[begin]))
+        start = int(begin[end])
+        agree = int(agreed[end] - agreed[start])
+        start += int(np.argmax(same[start:end])) if agree else 0
+    return agree, a + start, a + end
 
 
 def enough(agree: int, item_size: int) -> bool:
-    return agree >= min(MIN_TOKENS, item_size)
+    """At least 10 tokens, 9 for an item of 10 or 11 (the masks miss some stretches of fewer); all of a shorter item."""
+    return agree >= (MIN_TOKENS - (item_size * MIN_SHARE <= MIN_TOKENS - 1) if item_size >= MIN_TOKENS else item_size)
 
 
 class Items:
@@ -188,8 +198,9 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, send_most: int = SEND_MOST) -> DataFrame:
     """Per document and test item that overlap: doc_id, item_id, agree, doc_start, doc_end, item_start, item_tokens.
 
-    The row tells of the best stretch: at least 10 tokens that agree, four of five of the stretch; for items of 5 to 9
-    tokens all of the item, in a row. Shorter items, and null or empty texts on either side, overlap with nothing.
+    There is a row if in a stretch at least 10 tokens agree (9 for items of 10 or 11), four of five of the stretch;
+    for items of 5 to 9 tokens all of the item, in a row. It tells of the stretch that scores most (see best_stretch),
+    or of the one in which most agree if that has too few. Shorter items, and null or empty texts on either side, overlap with nothing.
     Places count tokens. Ties go to the stretch that begins first. Equal rows of docs give equal rows each (one, if
     the test set is too large to be sent); repeated items count once. Other columns are ignored.
     """

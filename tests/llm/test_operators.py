@@ -253,6 +253,28 @@ def test_overlaps(spark, odd, empty):
     assert decontaminate.overlaps(frame(spark, rows), bench.where("false")).count() == 0
 
 
+def test_overlaps_with_many_substitutions_equal_brute_force(spark):
+    rng = random.Random(8)
+    items = [[f"w{rng.randint(0, 999)}x{n}" for _ in range(size)] for n, size in enumerate([16, 59, 10, 11, 12, 14] + [16, 20, 30, 15] * 6)]
+    texts = []
+    for n, x in enumerate(items):
+        gone = [4, 8, 12] if n == 0 else range(4, 59, 5) if n == 1 else rng.sample(range(len(x)), 1 if len(x) < 12 else rng.randint(2, 5))
+        texts.append(["before"] * 9 + [f"other{k}" if k in gone else w for k, w in enumerate(x)] + ["after"] * 9)
+    want = []
+    for n, (x, t) in enumerate(zip(items, texts, strict=True)):
+        same = [a == b for a, b in zip(x, t[9:], strict=False)]
+        most = max(sum(same[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if 5 * sum(same[i:j]) >= 4 * (j - i))
+        if most >= (9 if len(x) in (10, 11) else 10):
+            want.append(n)
+    assert {0, 1, 2, 3} <= set(want)
+    docs, bench = frame(spark, [(n, " ".join(t), "a") for n, t in enumerate(texts)]), spark.createDataFrame([(n, " ".join(x)) for n, x in enumerate(items)], "item_id long, text string")
+    for most in (decontaminate.SEND_MOST, 0):
+        got = sorted(decontaminate.overlaps(docs, bench, send_most=most).collect())
+        assert [(r.doc_id, r.item_id) for r in got] == [(n, n) for n in want]
+        assert all(5 * r.agree >= 4 * (r.doc_end - r.doc_start) for r in got)
+        assert [(r.agree, r.doc_start, r.doc_end) for r in got[:2]] == [(13, 9, 25), (48, 9, 68)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(-3, 4, (900, 9)) / 1024  # small integers: many ties
