@@ -12,23 +12,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of key characters, with the word and the sign of assignment before it if there are such.
-CANDIDATE = r"""(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z_-]{2,24}+\s{0,2}(?::=|=>|[=:])\s{0,2}["']?)?+[A-Za-z0-9+/_.-]{16,256}+={0,2}"""
-SPLIT = r"""^(?:([A-Za-z_-]{2,24}+)\s{0,2}(?::=|=>|[=:])\s{0,2}["']?)?+(.*)$"""
+#: A key, any word with a letter in it, and the sign of assignment after it, perhaps within quotes.
+KEY = r"""[0-9_.-]*+[A-Za-z][A-Za-z0-9_.-]*+"""
+SIGN = r"""["']?\s*+(?::=|=>|[=:])\s*+"""
+#: No other assignment (log level: token=...) and no address follows a key as its value.
+NO_VALUE = rf"""(?!//|["']?{KEY}["']?(?:[ \t]++(?::=|=>|[=:])[ \t]*+|(?::=|=>|=)|:[ \t]*+)["']?[^\s"'=,;&]{{6}})"""
+#: Key, and value of six characters or more without blanks in either quotes or none; or a run of value characters alone. No value has an upper bound.
+CANDIDATE = rf"""(?<![A-Za-z0-9_.-])({KEY}){SIGN}{NO_VALUE}(?:"([^"\s]{{6,}}+)|'([^'\s]{{6,}}+)|([^\s"'&,;]{{5,}}[^\s"'&,;.:)}}\]>]))|(?<![A-Za-z0-9+/_.-])([A-Za-z0-9+/_.-]{{16,}}+={{0,2}})"""
 FEATURES = ("chars", "digits", "uppers", "changes", "vowel_turns", "hex", "covered", "slashes", "distinct", "key_secret", "key_plain", "known_form", "placeholder")
 SAMPLE, TREES, DEPTH = 20_000, 24, 7
-#: Words of keys that name secrets and of those that do not, forms of issued keys, pieces of plain words, placeholders (fixed values).
+#: Words of keys that name secrets and of those that do not, forms of issued keys, pieces of plain words, words of made-up pass phrases, placeholders (fixed values).
 SECRET_KEYS = "api_?key|auth|bearer|credential|passw|private|pwd|secret|token"
 PLAIN_KEYS = "checksum|commit|digest|etag|file|hash|id|isbn|md5|path|revision|sha|url|uuid|version"
 KNOWN_FORM = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abpr]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$"
 PIECES = "access|address|build|client|config|count|create|data|default|error|event|file|filter|first|format|get|group|handle|index|info|item|key|last|line|list|load|local|main|manager|message|model|name|number|object|option|order|page|param|profile|query|read|record|request|response|result|service|session|set|size|source|start|state|status|string|system|table|test|text|time|type|update|user|value|version|view"
+WORDS = "anchor|autumn|battery|bridge|candle|copper|correct|desert|falcon|forest|garden|hammer|horse|island|jungle|kitten|lantern|marble|meadow|ocean|orange|pepper|planet|purple|rabbit|rocket|saddle|silver|spring|staple|summer|thunder|velvet|walnut|window|winter"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|your|placeholder|redacted|xxxx|\*\*\*|1234567|abcdef|(.)\1{5}"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, nth, key, value): runs of key characters that follow an assignment or hold a digit, in order of place."""
+    """(doc_id, nth, key, value): what follows an assignment, and runs of value characters with a digit, in order of place."""
     found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("nth", "found"))
-    out = found.select("doc_id", "nth", F.regexp_extract("found", SPLIT, 1).alias("key"), F.regexp_extract("found", SPLIT, 2).alias("value"))
+    value = F.concat(*[F.regexp_extract("found", CANDIDATE, i) for i in (2, 3, 4, 5)])
+    out = found.select("doc_id", "nth", F.regexp_extract("found", CANDIDATE, 1).alias("key"), value.alias("value"))
     return out.where((F.col("key") != "") | F.col("value").rlike("[0-9]"))
 
 
@@ -57,13 +63,15 @@ def describe(found: DataFrame) -> DataFrame:
 
 
 def seed_findings(spark: SparkSession, n: int = 250) -> DataFrame:
-    """(key, value, label) of made-up findings, 1 for secrets: n of each of seventeen forms."""
+    """(key, value, label) of made-up findings, 1 for secrets: n of each of twenty-four forms."""
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     wide = lambda salt: F.regexp_replace(F.base64(F.unhex(h(salt))), "=", "")
-    pick = lambda salt, values: F.element_at(F.array(*[F.lit(x) for x in values]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+    pick = lambda salt, values: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in values]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
     span = lambda c, low, high: F.substr(c, F.lit(1), (F.lit(low) + F.pmod(F.xxhash64("id"), F.lit(high - low + 1))).cast("int"))
     piece = lambda salt: pick(salt, PIECES.split("|"))
     keys, plain = ["password", "passwd", "token", "api_key", "secret", "auth_token", "pwd", "client_secret", "TOKEN"], ["commit", "sha", "md5", "hash", "id", "uuid", "etag", "checksum", "version"]
+    word = lambda salt: pick(salt, WORDS.split("|"))
+    long = F.concat_ws("", *[wide(f"J{i}") for i in range(12)])
     caps = F.translate(F.upper(h("d")), "01", "QZ")
     forms = [
         (pick("k", keys), span(h("a"), 16, 40), 1),
@@ -83,9 +91,16 @@ def seed_findings(spark: SparkSession, n: int = 250) -> DataFrame:
         (pick("k5", ["", "name", "token", "value", "key"]), F.concat_ws("_", piece("r"), piece("s"), piece("t"), F.pmod("id", F.lit(10)).cast("string")), 0),
         (pick("k", keys), pick("u", ["your_api_key_here", "xxxxxxxxxxxxxxxxxxxx", "changeme_changeme", "example_token_12345678", "00000000000000000000", "placeholder-placeholder", "dummy_secret_value_1"]), 0),
         (F.lit(""), F.concat(piece("v"), piece("w"), piece("x"), F.pmod("id", F.lit(100)).cast("string"), F.lit("abcdefgh")), 0),
+        (pick("k", keys), F.concat_ws("", word("A"), word("B"), word("C"), pick("D", ["", *WORDS.split("|")])), 1),
+        (pick("k", keys), F.concat(F.initcap(word("E")), F.pmod(F.xxhash64("id"), F.lit(9000)).cast("string"), pick("F", ["", "!", "#", "$x"])), 1),
+        (pick("k", keys), span(wide("G"), 8, 15), 1),
+        (pick("k6", ["", "", "authorization", *keys]), F.concat(F.lit("eyJ"), span(wide("H"), 16, 30), F.lit("."), span(long, 60, 480), F.lit("."), wide("I")), 1),
+        (pick("k", keys), pick("v", ["required", "string", "optional", "undefined", "process.env.SECRET", "${PASSWORD}", "getPassword()", "please", "Bearer", "request.headers", "disabled", word("K")]), 0),
+        (pick("k7", ["note", "INFO", "summary", "title", "author_of", "host", "label", "reply"]), pick("L", [word("M"), F.initcap(word("N")), F.concat_ws("-", word("O"), word("P")), F.concat_ws(".", word("Q"), word("R"), F.lit("org"))]), 0),
+        (pick("k8", ["date", "time", "total", "count", "phone", "size"]), pick("S", [F.concat(F.lit("2024-01-"), F.pmod("id", F.lit(28)) + 1), F.translate(F.substr(h("T"), F.lit(1), F.lit(9)), "abcdef", "135790"), F.concat(F.pmod("id", F.lit(97)), F.lit(".5000"))]), 0),
     ]
     rows = F.array(*[F.struct(k.alias("key"), v.alias("value"), F.lit(y).alias("label")) for k, v, y in forms])
-    return spark.range(n).select(F.explode(rows).alias("f")).select("f.*").where(F.length("value") >= 16)
+    return spark.range(n).select(F.explode(rows).alias("f")).select("f.*").where(F.length("value") >= 6)
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel:
@@ -100,7 +115,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     """Per candidate: doc_id, nth (place among the document's matches), key, chars, value_sha256, score, secret.
 
     secret is score >= threshold. Values themselves are not returned. labelled (key, value, label) defaults to
-    seed_findings(). Null and empty texts have no candidates; equal rows give equal rows; texts are read whole. Other
+    seed_findings(). A value ends at a blank, or in quotes at the quote. Null and empty texts have no candidates; equal rows
+    give equal rows; texts are read whole. Other
     columns are ignored; an empty table gives an empty one.
     """
     model = learn(seed_findings(docs.sparkSession) if labelled is None else labelled)

@@ -360,6 +360,30 @@ def test_secret_scan(spark, odd, empty):
     assert secrets.scan_secrets(empty).count() == 0 and secrets.scan_secrets(frame(spark, odd)).where("secret").count() == 0
 
 
+def test_secret_scan_whole_values_and_any_key(spark):
+    h = hashlib.sha512(b"a").hexdigest() + hashlib.sha512(b"b").hexdigest()
+    k, jwt = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ4hT9LmVs2A", "eyJhbGciOiJIUzI1NiJ9." + "aB3xQ9kLm2Z" * 60 + "." + h[:43]
+    texts = {
+        f"s3_secret_key={k}": ("s3_secret_key", k),
+        f"OAUTH2_CLIENT_SECRET={k} rest": ("OAUTH2_CLIENT_SECRET", k),
+        f"production_database_password={k}": ("production_database_password", k),
+        '{"password": "correcthorsebatterystaple"}': ("password", "correcthorsebatterystaple"),
+        f'{{"user":"me","token":"{k}","n":1}}': ("token", k),
+        f"INFO: token={k}": ("token", k),
+        f"https://host.org/page?token={k}&next=1": ("token", k),
+        f"token: {jwt}": ("token", jwt),
+        f"see {jwt} there": ("", jwt),
+        "password: Falcon4711! and more": ("password", "Falcon4711!"),
+        f"$(x)={k}": ("", k),
+    }
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.key, r.chars, r.value_sha256) for r in secrets.scan_secrets(frame(spark, rows)).collect() if r.secret or r.key == ""}
+    want = {(i, key, len(v), hashlib.sha256(v.encode()).hexdigest()) for i, (key, v) in enumerate(texts.values())}
+    assert want <= got
+    plain = "password: required, title: Winter and date: 2024-01-05; see https://example.org/about for token: string"
+    assert secrets.scan_secrets(frame(spark, [(1, plain, "a"), (2, "a" * 300_000 + " " + "," * 50_000 + "k=" + "b." * 100_000, "a")])).where("secret").count() == 0
+
+
 def test_secret_model_held_out(spark):
     seeds = secrets.seed_findings(spark)
     part = F.pmod(F.xxhash64("key", "value", F.lit(5)), F.lit(4))
