@@ -195,6 +195,20 @@ def tiered_identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tiered_join(left, right, "o_orderkey", "c_custkey", [("k1", "r1"), ("k2", "r2")])
 
 
+@query("""
+with s as (select o_orderkey, case when o_orderkey % 4 = 0 then o_custkey + 1000000 else o_custkey end k1, 'n' || (o_custkey % 25) k2 from orders),
+r as (select c_custkey, c_custkey k1, 'n' || c_nationkey k2 from customer),
+a as (select o_orderkey, min(c_custkey) c from s join r using (k1) group by 1), b as (select k2, min(c_custkey) c from r group by 1)
+select o_orderkey, coalesce(a.c, b.c) c_custkey, case when a.c is not null then 0 when b.c is not null then 1 end tier
+from s left join a using (o_orderkey) left join b using (k2)""")
+def tiered_identity_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, matched against all customers."""
+    o = table(spark, sf_dir, "orders")
+    left = o.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("k1"), F.concat(F.lit("n"), F.col("o_custkey") % 25).alias("k2"))
+    right = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("r1"), F.concat(F.lit("n"), "c_nationkey").alias("r2"))
+    return S.tiered_join(left, right, "o_orderkey", "c_custkey", [("k1", "r1"), ("k2", "r2")])
+
+
 @query("""
 with l as (select o_custkey k, count(*) n from orders group by 1), h as (select user_id k, count(*) n from events where event_type = 'purchase' group by 1)
 select coalesce(l.k, h.k) k, coalesce(l.n, 0) + coalesce(h.n, 0) requests, l.k is not null listed from l full join h on l.k = h.k""")
@@ -343,6 +357,17 @@ def asof_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.as_of(asked, events, "user_id", "at", "ts", "event_id").select("o_orderkey", "found")
 
 
+@query("""
+select o_orderkey, e.event_id found from (select o_orderkey, o_custkey % 150 user_id, timestamp '2024-01-05' + o_orderkey % 20 * interval 1 day tm from orders) o
+asof left join (select user_id, ts, max(event_id) event_id from events group by 1, 2) e on o.user_id = e.user_id and o.tm >= e.ts""")
+def asof_revision_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all orders."""
+    at = F.expr("timestampadd(DAY, cast(o_orderkey % 20 as int), timestamp_ntz '2024-01-05 00:00:00')")
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), at.alias("at"))
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    return S.as_of(asked, events, "user_id", "at", "ts", "event_id").select("o_orderkey", "found")
+
+
 @query("""
 with c as (select p_brand, p_partkey, case p_partkey % 5 when 0 then 'preferred' when 1 then 'deprecated' else 'normal' end rank from part),
 b as (select p_brand, min(case rank when 'preferred' then 0 else 1 end) m from c where rank <> 'deprecated' group by 1)

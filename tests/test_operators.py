@@ -201,3 +201,13 @@ def test_near_duplicates_of_all_documents(spark, monkeypatch):
     for hot in (4096, 3):
         monkeypatch.setattr(M, "HOT", hot)
         assert sorted(tuple(r) for r in M.near_duplicate_documents(docs).collect()) == want
+
+
+def test_all_orders_and_customers_take_part(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{d}/orders.parquet").count()
+    assert entry.queries()["asof_revision_all"](spark, d).count() == orders
+    met = entry.queries()["tiered_identity_join_all"](spark, d)
+    assert met.count() == orders and met.where("c_custkey % 2 = 1 and tier = 0").count() > 0
