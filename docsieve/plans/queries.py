@@ -511,6 +511,17 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", N.title_key(F.col("t")).alias("key"), N.earliest_year(F.col("t")).alias("year"))
 
 
+@query(rf"""
+with d as (select doc_id, {SENTENCES.format("text")}[1] t from documents)
+select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '(\s*[(\[][^()\[\]]*[)\]])+\s*$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) key,
+  list_min(list_transform(regexp_extract_all(t, '(?:^|[^0-9])([12][0-9]{{3}})(?:$|[^0-9])', 1), lambda y: y::int)) "year" from d where t is not null""")
+def title_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole of the first sentence."""
+    title = F.get(T.sentences_of(F.col("text")), F.lit(0))
+    rows = table(spark, sf_dir, "documents").select("doc_id", title.alias("t")).where("t is not null")
+    return rows.select("doc_id", N.title_key(F.col("t")).alias("key"), N.earliest_year(F.col("t")).alias("year"))
+
+
 @query(r"""
 with d as (select doc_id, string_split(text, chr(10)) ls from documents), l as (select doc_id, unnest(ls) s, unnest(range(len(ls))) i from d),
 h as (select doc_id, i, length(split_part(s, ' ', 1)) % 5 + 2 lev from l where length(s) % 3 = 0),

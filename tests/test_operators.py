@@ -211,3 +211,13 @@ def test_all_orders_and_customers_take_part(spark):
     assert entry.queries()["asof_revision_all"](spark, d).count() == orders
     met = entry.queries()["tiered_identity_join_all"](spark, d)
     assert met.count() == orders and met.where("c_custkey % 2 = 1 and tier = 0").count() > 0
+
+
+def test_title_keys_read_whole_titles(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    long = "a title of quite some words that goes on beyond sixty characters"
+    docs = [(1, f"{long} one 1987 (live)"), (2, f"{long} two")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["title_keys_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.key, r.year) for r in got] == [(f"{long} one 1987", 1987), (f"{long} two", None)]
