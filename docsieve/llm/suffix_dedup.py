@@ -1,53 +1,73 @@
 """Removal of repeated byte strings by suffix arrays.
 
-A window is a string of `length` bytes. Its minimiser is the first of its 20-byte strings with the least hash; windows
+A window is a string of `length` bytes. Its minimiser is the first of its 32-byte strings with the least hash; windows
 that are equal have equal minimisers, so windows are dealt to shards by minimiser and no equal pair is parted.
 Neighbouring windows with one minimiser at one place travel together as a segment. Then:
 
-1. Equal segments are collapsed to the first of them, in the task that reads them and again after the exchange; all
-   windows of the others are repeats. Most minimisers are then left with one segment and are done.
+1. Equal segments (two independent 64-bit hashes, and the minimiser's) are collapsed to the first of them, in the task
+   that reads them and again after the exchange; all windows of the others are repeats. Most minimisers are then left
+   with one segment and are done.
 2. The segments of the other minimisers fetch their bytes and are dealt to shards. A shard builds a suffix array by
    Larsson and Sadakane's refinement, takes common prefixes by Kasai's method, and marks in every run of suffixes
    with `length` bytes in common all windows but the first. A minimiser that runs over the end of a shard is merged
    with the next by binary search in its sorted windows.
-3. A minimiser with more than 1,024 different segments is salted over shards; the windows that are the first in
-   their shard are exchanged once more by their hash.
+3. A hot minimiser, with more than 1,024 different segments, is not dealt to a shard: its segments are cut anew by a
+   longer minimiser (64, 88, then 100 bytes) and go through step 1 again. A minimiser of 100 bytes is the window
+   itself, so that step 1 settles it. No task holds the segments of a minimiser but up to that number: they are
+   streamed in order, and minimisers with very many rows are dealt over several tasks by the segment's hash.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import BASE, BYTE_VALUE, U, materialise, mix, powers, released, signed, slices, text_bytes
+from docsieve.llm.common import BASE, BYTE_VALUE, U, materialise, mix, released, signed, slices, text_bytes
 
-GRAM = 20
+#: Lengths of the minimisers of each turn, in percent of a window.
+GRAMS = (32, 64, 88, 100)
 CHUNK = 1 << 20
 #: More than the bytes that chunks() hands out at once.
 PLACES = 1 << 22
 SHARD_BYTES = 1 << 21
-HOT_SEGMENTS, SALT_SEGMENTS = 1024, 256
+HOT_SEGMENTS = 1024
+#: Minimisers with at least this many rows may be dealt over several tasks, and the most segments a task keeps back.
+SPLIT_ROWS, PENDING = 1 << 16, 1 << 17
 PIECE = 512
-_inverse = np.ones(1, np.uint64)
+#: A second, independent polynomial hash.
+BYTE_VALUE_2 = np.random.Generator(np.random.PCG64(77003)).integers(1, 1 << 63, 256, dtype=np.uint64)
+BASE_2 = U(0xD1342543DE82EF95)
+_powers_of: dict[int, np.ndarray] = {}
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    global _inverse
-    if len(_inverse) < n:
-        inv = np.uint64(pow(int(BASE), -1, 1 << 64))
-        _inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 4096), inv, np.uint64))])
-    return _inverse
+def _powers(base: int, n: int) -> np.ndarray:
+    held = _powers_of.get(base)
+    if held is None or len(held) < n:
+        held = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 4096), U(base), np.uint64))])
+        _powers_of[base] = held
+    return held
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * powers(len(data))[: len(data)], out=total[1:])
-    return total
+class Rolling:
+    """Hashes of any stretch of data: polynomial sums, divided by the power at which the stretch begins."""
+
+    def __init__(self, data: np.ndarray, base: np.uint64 = BASE, value: np.ndarray = BYTE_VALUE) -> None:
+        n = len(data)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[data] * _powers(int(base), n)[:n], out=self.total[1:])
+        self.inverse = _powers(pow(int(base), -1, 1 << 64), n + 1)
+
+    def every(self, size: int) -> np.ndarray:
+        return mix((self.total[size:] - self.total[:-size]) * self.inverse[: len(self.total) - size])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -62,15 +82,14 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, end of windows, minimiser, content hash) of the segments of the rows of data."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+def segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, end of windows, minimiser, content hash, second content hash) of the segments of the rows of data."""
     if len(data) < length:
-        return none
-    total = prefix_hashes(data)
-    gram = mix((total[GRAM:] - total[:-GRAM]) * _inverse_powers(len(data))[: len(data) - GRAM + 1])
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+    one, two = Rolling(data), Rolling(data, BASE_2, BYTE_VALUE_2)
+    grams = one.every(gram)
     # The place in the low bits makes the leftmost of equal hashes the least: no two windows of a segment can be equal.
-    least = sliding_least((gram & ~U(PLACES - 1)) | np.arange(len(gram), dtype=np.uint64), length - GRAM + 1)
+    least = sliding_least((grams & ~U(PLACES - 1)) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
     size = np.diff(at)
     ok = np.repeat(size - length, np.maximum(size, 0)) >= np.arange(len(data)) - np.repeat(at[:-1], size)
     ok = ok[: len(least)]
@@ -81,8 +100,8 @@ def segments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new & ok)
     edge = np.flatnonzero(new | ~ok)
     end = np.append(edge, len(least))[np.searchsorted(edge, first, "right")]
-    content = mix((total[end + length - 1] - total[first]) * _inverse_powers(len(data))[first]) + mix((end - first).astype(np.uint64))
-    return row[first], first, end, gram[(least[first] & U(PLACES - 1)).astype(np.int64)], content
+    reach = end + length - 1
+    return row[first], first, end, grams[(least[first] & U(PLACES - 1)).astype(np.int64)], one.of(first, reach), two.of(first, reach)
 
 
 def chunks(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -96,15 +115,6 @@ def chunks(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.n
             yield data[at[i] : at[j]], at[i : j + 1] - at[i], i, 0
 
 
-def not_first(h: np.ndarray, g: np.ndarray, key: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (h, g, key, s), and which of the ordered rows have an equal (h, g) before them."""
-    order = np.lexsort((s, key, g, h))
-    h, g = h[order], g[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-    return order, same
-
-
 def spans_of(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """Joins spans [a, b) of a key that touch or overlap."""
     order = np.lexsort((a, key))
@@ -120,74 +130,172 @@ def spans_of(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return key[at], a[at], np.maximum.reduceat(b, at)
 
 
-ROWS = "h long, g long, key long, a long, b long, open boolean"
-#: open true: windows a..b of a segment, still to be compared; false: bytes a..b are repeats; null: not compared with other tasks yet.
+#: kind: a span a..b of repeated bytes; a segment not compared with other tasks yet; one that shares its minimiser with
+#: other segments; one that does with very many.
+REPEATS, LOOSE, OPEN, HOT = range(4)
+#: A segment is its minimiser h, content hashes g and e, and its document and windows as key and at = first * (length + 1) + windows.
+ROWS = "h long, g long, e long, key long, at long, a long, b long, kind byte, piece binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+KINDS = [pa.int64()] * 7 + [pa.int8(), pa.binary()]
+
+
+def _spans(key: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
+    """The bytes of the segments (key, at) as spans of repeats."""
+    first = at // (length + 1)
+    key, a, b = spans_of(key, first, first + at % (length + 1) + length - 1)
+    none = pa.nulls(len(key), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, pa.array(key), none, pa.array(a), pa.array(b), pa.array(np.zeros(len(key), np.int8)), pa.nulls(len(key), pa.binary())], NAMES)
+
+
+class Segments:
+    """Rows of segments as arrays: h, g, e, key, at, and pieces (bytes each) or None."""
+
+    def __init__(self, cols: list[np.ndarray], pieces: np.ndarray | None) -> None:
+        self.cols, self.pieces = cols, pieces
 
+    def __len__(self) -> int:
+        return len(self.cols[0])
 
-def _rows(h: np.ndarray | None, g: np.ndarray | None, key: np.ndarray, a: np.ndarray, b: np.ndarray, state: bool | None) -> pa.RecordBatch:
-    n = len(key)
-    none = pa.nulls(n, pa.int64())
-    flag = pa.nulls(n, pa.bool_()) if state is None else pa.array(np.full(n, state))
-    return pa.RecordBatch.from_arrays(
-        [none if h is None else pa.array(h), none if g is None else pa.array(g), pa.array(key), pa.array(a), pa.array(b), flag], ["h", "g", "key", "a", "b", "open"]
-    )
+    def take(self, index: np.ndarray) -> Segments:
+        return Segments([c[index] for c in self.cols], None if self.pieces is None else self.pieces[index])
 
+    def plus(self, other: Segments) -> Segments:
+        pieces = None if self.pieces is None else np.concatenate([self.pieces, other.pieces])
+        return Segments([np.concatenate(x) for x in zip(self.cols, other.cols, strict=True)], pieces)
 
-def cut_segments(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of all texts, collapsed within each batch of rows."""
+    def rows(self, kind: np.ndarray | int) -> Iterator[pa.RecordBatch]:
+        kind = np.full(len(self), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)
+        for i in range(0, len(self), 1 << 15):
+            cut = slice(i, i + (1 << 15))
+            cols = [pa.array(c[cut]) for c in self.cols]
+            n = len(cols[0])
+            pieces = pa.nulls(n, pa.binary()) if self.pieces is None else pa.array(self.pieces[cut], pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(kind[cut]), pieces], NAMES)
+
+
+def first_of_equals(found: Segments) -> tuple[Segments, np.ndarray, np.ndarray]:
+    """found in the order (h, g, e, key, at); which have an equal segment before them; which have one after."""
+    h, g, e, key, at = found.cols
+    found = found.take(np.lexsort((at, key, e, g, h)))
+    same = np.zeros(len(found) + 1, bool)
+    if len(found):
+        same[1:-1] = np.logical_and.reduce([c[1:] == c[:-1] for c in found.cols[:3]])
+    return found, same[:-1], same[1:]
+
+
+def cut_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Segments of all texts (key, text), or of pieces of them (key, a, text), which then come along.
+
+    Equal segments are collapsed within a task as far as they meet in a batch of rows: of those that do, the first is
+    kept back for the batches that follow, so that a passage in very many rows leaves a task as a row or a few.
+    """
+    pieces = "a" in docs.columns
+
+    def cut(batch: pa.RecordBatch) -> Segments | None:
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        begin = batch.column(1).to_numpy(zero_copy_only=False) if pieces else np.zeros(len(key), np.int64)
+        data, at = text_bytes(batch.column(2 if pieces else 1))
+        parts, held = [], []
+        for part, local, first_row, place in chunks(data, at, length):
+            row, a, b, *hashes = segments(part, local, length, gram)
+            first = a - local[row] + place + begin[first_row + row]
+            parts.append((*(signed(x) for x in hashes), key[first_row + row], first * (length + 1) + (b - a)))
+            if pieces:
+                raw = part.tobytes()
+                held += [raw[i : j + length - 1] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        if not parts:
+            return None
+        return Segments([np.concatenate(x) for x in zip(*parts, strict=True)], _objects(held) if pieces else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: Segments | None = None
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            data, at = text_bytes(batch.column(1))
-            parts = []
-            for held, local, first_row, place in chunks(data, at, length):
-                row, a, b, h, g = segments(held, local, length)
-                a, b = a - local[row] + place, b - local[row] + place
-                parts.append((signed(h), signed(g), keys[first_row + row], a, b))
-            if not parts:
+            found = cut(batch)
+            if found is None:
                 continue
-            h, g, key, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, late = not_first(h, g, key, a)
-            one, two = np.sort(order[~late]), order[late]
-            for i in range(0, len(one), 1 << 16):
-                x = one[i : i + (1 << 16)]
-                yield _rows(h[x], g[x], key[x], a[x], b[x], None)
-            yield _rows(None, None, *spans_of(key[two], a[two], b[two] + length - 1), False)
-
-    return docs.select("key", "text").mapInArrow(released(run), ROWS)
-
-
-def collapse(rows: DataFrame, length: int, open_rest: bool, hot: int = HOT_SEGMENTS, per_salt: int = SALT_SEGMENTS) -> DataFrame:
-    """Of equal (h, g) all but the first are repeats; where an h has other firsts too, they stay open if open_rest."""
-    dealt = rows.repartition("h").sortWithinPartitions("h")
-
-    def groups(h, g, key, a, b) -> Iterator[pa.RecordBatch]:
-        order, late = not_first(h, g, key, a)
-        two = order[late]
-        yield _rows(None, None, *spans_of(key[two], a[two], b[two] + length - 1), False)
-        if open_rest:
-            one = order[~late]
-            h, g, key, a, b = h[one], g[one], key[one], a[one], b[one]
-            n = np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))) if len(h) else np.zeros(0, int)
-            many = np.repeat(n > 1, n)
-            # g of an open segment is its salt: 0, or a shard of its own for every 256 segments of a hot minimiser.
-            salts = np.repeat(np.where(n > hot, -(-n // per_salt), 0), n)
-            salt = np.where(salts > 0, 1 + (g & 0x7FFFFFFF) % np.maximum(salts, 1), 0)
-            yield _rows(h[many], salt[many], key[many], a[many], b[many], True)
+            found, late, before = first_of_equals(found if kept is None else found.plus(kept))
+            yield _spans(found.cols[3][late], found.cols[4][late], length)
+            again = ~late & before
+            if kept is not None:  # what was kept back and not met again is kept on
+                again |= ~late & np.isin(found.cols[1], kept.cols[1])
+            if again.sum() > PENDING:
+                again[:] = False
+            yield from found.take(np.flatnonzero(~late & ~again)).rows(LOOSE)
+            kept = found.take(np.flatnonzero(again))
+        if kept is not None:
+            yield from kept.rows(LOOSE)
+
+    return docs.select("key", *(["a"] if pieces else []), "text").mapInArrow(released(run), ROWS)
+
+
+def _objects(held: list[bytes]) -> np.ndarray:
+    out = np.empty(len(held), object)
+    out[:] = held
+    return out
+
+
+def busy(rows: DataFrame, split_rows: int) -> DataFrame:
+    """(h): minimisers with so many rows that one task should not have to read them all, by a sixteenth of the documents.
+
+    There are at most four for every shuffle partition, so they can be broadcast. Which they are only shifts work.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0).groupBy("h").agg(F.count("*").alias("n"))
+    return some.where(F.col("n") * 16 >= split_rows).orderBy(F.desc("n"), "h").limit(4 * parts).select("h", F.lit(True).alias("busy"))
+
+
+def settle(loose: DataFrame, length: int, hot: int, last: bool, split_rows: int) -> DataFrame:
+    """Of equal segments all but the first are repeats; firsts whose minimiser has other firsts stay, OPEN or HOT.
+
+    Rows are streamed in order: a task holds at most `hot` segments of a minimiser. Busy minimisers are dealt by content too,
+    and their firsts are HOT. In the last turn a minimiser is the window, and nothing stays.
+    """
+    dealt = loose.select("h", "g", "e", "key", "at", "piece")
+    if not last:
+        salt = F.when(F.col("busy"), F.col("g").bitwiseOR(F.lit(1).cast("long"))).otherwise(0)
+        dealt = dealt.join(F.broadcast(busy(loose, split_rows)), "h", "left").select("h", "g", "e", "key", "at", "piece", salt.alias("salt"))
+    else:
+        dealt = dealt.withColumn("salt", F.lit(0).cast("long"))
+    dealt = dealt.repartition("h", "salt").sortWithinPartitions("h", "g", "e", "key", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        before, seen = None, 0  # the last segment met; firsts of its minimiser that went out as HOT
+        kept: Segments | None = None  # firsts of that minimiser that wait for its number to be known
         for batch in batches:
-            held = [np.append(x, batch.column(i).to_numpy(zero_copy_only=False)) for i, x in enumerate(held)]
-            if len(held[0]) >= 1 << 19 and held[0][0] != held[0][-1]:
-                end = np.searchsorted(held[0], held[0][-1])
-                yield from groups(*(x[:end] for x in held))
-                held = [x[end:] for x in held]
-        if len(held[0]):
-            yield from groups(*held)
-
-    return dealt.select("h", "g", "key", "a", "b").mapInArrow(released(run), ROWS)
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            pieces = None if batch.column(5).null_count else _objects(batch.column(5).to_pylist())
+            salt = batch.column(6).to_numpy(zero_copy_only=False)
+            if not len(salt):
+                continue
+            mark = np.stack(cols[:3])
+            new = np.append(before is None or (mark[:, 0] != before).any(), (mark[:, 1:] != mark[:, :-1]).any(0))
+            before = mark[:, -1]
+            yield _spans(cols[3][~new], cols[4][~new], length)
+            if last:
+                continue
+            found = Segments(cols, pieces).take(np.flatnonzero(new))
+            salt = salt[new]
+            yield from found.take(np.flatnonzero(salt != 0)).rows(HOT)
+            found = found.take(np.flatnonzero(salt == 0))
+            if kept is not None:
+                found = kept.plus(found)
+            if not len(found):
+                continue
+            h = found.cols[0]
+            edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            count = np.diff(np.append(edge, len(h)))
+            same = seen and h[0] == seen_h
+            count[0] += seen if same else 0
+            kind = np.repeat(np.where(count > hot, HOT, np.where(count > 1, OPEN, LOOSE)), np.diff(np.append(edge, len(h))))
+            seen, seen_h = (int(count[-1]), h[-1]) if count[-1] > hot else (0, None)
+            wait = len(h) if seen else int(edge[-1])
+            out = np.flatnonzero(kind[:wait] != LOOSE)
+            yield from found.take(out).rows(kind[out])
+            kept = found.take(np.arange(wait, len(h)))
+        if kept is not None and len(kept) > 1:
+            yield from kept.rows(OPEN)
+
+    return dealt.mapInArrow(released(run), ROWS)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -262,10 +370,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     return share[order]
 
 
-def shard_repeats(pieces: list[bytes], key: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def shard_repeats(text: np.ndarray, size: np.ndarray, key: np.ndarray, a: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Over the segments of one shard: text, window starts in it, their (key, place), their group of equal ones, and whether not first."""
-    text = np.frombuffer(b"".join(pieces), np.uint8)
-    size = np.array([len(x) for x in pieces], np.int64)
     begin = np.cumsum(size) - size
     order = suffix_array(text)
     # Long segments are stepped through in parts.
@@ -289,27 +395,19 @@ def shard_repeats(pieces: list[bytes], key: np.ndarray, a: np.ndarray, length: i
 
 
 def compare(opened: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Repeats among the windows of open segments (h, salt, key, a, piece); firsts of salted ones come out open."""
-    dealt = opened.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    """(key, a, b): repeats among the windows of open segments (h, key, a, piece)."""
+    dealt = opened.repartition("h").sortWithinPartitions("h", "key", "a")
 
     def windows(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[pos]).view(f"S{length}").ravel()
 
-    def shard(h, salt, key, a, pieces, carry, last) -> tuple[list[pa.RecordBatch], tuple | None]:
-        text, pos, k, s, run, late = shard_repeats(pieces, key, a, length)
-        size = np.array([len(x) for x in pieces], np.int64)
+    def shard(h, key, a, text, size, carry, last) -> tuple[pa.RecordBatch, tuple | None]:
+        text, pos, k, s, run, late = shard_repeats(text, size, key, a, length)
         seg = np.searchsorted(np.cumsum(size), pos, "right")
         gone_k, gone_s = [k[late]], [s[late]]
-        out = []
         firsts = ~late
-        hot = firsts & (salt[seg] > 0)
-        if hot.any():
-            total = prefix_hashes(text)
-            p = pos[hot]
-            w = (total[p + length] - total[p]) * _inverse_powers(len(text))[p]
-            out.append(_rows(signed(mix(w)), signed(mix(w ^ U(0x5851F42D4C957F2D))), k[hot], s[hot], s[hot] + 1, True))
         if carry is not None:
-            own = np.flatnonzero(firsts & (h[seg] == carry[0]) & (salt[seg] == 0))
+            own = np.flatnonzero(firsts & (h[seg] == carry[0]))
             mine = windows(text, pos[own])
             at = np.minimum(np.searchsorted(carry[1], mine), len(carry[1]) - 1)
             hit = carry[1][at] == mine
@@ -320,57 +418,68 @@ def compare(opened: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> D
             carry[2][y], carry[3][y] = np.where(earlier, k[x], carry[2][y]), np.where(earlier, s[x], carry[3][y])
             rest = own[~hit]
         after = None
-        if not last and salt[-1] == 0:
+        if not last:
             if carry is not None and carry[0] == h[-1]:
                 add = (windows(text, pos[rest]), k[rest], s[rest])
                 both = [np.concatenate(z) for z in zip(carry[1:], add, strict=True)]
             else:
-                own = np.flatnonzero(firsts & (h[seg] == h[-1]) & (salt[seg] == 0))
+                own = np.flatnonzero(firsts & (h[seg] == h[-1]))
                 both = [windows(text, pos[own]), k[own].copy(), s[own].copy()]
             by = np.argsort(both[0], kind="stable")
             after = (h[-1], *(z[by] for z in both)) if len(by) else None
         gk, gs = np.concatenate(gone_k), np.concatenate(gone_s)
-        out.append(_rows(None, None, *spans_of(gk, gs, gs + length), False))
-        return out, after
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in spans_of(gk, gs, gs + length)], ["key", "a", "b"]), after
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, held, size = None, [], 0
+        carry, held = None, []
+
+        def close(more_h: int | None) -> pa.RecordBatch:
+            nonlocal carry, held
+            h, key, a, size = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 4))
+            out, carry = shard(h, key, a, np.concatenate([x[3] for x in held]), size, carry, more_h != h[-1])
+            held = []
+            return out
+
+        total = 0
         for batch in batches:
-            h, salt, key, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            pieces = batch.column(4).to_pylist()
-            for i in range(len(pieces)):
-                if size >= shard_bytes:
-                    cols = [np.array(x) for x in list(zip(*held, strict=True))[:4]]
-                    out, carry = shard(*cols, [x[4] for x in held], carry, held[-1][:2] != (h[i], salt[i]))
-                    yield from out
-                    held, size = [], 0
-                held.append((h[i], salt[i], key[i], a[i], pieces[i]))
-                size += len(pieces[i])
+            h, key, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            data, at = text_bytes(batch.column(3))
+            i = 0
+            while i < len(h):
+                if total >= shard_bytes:
+                    yield close(h[i])
+                    total = 0
+                j = min(len(h), max(i + 1, int(np.searchsorted(at, at[i] + shard_bytes - total, "left"))))
+                held.append((h[i:j], key[i:j], a[i:j], data[at[i] : at[j]], np.diff(at[i : j + 1])))
+                total += int(at[j] - at[i])
+                i = j
         if held:
-            cols = [np.array(x) for x in list(zip(*held, strict=True))[:4]]
-            out, carry = shard(*cols, [x[4] for x in held], carry, True)
-            yield from out
+            yield close(None)
 
-    return dealt.select("h", "salt", "key", "a", "piece").mapInArrow(released(run), ROWS)
+    return dealt.select("h", "key", "a", "piece").mapInArrow(released(run), "key long, a long, b long")
 
 
 def fetch(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """The bytes of open segments."""
-    lists = opened.groupBy("key").agg(F.collect_list(F.struct("h", F.col("g").alias("salt"), "a", "b")).alias("open"))
+    """(h, key, a, kind, piece): the bytes of open segments."""
+    first = F.floor(F.col("at") / (length + 1)).cast("long")
+    lists = opened.groupBy("key").agg(F.collect_list(F.struct("h", first.alias("a"), (F.col("at") % (length + 1)).alias("n"), "kind")).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, pieces = [], []
-            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = text.encode()
-                for x in found:
-                    rows.append((x["h"], x["salt"], key, x["a"]))
-                    pieces.append(raw[x["a"] : x["b"] + length - 1])
-            for i in range(0, len(rows), 1 << 14):
-                cols = [pa.array(list(x), pa.int64()) for x in zip(*rows[i : i + (1 << 14)], strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(pieces[i : i + (1 << 14)], pa.binary())], ["h", "salt", "key", "a", "piece"])
+            data, at = text_bytes(batch.column(1))
+            raw = data.tobytes()
+            found = batch.column(2)
+            of = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+            h, a, n, kind = (x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten())
+            start = at[of] + a
+            pieces = [raw[i:j] for i, j in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+            key = batch.column(0).to_numpy(zero_copy_only=False)[of]
+            for i in range(0, len(h), 1 << 14):
+                cut = slice(i, i + (1 << 14))
+                cols = [pa.array(x[cut]) for x in (h, key, a, kind)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pieces[cut], pa.binary())], ["h", "key", "a", "kind", "piece"])
 
-    return docs.select("key", "text").join(lists, "key").mapInArrow(released(run), "h long, salt long, key long, a long, piece binary")
+    return docs.select("key", "text").join(lists, "key").mapInArrow(released(run), "h long, key long, a long, kind byte, piece binary")
 
 
 def number_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -390,15 +499,28 @@ def number_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, out.dropDuplicates(["key"])
 
 
-def repeated_spans(keyed: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT_SEGMENTS, per_salt: int = SALT_SEGMENTS) -> DataFrame:
+def repeated_spans(keyed: DataFrame, length: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT_SEGMENTS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(key, a, b): byte spans, possibly overlapping, that together are the bytes covered by a repeated window."""
-    cut = materialise(cut_segments(keyed, length), "cut").where("open is not true")
-    first = materialise(collapse(cut.where("open is null"), length, True, hot, per_salt), "collapsed")
-    opened = fetch(keyed, first.where("open"), length)
-    second = materialise(compare(opened, length, shard_bytes), "compared")
-    third = collapse(second.where("open"), length, False)
-    done = [x.where(~F.col("open")).select("key", "a", "b") for x in (cut, first, second, third)]
-    return done[0].union(done[1]).union(done[2]).union(done[3])
+    done, opened = [], []
+    source = keyed.select("key", "text")
+    for turn, percent in enumerate(GRAMS):
+        gram, last = max(1, length * percent // 100), percent == 100
+        cut = materialise(cut_segments(source, length, gram), "cut")
+        settled = materialise(settle(cut.where(F.col("kind") == LOOSE), length, hot, last, split_rows), "settled")
+        done += [x.where(F.col("kind") == REPEATS).select("key", "a", "b") for x in (cut, settled)]
+        if last:
+            break
+        left = settled.where(F.col("kind") != REPEATS)
+        if turn == 0:
+            left = materialise(fetch(keyed, left, length), "pieces")
+        else:
+            left = left.select("h", "key", F.floor(F.col("at") / (length + 1)).cast("long").alias("a"), "kind", "piece")
+        opened.append(left.where(F.col("kind") == OPEN).select("h", "key", "a", "piece"))
+        source = left.where(F.col("kind") == HOT).select("key", "a", F.col("piece").alias("text"))
+        if source.isEmpty():
+            break
+    done.append(compare(reduce(DataFrame.union, opened), length, shard_bytes))
+    return reduce(DataFrame.union, done)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, **sizes: int) -> DataFrame:
@@ -409,7 +531,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, **sizes: int) -> DataFram
     input. spans are the maximal removed runs. Texts shorter than `length` keep all bytes. Equal rows count as one
     document and each gets its result; different texts of one id follow in a fixed order, a null id comes first.
     Other columns are ignored; an empty table gives an empty one. sizes (shard_bytes, hot,
-    per_salt) only shift work between shards.
+    split_rows) only shift work between tasks.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed, once = number_rows(docs)

@@ -122,7 +122,7 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 1500, "hot": 4, "per_salt": 2}, {"shard_bytes": 700}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 1500, "hot": 4}, {"shard_bytes": 700}, {"hot": 2, "split_rows": 3}])
 def test_repeats_equal_brute_force(spark, sizes):
     rng = random.Random(9)
     passage = [prose(rng, 30) for _ in range(4)]
