@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,7 +218,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
                 whole = len(runs) == 1 and runs[0] == [0, len(starts)]
                 turns.append(x if whole else "\n".join(raw[starts[a] : ends[b - 1]].decode() for a, b in runs))
             out.append("\n".join(turns))
-        return __import__("pandas").Series(out, dtype="object")
+        return pd.Series(out, dtype="object")
 
     out = held.withColumn("text", cut("text", "pieces"))
     if "n_chars" in names:

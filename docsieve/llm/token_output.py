@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -77,7 +78,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, block = Table(held.value), TaskContext.get().partitionId(), 0
-        docs_, sizes, parts = [], [], []
+        docs_, sizes, parts, held_ids = [], [], [], 0
 
         def frame(ids: np.ndarray, doc_ids: list, sizes: list, piece: int, pieces: int) -> pa.RecordBatch:
             row = [part, block, len(ids), piece, pieces, doc_ids, sizes, encode(ids, table)]
@@ -88,9 +89,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> N
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(raw, kind).astype(np.int64)
-                if parts and sum(sizes) + len(ids) > BLOCK_IDS:
+                if parts and held_ids + len(ids) > BLOCK_IDS:
                     yield frame(np.concatenate(parts), docs_, sizes, 0, 1)
-                    block, docs_, sizes, parts = block + 1, [], [], []
+                    block, docs_, sizes, parts, held_ids = block + 1, [], [], [], 0
                 if len(ids) > BLOCK_IDS:
                     pieces = -(-len(ids) // BLOCK_IDS)
                     for i in range(pieces):
@@ -101,6 +102,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 0) -> N
                     docs_.append(doc)
                     sizes.append(len(ids))
                     parts.append(ids)
+                    held_ids += len(ids)
         if parts:
             yield frame(np.concatenate(parts), docs_, sizes, 0, 1)
 
@@ -142,6 +144,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], schema.replace(" long", "").split(", "))
 
     read = frames.join(index, ["part", "block"]).select("part", "block", "first", "piece", "pieces", "doc_ids", "sizes", "frame").mapInArrow(released(run), schema)
+    read = materialise(read, "decoded")  # a row a document, so that frames are decoded once
     keep = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     @F.pandas_udf("long")
@@ -152,7 +155,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for p in sorted(pieces, key=lambda p: p["piece"]):
                 crc = crc32_combine(crc, p["ids_crc32"], 4 * p["n_tokens"])
             out.append(crc)
-        return __import__("pandas").Series(out, dtype="int64")
+        return pd.Series(out, dtype="int64")
 
     long = read.where("pieces > 1").withColumn("head", F.col("block") - F.col("piece"))
     long = long.groupBy("part", "head", "doc_id").agg(

@@ -10,33 +10,39 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
 from docsieve.llm.common import U, mix, powers
 
 LETTER, NUMBER, SPACE_ = 1, 2, 3
-CACHE_SLOTS, CACHE_MOST, TEXT_CHARS = 1 << 21, 3 << 18, 1 << 19
+CACHE_SLOTS, CACHE_MOST, TEXT_CHARS, WHOLE_CHARS = 1 << 22, 3 << 19, 1 << 19, 3 << 18
 #: Unicode's White_Space property (fixed values).
 WHITE_SPACE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_classes: np.ndarray | None = None
+#: Classes of the code points met so far, in blocks of 256; UNSET is none of them.
+UNSET = 255
+_classes = np.full(0x110000, UNSET, np.uint8)
 _encoders: dict[str, Encoder] = {}
 
 
-def classes() -> np.ndarray:
-    """Per code point: letter, number, white space or other."""
-    global _classes
-    if _classes is None:
+def classes(cp: np.ndarray) -> np.ndarray:
+    """Letter, number, white space or other of each code point."""
+    out = _classes[cp]
+    if (out == UNSET).any():
         kind = {"L": LETTER, "N": NUMBER}
-        _classes = np.fromiter((kind.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)), np.uint8, 0x110000)
-        _classes[WHITE_SPACE] = SPACE_
-    return _classes
+        for block in np.unique(cp[out == UNSET] >> 8).tolist():
+            for i in range(block << 8, (block + 1) << 8):
+                _classes[i] = kind.get(unicodedata.category(chr(i))[0], 0)
+        _classes[[i for i in WHITE_SPACE if _classes[i] != UNSET]] = SPACE_
+        out = _classes[cp]
+    return out
 
 
 def pretoken_starts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where pieces begin in the code points of texts at[i]..at[i+1], as GPT-2's pattern cuts them."""
     n = len(cp)
-    cls = classes()[cp]
+    cls = classes(cp)
     text_start = np.zeros(n + 1, bool)
     text_start[at] = True
     cut = np.empty(n + 1, bool)
@@ -66,7 +72,7 @@ def pretoken_starts(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """One vocabulary with the ids of the pieces met so far (at most about 800,000, then it starts afresh)."""
+    """One vocabulary with the ids of the pieces met so far (at most about 1,500,000, then it starts afresh)."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,7 +106,7 @@ class Encoder:
     def add(self, h: np.ndarray, pieces: list[str]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), self.kind, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), self.kind, int(size.sum()))
         first = len(self.off)
         self.off = np.append(self.off, (len(self.ids) + np.cumsum(size) - size).astype(np.int32))
         self.len = np.append(self.len, size.astype(np.int32))
@@ -136,7 +142,7 @@ class Encoder:
         return np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(counts)))
 
     def _encode(self, texts: Sequence[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i: self.tokenizer.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts) if len(x) > CACHE_MOST or any(a in x for a in self.added)}
+        whole = {i: self.tokenizer.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts) if len(x) > WHOLE_CHARS or any(a in x for a in self.added)}
         texts = ["" if i in whole else x for i, x in enumerate(texts)]
         joined = "".join(texts)
         at = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))

@@ -184,6 +184,9 @@ def test_token_output(spark, odd, empty):
         assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_output(frame(spark, odd), BPE).count() == len(odd)
+    many = spark.range(300_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "").alias("text"))  # more rows than a frame has ids
+    got = token_output(many, BPE)
+    assert got.where("start = doc_id and n_tokens = 1").count() == 300_000
     assert token_output(empty, BPE).count() == 0 and tokenise(empty, BPE).count() == 0
 
 
