@@ -1,21 +1,29 @@
 """N-gram Jaccard join by PartEnum signatures (Arasu, Ganti and Kaushik, 2006).
 
-The domain of shingle hashes is cut into n1 equal parts. Two sets whose Hamming distance is at most k differ in at
-most k parts, so they agree in at least n1 - k of them; every non-empty part of a set gives one signature, the hash
-of what the set has there. Sets are taken in bands of size; a band fixes n1 and k, and a set also signs for the band
-below it when its partner may be there. Nothing is lost:
+The domain of shingle hashes is cut into n1 first-level parts, each of them into n2 = 3 second-level parts. Two sets
+whose Hamming distance is at most k differ in at most k2 = 1 element in at least n1 - k // 2 first-level parts, so
+there they agree in some two of the three second-level parts. Every subset of two second-level parts gives a
+signature: the hash of what the set has there, if it has something. Sets are taken in bands of size; a band fixes n1
+and k, and a set also signs for the band below it when its partner may be there. Nothing is lost:
 
 * a pair with |r| <= |s| and Jaccard >= t has |r| >= t |s| and distance <= (|r| + |s|) (1 - t) / (1 + t);
-* a set that has more than k non-empty parts agrees with each partner in a non-empty one;
-* a set that has not also signs with the prefix of its shingles in a fixed order; two such sets share one of these.
+* n1 is k // 2 + 1 and `spare` parts more; a part is strong if at least two of its second-level parts are not empty,
+  so that no subset of it is empty. A set with at most `spare` parts that are not strong shares a signature with
+  each partner;
+* a set with more of them also signs with the prefix of its shingles in a fixed order; two such sets share one of these.
 
 Shingles that a large share of a sample of sets have are left out of the domain (the distance over the rest is no
 larger, so the bounds hold) and come last in the fixed order. The sample only shifts work: links do not depend on it.
+
+Sets that share a signature are compared: all pairs of a group of at most 32, and in a larger one the pairs with its
+four least members. What these links leave apart in a large group is then compared within tasks, over blocks of
+the group: the members outside its largest component with all others, and only links that join two components come out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +35,14 @@ from docsieve.llm.components import components
 
 SKETCH_BITS, SKETCH_DOUBLINGS = 512, 7
 BAND = 1.5
+#: Second-level parts n2, and in how many of them a pair may differ, k2.
+PARTS, APART = 3, 1
+SUBSETS = tuple(combinations(range(PARTS), PARTS - APART))
+SPARE_PERCENT = 20
 ALL_PAIRS = 32
 HUBS = 4
-BLOCK = 256
+#: Shingles of one block of a large group, and members from which on a group is dealt over several tasks.
+BLOCK_SHINGLES, SPLIT_GROUP = 1 << 18, 1 << 20
 FILTER_BITS = 1 << 22
 #: The sample of sets that marks common shingles, the share of it that makes one common, and the most of them sent out.
 SAMPLE_SETS, COMMON_SHARE, COMMON_MOST = 4096, 0.01, 1 << 18
@@ -49,16 +62,18 @@ def bands(most: int, percent: int) -> np.ndarray:
 
 
 def band_shape(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For bands with these upper ends: the largest distance k within reach, and the number of parts n1."""
+    """For bands with these upper ends: the number n1 of first-level parts (0 if only equal sets link), and how many of them are spare."""
     k = max_distance(upper + upper * 100 // percent, percent)
-    return k, np.where(k > 0, np.ceil(1.12 * (k + 1)).astype(np.int64) + 2, 0)
+    least = k // (APART + 1) + 1
+    spare = -(-SPARE_PERCENT * least // 100) + 1
+    return np.where(k > 0, least + spare, 0), spare
 
 
 def signatures(h: np.ndarray, cut: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets h[cut[i]:cut[i+1]] (sorted hashes), and the set of each."""
     size = np.diff(cut)
     ends = bands(int(size.max(initial=1)) * 100 // percent + 1, percent)
-    ks, parts = band_shape(ends, percent)
+    parts, spares = band_shape(ends, percent)
     own = np.searchsorted(ends, size)
     row = np.repeat(np.arange(len(size)), size)
     rare = np.ones(len(h), bool)
@@ -66,6 +81,7 @@ def signatures(h: np.ndarray, cut: np.ndarray, common: np.ndarray, percent: int)
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         rare = common[at] != h
     value = mix(h ^ U(0xA5A5A5A5A5A5A5A5))
+    second = (((h & U(0xFFFFFFFF)) * U(PARTS)) >> U(32)).astype(np.int8)
     sig, of = [], []
     for step in (0, 1):
         band = own - step
@@ -75,27 +91,31 @@ def signatures(h: np.ndarray, cut: np.ndarray, common: np.ndarray, percent: int)
         band = np.where(ok, band, 0)
         n1 = np.where(ok, parts[band], 0)
         take = rare & (n1[row] > 0)
-        r, v = row[take], value[take]
-        n = n1[r].astype(np.uint64)
-        part = ((h[take] >> U(32)) * n) >> U(32)  # grows with h: a part's elements stand together
-        edge = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
-        total = segment_sums(v, np.append(edge, len(v)))
-        salt = mix(band[r[edge]].astype(np.uint64) << U(32) | part[edge])
-        sig.append(mix(total ^ salt))
-        of.append(r[edge])
-        full = np.bincount(r[edge], minlength=len(size))
-        for i in np.flatnonzero((n1 > 0) & (full <= ks[band])):
+        r, v, inner = row[take], value[take], second[take]
+        first = ((h[take] >> U(32)) * n1[r].astype(np.uint64)) >> U(32)  # grows with h: a part's elements stand together
+        edge = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
+        ends_of = np.append(edge, len(v))
+        total = [segment_sums(np.where(inner == j, v, U(0)), ends_of) for j in range(PARTS)]
+        held = np.stack([np.diff(np.append(0, np.cumsum(inner == j))[ends_of]) > 0 for j in range(PARTS)])
+        for n, subset in enumerate(SUBSETS):
+            some = np.flatnonzero(np.logical_or.reduce(held[list(subset)]))
+            salt = mix(band[r[edge[some]]].astype(np.uint64) << U(34) | first[edge[some]] << U(2) | U(n))
+            sig.append(mix(np.sum([total[j][some] for j in subset], axis=0, dtype=np.uint64) ^ salt))
+            of.append(r[edge[some]])
+        strong = np.bincount(r[edge[held.sum(0) > APART]], minlength=len(size))
+        for i in np.flatnonzero((n1 > 0) & (n1 - strong > spares[band])):
             s, c = h[cut[i] : cut[i + 1]], ~rare[cut[i] : cut[i + 1]]
             m = len(s)
-            first = s[np.lexsort((s, c))][: m - -(-percent * m // 100) + 1]
-            sig.append(mix(first ^ mix(np.array([band[i] + 7777], np.uint64))))
-            of.append(np.full(len(first), i))
+            prefix = s[np.lexsort((s, c))][: m - -(-percent * m // 100) + 1]
+            sig.append(mix(prefix ^ mix(np.array([band[i] + 7777], np.uint64))))
+            of.append(np.full(len(prefix), i))
     return np.concatenate(sig), np.concatenate(of)
 
 
 def fingerprints(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A hash of each whole set."""
-    return mix(segment_sums(mix(h + U(0x632BE59BD9B4E019)), cut) + np.diff(cut).astype(np.uint64) * U(0x9FB21C651E98DF25))
+    """Two independent hashes of each whole set, as rows of two."""
+    size = np.diff(cut).astype(np.uint64) * U(0x9FB21C651E98DF25)
+    return np.stack([mix(segment_sums(mix(h + U(x)), cut) + size) for x in (0x632BE59BD9B4E019, 0xC2B2AE3D27D4EB4F)], 1)
 
 
 def sketches(h: np.ndarray, cut: np.ndarray) -> list[bytes]:
@@ -116,22 +136,22 @@ def fold(column: list[bytes], size: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, fp (of the whole set), sketch."""
+    """Per document: doc_id, n_shingles, fp and fp2 (of the whole set), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, h, cut in shingle_sets(batch.column(1), k):
+                fp, fp2 = signed(np.ascontiguousarray(fingerprints(h, cut).T))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(cut)), pa.array(signed(fingerprints(h, cut))), pa.array(sketches(h, cut), pa.binary())],
-                    ["doc_id", "n_shingles", "fp", "sketch"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(cut)), pa.array(fp), pa.array(fp2), pa.array(sketches(h, cut), pa.binary())],
+                    ["doc_id", "n_shingles", "fp", "fp2", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, fp long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_shingles long, fp long, fp2 long, sketch binary")
 
 
-def common_shingles(docs: DataFrame, info: DataFrame, k: int) -> np.ndarray:
-    """Sorted hashes of shingles in at least 1 % of a sample of at most 4,096 documents (efficiency only)."""
-    n = info.count()
+def common_shingles(docs: DataFrame, n: int, k: int) -> np.ndarray:
+    """Sorted hashes of shingles in at least 1 % of a sample of about 4,096 of n documents (efficiency only)."""
     share = min(1 << 20, (SAMPLE_SETS << 20) // max(n, 1))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text")
     least = max(8, int(COMMON_SHARE * min(n, SAMPLE_SETS)))
@@ -152,72 +172,107 @@ def sign(docs: DataFrame, common: np.ndarray, percent: int, k: int) -> DataFrame
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen = np.zeros(0, "u8,u8")
         for batch in batches:
             for _, _, h, cut in shingle_sets(batch.column(0), k):
-                fp = fingerprints(h, cut)
+                both = np.ascontiguousarray(fingerprints(h, cut)).view("u8,u8").ravel()
                 sig, of = signatures(h, cut, held.value, percent)
-                new = ~np.isin(fp, seen)
-                _, first = np.unique(fp, return_index=True)
-                once = np.zeros(len(fp), bool)
-                once[first] = True
-                new &= once
-                seen = np.append(seen, fp[new])[-(1 << 20) :]
+                _, first = np.unique(both, return_index=True)
+                new = np.zeros(len(both), bool)
+                new[first] = True
+                new &= ~np.isin(both, seen)
+                seen = np.append(seen, both[new])[-(1 << 19) :]
                 keep = new[of]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.array(signed(fp[of[keep]]))], ["sig", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.array(signed(np.ascontiguousarray(both["f0"])[of[keep]]))], ["sig", "fp"])
 
     return docs.select("text").mapInArrow(released(run), "sig long, fp long")
 
 
-def pair_up(signed_sets: DataFrame) -> DataFrame:
+def busy_groups(docs: DataFrame, common: np.ndarray, percent: int, k: int, split_group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of so many sets that one task should not have to read them all, by a sixteenth of the documents, and
+    members of each to compare the others with. At most four signatures for every shuffle partition; they only shift work."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sign(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0), common, percent, k)
+    hubs = [F.min(F.when(F.pmod("fp", F.lit(HUBS)) == i, F.col("fp"))).alias(f"m{i}") for i in range(HUBS)]
+    rows = some.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("least"), *hubs).where(F.col("n") * 16 >= split_group)
+    rows = sorted(rows.orderBy(F.desc("n"), "sig").limit(4 * parts).collect())
+    return np.array([x.sig for x in rows], np.int64), np.array([[x.least if x[3 + i] is None else x[3 + i] for i in range(HUBS)] for x in rows], np.int64)
+
+
+def pair_up(signed_sets: DataFrame, busy: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """From (sig, fp): rows (a, b, null), pairs to check, and (null, fp, sig), the members of large groups.
 
     A group of at most 32 gives all its pairs. A larger one gives the pairs with its 4 least members, the same in
-    every group that they are in; link_residue() deals with the others.
+    every group that they are in; residue() deals with the others. Rows are streamed in order: a task holds at most 32
+    members of a group. Busy groups are dealt over several tasks, and meet the members given with them.
     """
-    dealt = signed_sets.repartition("sig").sortWithinPartitions("sig", "fp")
+    spark = signed_sets.sparkSession
+    sent = spark.sparkContext.broadcast(busy if busy is not None and len(busy[0]) else (np.zeros(0, np.int64), np.zeros((0, HUBS), np.int64)))
+    dealt = signed_sets.repartition("sig")
+    if len(sent.value[0]):
+        marks = spark.createDataFrame([(int(x),) for x in sent.value[0]], "sig long").withColumn("busy", F.lit(True))
+        salted = signed_sets.join(F.broadcast(marks), "sig", "left")
+        dealt = salted.repartition("sig", F.when(F.col("busy"), F.pmod("fp", F.lit(1 << 16))).otherwise(0)).drop("busy")
+    dealt = dealt.sortWithinPartitions("sig", "fp")
 
     def table(a: np.ndarray, b: np.ndarray, sig: np.ndarray | None) -> pa.RecordBatch:
         empty = pa.nulls(len(b), pa.int64())
         cols = [pa.array(a), pa.array(b), empty] if sig is None else [empty, pa.array(b), pa.array(sig)]
         return pa.RecordBatch.from_arrays(cols, ["a", "b", "sig"])
 
-    def groups(sig: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = np.append(True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1]))
-        sig, fp = sig[keep], fp[keep]
-        edge = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
-        size = np.diff(edge)
-        many = np.flatnonzero(size > 1)
-        first, size = edge[many], size[many]
+    def star(hubs: np.ndarray, sig: int, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        both = np.stack([np.repeat(hubs, len(own)), np.tile(own, len(hubs))], 1)
+        both = np.sort(both[both[:, 0] != both[:, 1]], axis=1)
+        yield table(both[:, 0].copy(), both[:, 1].copy(), None)
+        yield table(own, own, np.full(len(own), sig))
+
+    def small(fp: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for g in np.unique(size[size <= ALL_PAIRS]):
+        for g in np.unique(size[size > 1]):
             i, j = np.triu_indices(g, 1)
             at = first[size == g][:, None]
             a.append(fp[at + i].ravel())
             b.append(fp[at + j].ravel())
-        for at, g in zip(first[size > ALL_PAIRS], size[size > ALL_PAIRS], strict=True):
-            own = fp[at : at + g]
-            for hub in range(HUBS):
-                a.append(np.full(g - hub - 1, own[hub]))
-                b.append(own[hub + 1 :])
-            yield table(own, own, np.full(g, sig[at]))
         if a:
             both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield table(both[:, 0], both[:, 1], None)
+            yield table(both[:, 0].copy(), both[:, 1].copy(), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        busy_sig, busy_hubs = sent.value
+        last, large, kept = None, None, (np.zeros(0, np.int64),) * 2  # the row before; the open group's sig and hubs; its rows
         for batch in batches:
-            sig = np.append(sig, batch.column(0).to_numpy(zero_copy_only=False))
-            fp = np.append(fp, batch.column(1).to_numpy(zero_copy_only=False))
-            if len(sig) >= 1 << 19 and sig[0] != sig[-1]:
-                end = np.searchsorted(sig, sig[-1])
-                yield from groups(sig[:end], fp[:end])
-                sig, fp = sig[end:], fp[end:]
-        if len(sig):
-            yield from groups(sig, fp)
-
-    return dealt.mapInArrow(released(run), "a long, b long, sig long")
+            sig, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if not len(sig):
+                continue
+            new = np.append(last != (sig[0], fp[0]), (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1]))
+            last = (sig[-1], fp[-1])
+            sig, fp = sig[new], fp[new]
+            if large is not None and len(sig):
+                n = int(np.searchsorted(sig, large[0], "right"))
+                yield from star(large[1], large[0], fp[:n])
+                large = large if n == len(sig) else None
+                sig, fp = sig[n:], fp[n:]
+            sig, fp = np.append(kept[0], sig), np.append(kept[1], fp)
+            if not len(sig):
+                continue
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(first, len(sig)))
+            told = np.isin(sig[first], busy_sig)
+            many = (size > ALL_PAIRS) | told
+            open_end = not many[-1]
+            few = np.flatnonzero(~many)[: -1 if open_end else None]
+            yield from small(fp, first[few], size[few])
+            for i in np.flatnonzero(many).tolist():
+                own = fp[first[i] : first[i] + size[i]]
+                hubs = busy_hubs[np.searchsorted(busy_sig, sig[first[i]])] if told[i] else own[:HUBS]
+                yield from star(np.unique(hubs), sig[first[i]], own)
+                if i == len(first) - 1:
+                    large = (sig[first[i]], np.unique(hubs))
+            kept = (sig[first[-1] :], fp[first[-1] :]) if open_end else (sig[:0], fp[:0])
+        if len(kept[0]):
+            yield from small(kept[1], np.zeros(1, np.int64), np.array([len(kept[0])]))
+
+    return dealt.select("sig", "fp").mapInArrow(released(run), "a long, b long, sig long")
 
 
 def near(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, percent: int) -> np.ndarray:
@@ -267,11 +322,15 @@ def only(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return docs.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(released(run), "doc_id long, text string")
 
 
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids of `needed` (doc_id), one row an id: equal ids of a class stand for one text."""
+    return only(docs.select("doc_id", "text"), needed).join(needed, "doc_id", "left_semi")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     """(u, v): the representatives of pairs whose shingle sets reach the threshold, counted exactly."""
     needed = pairs.select(F.col("ra").alias("doc_id")).union(pairs.select(F.col("rb").alias("doc_id"))).distinct()
-    # One row of an id is enough: equal ids of a class stand for one text, and fp was checked to name that text's set.
-    texts = materialise(only(docs.select("doc_id", "text"), needed).join(needed, "doc_id", "left_semi"), "texts", 1024)
+    texts = materialise(texts_of(docs, needed), "texts", 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -289,69 +348,103 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame
     return joined.select("u", "v", "ta", "tb").mapInArrow(released(run), "u long, v long").distinct()
 
 
-def residue(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of large groups that the first links left in different components.
+def joining_links(t: pa.Table, percent: int) -> pa.Table:
+    """(u, v): links of one block's sets that join two of its components, at most one fewer than there are.
 
-    Groups of equal membership count once. A group is dealt to pairs of blocks of about 256 members, so that no task
-    has to hold a group; of a pair of blocks only pairs across components that pass near() come out.
+    t has rep, label, home (whether the set belongs to the block), stranger (whether it is outside the group's largest
+    component) and shingles (sorted hashes). Strangers are counted against all sets of the block over an inverted list.
     """
-    known = classes.select("fp", "n_shingles", "sketch", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    known = known.select("fp", "n_shingles", "sketch", F.coalesce("label", "rep").alias("label"))
-    rows = materialise(members.join(known.select("fp", "label"), "fp"), "members")
-    mixed = rows.groupBy("sig").agg(
-        F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.bit_xor(F.xxhash64("fp")).alias("who")
-    )
-    mixed = mixed.where("l0 <> l1").groupBy("n", "who").agg(F.min("sig").alias("sig"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = rows.join(mixed.select("sig", blocks.alias("blocks")), "sig").withColumn("own", own)
-    dealt = dealt.select("sig", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("sig", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(known, "fp")
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        fp, n, label, own = (t.column(c).to_numpy() for c in ("fp", "n_shingles", "label", "own"))
-        held = t.column("sketch").to_pylist()
-        least = min(map(len, held))
-        sketch = np.concatenate([fold([x], least) for x in held])
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            y = right[(label[right] != label[x]) & ((i != j) | (fp[right] > fp[x]))]
-            y = y[near(n[x], n[y], sketch[x], sketch[y], percent)]
-            a.append(np.minimum(fp[x], fp[y]))
-            b.append(np.maximum(fp[x], fp[y]))
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": a, "b": b})
+    t = t.combine_chunks()
+    rep, label, home, stranger = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "label", "home", "stranger"))
+    held = t.column("shingles").combine_chunks()
+    size = np.diff(held.offsets.to_numpy()).astype(np.int64)
+    flat = held.flatten().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(rep)), size)
+    mine = np.flatnonzero(home[of])
+    order = np.argsort(flat[mine], kind="stable")
+    listed, owner = flat[mine][order], of[mine][order]
+    names, place = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))
+    u, v = [], []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for x in np.flatnonzero(stranger):
+        own = flat[begin[x] : begin[x] + size[x]]
+        lo = np.searchsorted(listed, own, "left")
+        n = np.searchsorted(listed, own, "right") - lo
+        met = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        both = np.bincount(met, minlength=len(rep))
+        for y in np.flatnonzero((both > 0) & (100 * both >= percent * (size[x] + size - both)) & (place != place[x])).tolist():
+            i, j = find(place[x]), find(place[y])
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                u.append(rep[x])
+                v.append(rep[y])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def residue(members: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, percent: int, k: int, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """(u, v): links between components that the first links left apart in large groups, enough to join them.
+
+    Groups of equal membership count once. A set is at home in one block of its group of about 262,144 shingles; members
+    outside the group's largest component also visit the other blocks. No task has to hold a group.
+    """
+    known = classes.select("fp", "n_shingles", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    known = known.select("fp", "n_shingles", "rep", F.coalesce("label", "rep").alias("label"))
+    rows = materialise(members.distinct().join(known, "fp").drop("fp"), "members")
+    share = rows.groupBy("sig", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    mixed = share.groupBy("sig").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_xor("who").alias("who"), F.max(F.struct("n", "label")).alias("main"))
+    once = mixed.where("labels > 1").groupBy("n", "who").agg(F.min(F.struct("sig", "w", "main")).alias("m"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m.w") / block)).cast("int")
+    once = materialise(once.select("m.sig", F.col("m.main.label").alias("main"), blocks.alias("blocks")), "mixed")
+    dealt = rows.join(once, "sig").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("stranger", F.col("label") != F.col("main"))
+    visits = F.when(F.col("stranger"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = dealt.select("sig", "rep", "label", "stranger", "own", F.explode(visits).alias("block"))
+    dealt = materialise(dealt.select("sig", "block", "rep", "label", "stranger", (F.col("own") == F.col("block")).alias("home")), "dealt")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, h, cut in shingle_sets(batch.column(1), k):
+                held = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(h)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), held], ["rep", "shingles"])
 
-    return dealt.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    sets = texts_of(docs, dealt.select(F.col("rep").alias("doc_id")).distinct()).mapInArrow(released(shingled), "rep long, shingles array<long>")
+    whole = dealt.join(sets, "rep")
+    return whole.groupBy("sig", "block").applyInArrow(lambda t: joining_links(t, percent), "u long, v long").distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 80, k: int = 5, split_group: int = SPLIT_GROUP, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles (bytes A-Z
     lower-cased; words are runs of bytes other than ASCII white space). A document with fewer than k words has its
     whole sequence as its one shingle; an empty or null text has no shingle and links with nothing. Equal sets are
     one class and are not paired. One row comes out for every row that goes in; rows of a null doc_id take part in
-    no link and have a null component_id. Other columns are ignored. An empty table gives an empty one.
+    no link and have a null component_id. Other columns are ignored. An empty table gives an empty one. split_group
+    and block only shift work between tasks.
     """
     docs = docs.select("doc_id", "text")
     info = materialise(describe(docs, k), "shingles", 2048)
     live = info.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = live.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
-    found = materialise(pair_up(sign(docs.where("doc_id is not null"), common_shingles(docs, info, k), percent, k)), "pairs", 8192)
+    n = info.count()
+    common = common_shingles(docs, n, k)
+    own = docs.where("doc_id is not null")
+    busy = busy_groups(own, common, percent, k, split_group) if n >= split_group else None
+    found = materialise(pair_up(sign(own, common, percent, k), busy), "pairs", 8192)
     pairs = screen(found.where("a is not null").select("a", "b").distinct(), classes, percent)
     links = materialise(verify(materialise(pairs, "screened", 2048), docs, percent, k), "links", 256)
     members = found.where("sig is not null").select(F.col("b").alias("fp"), "sig")
     if not members.isEmpty():
-        rest = materialise(residue(members, classes, components(links), percent), "residue")
-        more = verify(materialise(screen(rest, classes, percent), "screened", 2048), docs, percent, k)
-        links = links.union(materialise(more, "links", 256))
+        links = links.union(materialise(residue(members, classes, components(links), docs, percent, k, block), "residue"))
     # Rows of one doc_id with different texts are one node of the graph.
-    same = live.select("doc_id", "fp").join(classes.select("fp", "rep"), "fp").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    label = components(links.union(same))
+    same = live.select("doc_id", "fp", "fp2").join(classes.select("fp", "fp2", "rep"), ["fp", "fp2"]).where("doc_id <> rep")
+    label = components(links.union(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
     return info.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

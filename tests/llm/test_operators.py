@@ -80,7 +80,8 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
-def test_jaccard_components_equal_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"split_group": 40, "block": 3000}])
+def test_jaccard_components_equal_brute_force(spark, sizes):
     rng = random.Random(5)
     base = [prose(rng, n) for n in (6, 7, 12, 30, 60, 120, 400)]
     rows = [(k, edited(rng, b, rng.randint(0, max(1, len(b.split()) // 40))), "a") for k, b in enumerate(rng.choice(base) for _ in range(120))]
@@ -89,7 +90,7 @@ def test_jaccard_components_equal_brute_force(spark):
     common = prose(rng, 80)  # a passage that many documents share and that links none
     rows += [(2000 + k, prose(rng, 90) + " " + common, "c") for k in range(60)]
     rng.shuffle(rows)
-    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows).repartition(5)).collect())
+    got = sorted(tuple(r) for r in jaccard_components(frame(spark, rows).repartition(5), **sizes).collect())
     assert got == brute_components(rows)
 
 
