@@ -20,12 +20,12 @@ from docsieve.llm.tokens import encoder
 from docsieve.llm.topk import top_k
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, key string, sid int, size string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, key string, sid int, size string, pieces string"
 VOCABULARY = ["alpha", "beta", "gamma", "delta", "the", "of", "éa", "run", "lake", "stone", "x1", "y2"]
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "h", "k", 1, "s") for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), "h", "k", 1, "s", "p") for i, t, s in rows], SCHEMA)
 
 
 def prose(rng, n):
@@ -243,6 +243,31 @@ def test_masks_tolerate_three_substitutions_in_sixteen():
         assert any(not {o + k for k in m} & set(gone) for m in decontaminate.MASKS for o in range(16 - m[-1]))
 
 
+def best_by_trying_all(same, size):
+    """Most tokens that agree in a stretch with 4 of 5 agreeing, if they are enough for an item of that size; else 0."""
+    n, total = len(same), np.append(0, np.cumsum(same))
+    most = max((total[j] - total[i] for i in range(n) for j in range(i + 1, n + 1) if 5 * (total[j] - total[i]) >= 4 * (j - i)), default=0)
+    return most if most >= (size if size < 10 else 9 if size < 12 else 10) else 0
+
+
+def test_every_three_substitutions_in_sixteen_are_reported():
+    item = np.arange(16, dtype=np.uint64)
+    for gone in itertools.combinations(range(16), 3):
+        doc = item.copy()
+        doc[list(gone)] += np.uint64(100)
+        agree, a, b = decontaminate.best_stretch(doc, item, 0)
+        assert decontaminate.enough(agree, 16) and agree <= best_by_trying_all(doc == item, 16) and 5 * agree >= 4 * (b - a)
+
+
+def test_repeated_rows_and_items_give_the_same_on_both_paths(spark):
+    rng = random.Random(12)
+    x = prose(rng, 20)
+    docs = frame(spark, [(1, x, "a"), (1, x, "a"), (1, x + " more", "a"), (None, x, "b"), (2, None, "a")])
+    bench = spark.createDataFrame([(5, x), (5, x), (None, x)], "item_id long, text string")
+    one, two = (sorted(map(repr, decontaminate.overlaps(docs, bench, send_most=m).collect())) for m in (decontaminate.SEND_MOST, 0))
+    assert one == two and len(one) == 8
+
+
 def test_overlaps(spark, odd, empty):
     rng = random.Random(6)
     items = [(0, prose(rng, 30)), (1, prose(rng, 16)), (2, "seven short words make this test item"), (3, "too short"), (4, None), (5, "")]

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from docsieve.llm import decontaminate, mixing, toxicity
-from tests.llm.test_operators import brute_components, frame
+from tests.llm.test_operators import best_by_trying_all, brute_components, frame
 
 pipeline = pytest.importorskip("corpus_pipeline")
 DIR = "/root/testdata/sf0.001"
@@ -19,14 +19,15 @@ def rows_of(df):
 
 
 def overlap(text, items):
-    """Whether any diagonal of any item has a stretch that is enough, by trying all."""
+    """Whether along any diagonal of any item a stretch of enough tokens agrees, by trying all."""
     doc = next(decontaminate.tokens([text]))[2]
     for item in items:
         if len(item) < decontaminate.SHORT:
             continue
         for d in range(-len(item) + 1, len(doc)):
-            agree, a, b = decontaminate.best_stretch(doc, item, d)
-            if agree >= min(decontaminate.MIN_TOKENS, len(item)):
+            a, b = max(0, d), min(len(doc), d + len(item))
+            same = doc[a:b] == item[a - d : b - d]
+            if same.sum() >= 5 and best_by_trying_all(same, len(item)):
                 return True
     return False
 
