@@ -105,10 +105,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     last = F.greatest(F.col("n") - size, F.lit(0))
     whole = lambda x: F.floor(x / step).cast("int")
     near = F.transform("at", lambda p: F.transform(F.sequence(whole(F.greatest(p - size + 1, F.lit(0))), whole(p)), lambda s: F.least(s * step, last)))
-    window = some.select("doc_id", "words", "size", "step", "bands", F.explode(F.array_distinct(F.flatten(near))).alias("start"))
-    # Containment is counted a step beyond both ends, so that no shingle is lost to where windows happen to begin.
-    wider = F.slice("words", F.greatest(F.col("start") - step, F.lit(0)) + 1, size + 2 * step)
-    window = window.select("doc_id", "size", "bands", "start", F.slice("words", F.col("start") + 1, size).alias("w"), wider.alias("wider")).where(F.size("w") >= WORDS)
+    # Containment is counted a step beyond both ends, so that no shingle is lost to where windows happen to begin. Words
+    # are cut out before the windows become rows, so that no row holds a whole text.
+    cut = lambda s: F.struct(
+        s.alias("start"), F.slice("words", s + 1, size).alias("w"), F.slice("words", F.greatest(s - step, F.lit(0)) + 1, size + 2 * step).alias("wider")
+    )
+    window = some.select("doc_id", "size", "bands", F.explode(F.transform(F.array_distinct(F.flatten(near)), cut)).alias("x"))
+    window = window.select("doc_id", "size", "bands", "x.*").where(F.size("w") >= WORDS)
     keyed = window.select("doc_id", "start", shingles(F.col("wider")).alias("held"), F.explode(band_keys(shingles(F.col("w")), size, F.col("bands"))).alias("band"))
     # The templates are a fixed list of this module or of the caller's, a few rows each.
     met = keyed.join(F.broadcast(known), "band")
