@@ -179,7 +179,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     A document of which all is taken once keeps its text. Words taken twice follow once more after a line break; the
     white space within a run of taken words stays. n_chars is the number of characters of the new text.
     """
-    names = docs.columns
+    names, given = docs.columns, docs
+    # Other columns travel in a struct, so that their names never meet those used here.
+    rest = [c for c in names if c not in ("doc_id", "text", "source", "n_chars")]
+    docs = docs.select(*[c for c in ("doc_id", "text", "source", "n_chars") if c in names], F.struct(F.lit(0).alias("_"), *[F.col(c) for c in rest]).alias("mix_rest"))
     taken, _ = mix_sources(docs, **options)
     taken = taken.where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_n"), "pieces")
     n, ids, known = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.count("doc_id")).first()
@@ -222,5 +225,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
 
     out = held.withColumn("text", cut("text", "pieces"))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.length("text").cast(given.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"mix_rest.{c}") if c in rest else c for c in names])
