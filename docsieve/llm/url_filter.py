@@ -15,20 +15,15 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-FEATURES = ("chars", "host_chars", "depth", "labels", "hyphens", "digit_ratio", "entropy", "params", "suffix_share", "token_share")
+FEATURES = ("chars", "host_chars", "depth", "labels", "hyphens", "digit_ratio", "entropy", "params", "suffix_share")
 #: The most labelled URLs that are learnt from.
 SAMPLE = 20_000
 TREES, DEPTH = 20, 3
-#: Parts of hosts of the labelled seed URLs (fixed values): of sites to block, and of others.
-BAD_PARTS = (
-    "adult ads bet bets bonus casino cheap click crack dating download escort farm free gamble hack jackpot loan lottery "
-    "nude pills poker porn prize proxy sex slots spam torrent track viagra warez win x xxx"
-).split()
-GOOD_PARTS = (
-    "archive bakery books bridge city clinic coast college docs forest garden harbor history journal kitchen lake library "
-    "market meadow museum music news north park press river school science south station street studio theatre travel "
-    "valley village weather west wiki winter wood workshop writers"
-).split()
+#: Made-up URLs that are learnt from where the caller has no labels, and what they are made of (fixed values).
+SEEDS = 8_000
+ONSETS, VOWELS = "b c d f g h k l m n p r s t v w st tr br".split(), "a e i o u ai ea oo".split()
+PLAIN_SUFFIXES = "com com com org org net net edu gov io de fr es info".split()
+CHEAP_SUFFIXES = "com com net org info info biz top top xyz xyz click site".split()
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -52,27 +47,52 @@ def first_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -
     return F.coalesce(*out) if out else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """(url, label) of made-up sites, 1 to block: every part alone and joined with others, under several suffixes."""
+def seed_urls(spark: SparkSession, n: int = SEEDS) -> DataFrame:
+    """(url, label, site) of made-up URLs, 1 to block; site is the word that a host is built on.
 
-    def sites(parts: list[str], label: int) -> DataFrame:
-        one = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in parts])).alias("a"))
-        two = one.select("a", F.explode(F.array(*[F.lit(x) for x in ["", *parts]])).alias("b"))
-        host = F.when(F.col("b") == "", F.col("a")).otherwise(F.concat_ws("-", "a", "b"))
-        return two.where("a <> b").select(host.alias("host"), F.lit(label).alias("label"))
-
-    # Plain words of other sites seldom have hyphens, so half of theirs are joined without one.
-    good = sites(GOOD_PARTS, 0).withColumn("host", F.when(F.pmod(F.xxhash64("host"), F.lit(2)) == 0, F.replace("host", F.lit("-"), F.lit(""))).otherwise(F.col("host")))
-    every = sites(BAD_PARTS, 1).union(good).withColumn("k", F.pmod(F.xxhash64("host", F.lit(7)), F.lit(1 << 20)).cast("int"))
-    pick = lambda step, values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("k") / step) % len(values) + 1).cast("int"))
-    sub = pick(1, ["", "www.", "blog.", "m."])
-    suffix = pick(4, [".example.com", ".example.net", ".example.org", ".com", ".net", ".org", ".info"])
-    path = F.concat(pick(28, ["/en/", "/de/", "/fr/", "/es/", "/"]), (F.col("k") % 9973).cast("string"), pick(140, ["", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed"]))
-    return every.select(F.concat(F.lit("https://"), sub, "host", suffix, path).alias("url"), "label")
+    There are no labelled URLs among the tables, so labels here follow from how a URL is made, by its form alone and
+    without a list of words: those to block tend to long hosts of several parts and digits, to deep paths, to many
+    parameters and to cheap suffixes, the others to short names and plain paths. Each trait is drawn on its own, and
+    both kinds have all of them, so that no trait tells by itself.
+    """
+    u = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) / F.lit(1 << 20)
+    pick = lambda salt, values: F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u(salt) * len(values)).cast("int") + 1)
+
+    def word(salt: int, syllables: int) -> Column:
+        return F.concat(*[c for k in range(syllables) for c in (pick(salt + 2 * k, ONSETS), pick(salt + 2 * k + 1, VOWELS))])
+
+    bad = F.col("label") == 1
+    odds = lambda salt, good, worse: u(salt) < F.when(bad, worse).otherwise(good)
+    digits = lambda salt, size: F.lpad(F.floor(u(salt) * 10**size).cast("string"), size, "7")
+    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int")).withColumn("site", word(100, 2))
+    host = F.concat(
+        F.when(odds(1, 0.5, 0.3), pick(2, ["www.", "en.", "shop."])).otherwise(""),
+        "site",
+        F.when(odds(3, 0.3, 0.9), F.concat(F.when(odds(4, 0.3, 0.7), "-").otherwise(""), word(200, 2))).otherwise(""),
+        F.when(odds(5, 0.05, 0.6), F.concat(F.when(odds(6, 0.5, 0.8), "-").otherwise(""), word(300, 3))).otherwise(""),
+        F.when(odds(7, 0.05, 0.5), digits(8, 3)).otherwise(""),
+        F.lit("."),
+        F.when(odds(9, 0.1, 0.8), pick(10, CHEAP_SUFFIXES)).otherwise(pick(11, PLAIN_SUFFIXES)),
+    )
+    path = F.concat(
+        F.lit("/"),
+        F.when(odds(20, 0.7, 0.8), F.concat(word(400, 2), F.lit("/"))).otherwise(""),
+        F.when(odds(21, 0.3, 0.6), F.concat(word(500, 2), F.lit("/"))).otherwise(""),
+        F.when(odds(22, 0.1, 0.6), F.concat(digits(23, 6), F.lit("/"))).otherwise(""),
+        F.when(odds(24, 0.5, 0.5), digits(25, 3)).otherwise(word(600, 2)),
+        pick(26, ["", "", ".html", "/", "#notes"]),
+    )
+    query = F.concat(
+        F.when(odds(30, 0.25, 0.8), F.concat(F.lit("?id="), digits(31, 2))).otherwise("?"),
+        F.when(odds(32, 0.1, 0.6), F.concat(F.lit("&c="), word(700, 2), digits(33, 5))).otherwise(""),
+        F.when(odds(34, 0.02, 0.5), F.concat(F.lit("&click="), digits(35, 9))).otherwise(""),
+    )
+    query = F.when(F.length(query) > 1, F.replace(query, F.lit("?&"), F.lit("?"))).otherwise("")
+    return rows.select(F.concat(F.lit("https://"), host, path, query).alias("url"), "label", "site")
 
 
 def describe(urls: DataFrame) -> DataFrame:
-    """urls (url, ...) with host, path, suffix, the parts of the host before it, and the features of the text alone."""
+    """urls (url, ...) with host, path, suffix and the features of the text alone."""
     host, path = url_parts(F.col("url"))
     out = urls.withColumn("host", host).withColumn("path", path).withColumn("line", F.coalesce("url", F.lit("")))
     letters = F.filter(F.split("host", ""), lambda c: c != "")
@@ -90,39 +110,31 @@ def describe(urls: DataFrame) -> DataFrame:
         (F.length(F.regexp_replace("line", r"[^0-9]", "")) / F.greatest(F.length("line"), F.lit(1))).alias("digit_ratio"),
         F.coalesce(entropy, F.lit(0.0)).alias("entropy"),
         F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")).alias("params"),
-        F.array_join(F.slice(labels, -1, 1), ".").alias("suffix"),
-        F.filter(F.split("host", r"[.-]"), lambda x: x != "").alias("parts"),
+        F.element_at(labels, -1).alias("suffix"),
     )
 
 
 class UrlModel:
-    """Boosted trees with the shares of labelled URLs to block, by suffix and by part of a host."""
+    """Boosted trees, with the share of labelled URLs to block by suffix (at most as many rows as labels) and over all."""
 
-    def __init__(self, trees: GBTClassificationModel, suffix: DataFrame, part: DataFrame, share: float) -> None:
-        self.trees, self.suffix, self.part, self.share = trees, suffix, part, share
+    def __init__(self, trees: GBTClassificationModel | None, suffix: DataFrame, share: float) -> None:
+        self.trees, self.suffix, self.share = trees, suffix, share
 
     def features(self, described: DataFrame) -> DataFrame:
-        """described with suffix_share and token_share, the largest share of any part of the host."""
-        hosts = described.select("host", "suffix", "parts").distinct()
-        met = hosts.select("host", F.explode("parts").alias("part")).join(self.part, "part").groupBy("host").agg(F.max("share").alias("token_share"))
-        known = hosts.join(self.suffix, "suffix", "left").join(met, "host", "left").select("host", "suffix_share", "token_share")
-        filled = described.join(known, "host", "left")
-        return filled.fillna({"suffix_share": self.share, "token_share": self.share})
+        """described with suffix_share; a suffix without labels has the share over all."""
+        return described.join(F.broadcast(self.suffix), "suffix", "left").fillna({"suffix_share": self.share})
 
 
 def learn(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, sample: int = SAMPLE) -> UrlModel:
     """From (url, label), at most `sample` rows in the order of a hash of the URL; null URLs and labels do not count.
 
-    A share is (blocked + average) / (labelled + 1). Parts in fewer than 3 labelled URLs have no share.
+    A suffix's share is (blocked + average) / (labelled + 1).
     """
     rows = labelled.where("url is not null and label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(sample)
     rows = describe(rows.select("url", F.col("label").cast("double").alias("label")))
     share = rows.agg(F.avg("label")).first()[0] or 0.0
     shrunk = (F.sum("label") + share) / (F.count("*") + 1)
-    suffix = rows.groupBy("suffix").agg(shrunk.alias("suffix_share"))
-    parts = rows.select("label", F.explode(F.array_distinct("parts")).alias("part")).groupBy("part").agg(shrunk.alias("share"), F.count("*").alias("n"))
-    part = parts.where("n >= 3").select("part", "share")
-    model = UrlModel(None, suffix, part, share)
+    model = UrlModel(None, rows.groupBy("suffix").agg(shrunk.alias("suffix_share")), share)
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(model.features(rows))
     model.trees = GBTClassifier(maxIter=trees, maxDepth=depth, seed=5, labelCol="label", featuresCol="features", predictionCol="guess").fit(ready)
     return model

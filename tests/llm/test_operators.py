@@ -351,10 +351,33 @@ def test_machine_learns_pairs():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 6)) < 0.4
     rows, y = [np.flatnonzero(r).tolist() for r in x], (x[:, 0] & x[:, 1]).astype(float)
-    score = toxicity.fit(x.astype(np.float32), y, np.arange(6)).score(rows)
+    score = toxicity.fit([np.array(r, np.int64) for r in rows], y, np.arange(6)).score(rows)
     assert ((score >= 0.5) == (y == 1)).mean() > 0.99
 
 
+def test_learning_finds_words_that_are_toxic_only_together(spark):
+    """Both words are as common among clean documents as among toxic ones."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1200):
+        kind = i % 8
+        extra = ["quib", "zorn"] if kind in (0, 1) else ["quib"] if kind == 2 else ["zorn"] if kind == 3 else []
+        toxic = int(kind in (0, 1))
+        if kind in (4, 5, 6, 7):
+            extra = []
+        w = [rng.choice(VOCABULARY) for _ in range(12)] + extra
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), "a"))
+        labels.append((i, toxic))
+    # neutral alone: as many clean documents with either word as toxic ones
+    for i in range(1200, 1800):
+        rows.append((i, " ".join([rng.choice(VOCABULARY) for _ in range(12)] + [("quib", "zorn")[i % 2]]), "a"))
+        labels.append((i, 0))
+    told = toxicity.toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    good = sum(r.predicted == labels[r.doc_id][1] for r in told)
+    assert good >= 0.97 * len(told)
+
+
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (8, 0), (8, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(frame(spark, odd), labels).collect()
@@ -364,7 +387,7 @@ def test_toxicity_odd_rows(spark, odd, empty):
 
 
 def test_url_filter(spark):
-    urls = ["https://m.a.COM/en/1", "http://x.example.com/en/77?q", "https://casino-win.example.com/fr/1", "http://b.net/de/1", "http://example.net/de/8", "http://org/es/", "http://borg/es/", None, "", "no scheme", "://", "https://quiet-garden.example.net/fr/5", "http://h.com#/en/", "https://" + "long" * 5000 + ".com/en/9"]
+    urls = ["https://m.a.COM/en/1", "http://x.example.com/en/77?q", "https://best-luckyroom-treasure777.xyz/vu/tira/482913/77?id=12&c=bona55512&click=123456789", "http://b.net/de/1", "http://example.net/de/8", "http://org/es/", "http://borg/es/", None, "", "no scheme", "://", "https://www.moon.org/fr/5", "http://h.com#/en/", "https://" + "long" * 5000 + ".com/en/9"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, label string")
     got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
     assert len(got) == len(urls)
@@ -376,10 +399,22 @@ def test_url_filter(spark):
 
 
 def test_url_model_held_out(spark):
-    seeds = url_filter.seed_urls(spark).withColumn("part", F.pmod(F.xxhash64("url", F.lit(5)), F.lit(4)))
-    told = url_filter.judge_urls(seeds.where("part = 0").withColumn("page_id", F.monotonically_increasing_id()).cache(), seeds.where("part > 0").select("url", "label"), rules=())
-    rows = told.join(seeds.where("part = 0").select("url", "label").withColumn("host", url_filter.url_parts(F.col("url"))[0]), "host").select("verdict", "label").collect()
-    assert sum((r.verdict == "block") == (r.label == 1) for r in rows) >= 0.95 * len(rows)
+    """Sites of the test URLs are none of the training ones."""
+    seeds = url_filter.seed_urls(spark).withColumn("part", F.pmod(F.xxhash64("site", F.lit(5)), F.lit(4))).cache()
+    test = seeds.where("part = 0").withColumn("page_id", F.monotonically_increasing_id()).cache()
+    told = url_filter.judge_urls(test, seeds.where("part > 0").select("url", "label"), rules=())
+    rows = told.join(test.select("page_id", "label"), "page_id").select("verdict", "label").collect()
+    assert len(rows) == test.count() and sum((r.verdict == "block") == (r.label == 1) for r in rows) >= 0.9 * len(rows)
+
+
+def test_url_model_learns_the_callers_labels(spark):
+    """Labels that follow from the suffix alone, or from digits alone, against the plain rule."""
+    base = url_filter.seed_urls(spark).withColumn("page_id", F.monotonically_increasing_id())
+    for label in (F.col("url").rlike(r"^https://[^/]*[.](com|io)/").cast("int"), (F.length(F.regexp_replace("url", "[^0-9]", "")) * 5 > F.length("url")).cast("int")):
+        rows = base.withColumn("label", label).cache()
+        told = url_filter.judge_urls(rows.where("page_id % 3 = 0"), rows.where("page_id % 3 > 0").select("url", "label"), rules=()).join(rows.select("page_id", "label"), "page_id")
+        n, good = told.agg(F.count("*"), F.sum(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("int"))).first()
+        assert good >= 0.97 * n
 
 
 def test_secret_scan(spark, odd, empty):
