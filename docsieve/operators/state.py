@@ -1,21 +1,61 @@
-"""State machines over events of a key in order of time: as folds in Catalyst, one pass per key."""
+"""State machines over events of a key in order of time, one pass over sorted rows with a few values of state.
+
+Rows are dealt by key and sorted within partitions, so that Spark's sort spills and no key is ever held whole; a key
+that begins in one Arrow batch goes on in the next.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+#: Rows of one batch of results.
+OUT_ROWS = 4096
 
 
-def fold(events: DataFrame, key: str, order: list[str], start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
-    """(key, state): the events of a key, as structs of `order` columns, folded in their order.
+def fold(
+    events: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple | None]], finish: Callable[[Any], tuple | None]
+) -> DataFrame:
+    """(key, columns of schema): the events of a key, as tuples of `order` columns, taken in that order.
 
-    The events of one key are gathered, so keys must stay moderate; streaming.keyed has the same machines with
-    constant state per key.
+    step turns a state and an event into a new state and a row to put out, or None; finish gives the row at the end of
+    a key, or None. Events of a null key are those of one key.
     """
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("_e"))
-    return rows.select(key, F.aggregate("_e", start, step, finish).alias("state"))
+    types = StructType([StructField(key, events.schema[key].dataType), *_parse_datatype_string(schema).fields])
+    fields = to_arrow_schema(types)
+    dealt = events.select(key, *order).repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out = None, None, []
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
+
+        for batch in batches:
+            for this, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or this != now[0]:
+                    if now is not None and (row := finish(state)) is not None:
+                        out.append((now[0], *row))
+                    now, state = (this,), start()
+                state, row = step(state, tuple(event))
+                if row is not None:
+                    out.append((this, *row))
+                if len(out) >= OUT_ROWS:
+                    yield rows()
+                    out = []
+        if now is not None and (row := finish(state)) is not None:
+            out.append((now[0], *row))
+        if out:
+            yield rows()
+
+    return dealt.mapInArrow(run, types)
 
 
 def micros(ts: str) -> Column:
@@ -24,23 +64,30 @@ def micros(ts: str) -> Column:
 
 def anchored_counts(events: DataFrame, key: str, ts: str, gap_s: int, tie: str) -> DataFrame:
     """(key, plays): events at least gap_s after the last counted one; an ignored event does not move the anchor."""
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("n"))
-    hit = lambda acc, x: acc["anchor"].isNull() | (x["t"] - acc["anchor"] >= gap_s * 1_000_000)
-    step = lambda acc, x: F.when(hit(acc, x), F.struct(x["t"].alias("anchor"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-    return fold(events.select(key, micros(ts).alias("t"), tie), key, ["t", tie], start, step, lambda a: a["n"]).withColumnRenamed("state", "plays")
+
+    def step(state: tuple, event: tuple) -> tuple[tuple, None]:
+        anchor, n = state
+        hit = anchor is None or event[0] - anchor >= gap_s * 1_000_000
+        return ((event[0], n + 1) if hit else state), None
+
+    return fold(events.select(key, micros(ts).alias("t"), tie), key, ["t", tie], "plays long", lambda: (None, 0), step, lambda s: (s[1],))
 
 
 def hysteresis(events: DataFrame, key: str, ts: str, tie: str, value: str, high: float, low: float, calm: int) -> DataFrame:
-    """(key, busy, turns): busy from `high` on, until `calm` readings in a row are below `low`; turns counts changes."""
-    start = F.struct(F.lit(False).alias("busy"), F.lit(0).alias("calm"), F.lit(0).cast("long").alias("turns"))
+    """(key, busy, turns): busy from `high` on, until `calm` readings in a row are below `low`; turns counts changes.
 
-    def step(acc: Column, x: Column) -> Column:
-        quiet = F.when(acc["busy"] & (x[value] < low), acc["calm"] + 1).otherwise(0)
-        busy = F.when(x[value] >= high, True).when(quiet >= calm, False).otherwise(acc["busy"])
-        return F.struct(busy.alias("busy"), F.when(busy, quiet).otherwise(0).alias("calm"), (acc["turns"] + (busy != acc["busy"]).cast("long")).alias("turns"))
+    A null reading changes nothing but breaks a run of calm ones.
+    """
+
+    def step(state: tuple, event: tuple) -> tuple[tuple, None]:
+        busy, quiet, turns = state
+        v = event[2]
+        quiet = quiet + 1 if busy and v is not None and v < low else 0
+        now = True if v is not None and v >= high else False if quiet >= calm else busy
+        return (now, quiet if now else 0, turns + (now != busy)), None
 
-    out = fold(events.select(key, micros(ts).alias("t"), tie, value), key, ["t", tie, value], start, step, lambda a: a)
-    return out.select(key, F.col("state.busy").alias("busy"), F.col("state.turns").alias("turns"))
+    out = events.select(key, micros(ts).alias("t"), tie, value)
+    return fold(out, key, ["t", tie, value], "busy boolean, turns long", lambda: (False, 0, 0), step, lambda s: (s[0], s[2]))
 
 
 def pace_levels(events: DataFrame, key: str, ts: str, tie: str, seconds: str, late: float = 60, quick_enough: float = 30) -> DataFrame:
@@ -50,41 +97,60 @@ def pace_levels(events: DataFrame, key: str, ts: str, tie: str, seconds: str, la
     within `quick_enough`; full becomes short when the mean of the last three (two at least) is above `late`. A change
     forgets the answers so far.
     """
-    none = F.array().cast("array<double>")
-    start = F.struct(F.lit("full").alias("level"), none.alias("seen"), F.lit(0).cast("long").alias("changes"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s, level = x[seconds], acc["level"]
-        seen = F.slice(F.concat(acc["seen"], F.array(s)), -3, 3)
-        seen = F.when(F.size(acc["seen"]) < 3, F.concat(acc["seen"], F.array(s))).otherwise(seen)
-        mean = F.aggregate(seen, F.lit(0.0), lambda a, v: a + v) / F.size(seen)
-        new = (
-            F.when(s.isNull(), "quick")
-            .when((level == "quick") & (s <= late), "short")
-            .when((level == "short") & (F.size(seen) == 3) & F.forall(seen, lambda v: v <= quick_enough), "full")
-            .when((level == "full") & (F.size(seen) >= 2) & (mean > late), "short")
-            .otherwise(level)
-        )
-        return F.struct(new.alias("level"), F.when((new != level) | s.isNull(), none).otherwise(seen).alias("seen"), (acc["changes"] + (new != level).cast("long")).alias("changes"))
-
-    out = fold(events.select(key, micros(ts).alias("t"), tie, F.col(seconds).cast("double").alias(seconds)), key, ["t", tie, seconds], start, step, lambda a: a)
-    return out.select(key, F.col("state.level").alias("level"), F.col("state.changes").alias("changes"))
+
+    def step(state: tuple, event: tuple) -> tuple[tuple, None]:
+        level, seen, changes = state
+        s = event[2]
+        seen = [*seen, s][-3:]
+        new = level
+        if s is None:
+            new = "quick"
+        elif level == "quick" and s <= late:
+            new = "short"
+        elif level == "short" and len(seen) == 3 and all(x <= quick_enough for x in seen):
+            new = "full"
+        elif level == "full" and len(seen) >= 2 and sum(seen) / len(seen) > late:
+            new = "short"
+        return (new, [] if new != level or s is None else seen, changes + (new != level)), None
+
+    rows = events.select(key, micros(ts).alias("t"), tie, F.col(seconds).cast("double").alias(seconds))
+    return fold(rows, key, ["t", tie, seconds], "level string, changes long", lambda: ("full", [], 0), step, lambda s: (s[0], s[2]))
 
 
 def packed_lines(rows: DataFrame, key: str, order: str, text: str, most: int = 160) -> DataFrame:
-    """(key, lines): the texts of a key joined by blanks, in order, each line as full as it goes within `most`."""
-    start = F.array().cast("array<string>")
+    """(key, nth, line): the texts of a key joined by blanks, in order, each line as full as it goes within `most`.
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.element_at(acc, -1))
-        fits = last.isNotNull() & (F.length(last) + 1 + F.length(x[text]) <= most)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, x[text])))).otherwise(F.concat(acc, F.array(x[text])))
+    Null texts are left out; a text longer than `most` is a line of its own.
+    """
 
-    return fold(rows.select(key, order, text), key, [order, text], start, step, lambda a: a).withColumnRenamed("state", "lines")
+    def step(state: tuple, event: tuple) -> tuple[tuple, tuple | None]:
+        nth, line = state
+        if line is None:
+            return (nth, event[1]), None
+        if len(line) + 1 + len(event[1]) <= most:
+            return (nth, f"{line} {event[1]}"), None
+        return (nth + 1, event[1]), (nth, line)
+
+    held = rows.where(F.col(text).isNotNull())
+    return fold(held, key, [order, text], "nth long, line string", lambda: (0, None), step, lambda s: None if s[1] is None else s)
+
+
+def packed_within(items: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """(key, order columns, size): items in order, each taken if it still fits; later, smaller ones may fit."""
+    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in [*order, size])
+
+    def step(used: int, event: tuple) -> tuple[int, tuple | None]:
+        n = event[-1]
+        return (used + n, event) if n is not None and used + n <= budget else (used, None)
+
+    return fold(items, key, [*order, size], kinds, lambda: 0, step, lambda s: None)
 
 
 def rotated(rows: DataFrame, key: str, order: str, kind: str, item: str) -> DataFrame:
-    """(key, items): greedy order in which no kind follows itself while another is left; "plain" may be followed by any."""
+    """(key, items): greedy order in which no kind follows itself while another is left; "plain" may be followed by any.
+
+    For short lists, such as those of one song: the items of a key are gathered.
+    """
     none = F.array().cast("array<struct<o:long,k:string,i:long>>")
     held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(kind).alias("k"), F.col(item).cast("long").alias("i")))).alias("_e"))
     start = F.struct(F.col("_e").alias("rest"), none.alias("out"), F.lit("plain").alias("last"))

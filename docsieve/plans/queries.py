@@ -310,12 +310,23 @@ def two_read_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where((F.col("event_type") == F.col("p")) & ~F.col("p").eqNullSafe(F.col("pp"))).select("user_id", "event_id", "event_type")
 
 
-@query()
+@query("""
+with recursive e as (select user_id, value v, row_number() over (partition by user_id order by ts, event_id) r from events),
+s as (select user_id, 0::bigint r, false busy, 0 quiet, 0::bigint turns from (select distinct user_id from events) union all
+ select user_id, r, now, case when now then q else 0 end, turns + (now <> busy)::int from (select *, case when v >= 150 then true when q >= 6 then false else busy end now
+  from (select s.user_id, e.r, e.v, s.busy, s.turns, case when s.busy and e.v < 50 then s.quiet + 1 else 0 end q from s join e on e.user_id = s.user_id and e.r = s.r + 1)))
+select user_id, busy, turns from s qualify row_number() over (partition by user_id order by r desc) = 1""")
 def hysteresis_busy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.hysteresis(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", 150.0, 50.0, 6)
 
 
-@query()
+@query("""
+with recursive e as (select user_id, case when event_type <> 'error' then value end v, row_number() over (partition by user_id order by ts, event_id) r from events),
+s as (select user_id, 0::bigint r, 'full' as level, []::double[] seen, 0::bigint changes from (select distinct user_id from events) union all
+ select user_id, r, now, case when now <> level or v is null then []::double[] else h end, changes + (now <> level)::int from (select *, case when v is null then 'quick' when level = 'quick' and v <= 60 then 'short'
+  when level = 'short' and len(h) = 3 and list_max(h) <= 30 then 'full' when level = 'full' and len(h) >= 2 and list_sum(h) / len(h) > 60 then 'short' else level end now
+  from (select s.user_id, e.r, e.v, s.level, s.changes, list_append(s.seen, e.v)[-3:] h from s join e on e.user_id = s.user_id and e.r = s.r + 1)))
+select user_id, level, changes from s qualify row_number() over (partition by user_id order by r desc) = 1""")
 def pace_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("seconds", F.when(F.col("event_type") != "error", F.col("value")))
     return K.pace_levels(e, "user_id", "ts", "event_id", "seconds")
@@ -406,10 +417,14 @@ def rank_with_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rank_with_caps(rows, "g")
 
 
-@query()
+@query("""
+with recursive o as (select p_brand, p_name, row_number() over (partition by p_brand order by p_partkey) r from part),
+s as (select p_brand, r, p_name, 0::bigint nth, length(p_name) n from o where r = 1 union all
+ select o.p_brand, o.r, o.p_name, case when s.n + 1 + length(o.p_name) <= 160 then s.nth else s.nth + 1 end, case when s.n + 1 + length(o.p_name) <= 160 then s.n + 1 + length(o.p_name) else length(o.p_name) end
+ from s join o on o.p_brand = s.p_brand and o.r = s.r + 1)
+select p_brand, nth, string_agg(p_name, ' ' order by r) line from s group by 1, 2""")
 def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = K.packed_lines(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey", "p_name")
-    return out.select("p_brand", F.size("lines").alias("n"), F.sha2(F.array_join("lines", "\n"), 256).alias("hash"))
+    return K.packed_lines(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", "p_partkey", "p_name")
 
 
 @query()

@@ -22,14 +22,6 @@ def current(store: DataFrame, rules: str, now: str, days: int = 30) -> DataFrame
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the rows of new in place of those of the same key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
-def share_within(items: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Greedy packing: items in order, each taken if it still fits; later, smaller ones may fit (a fold per group)."""
-    rows = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("e"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.slice("e", 1, 0).alias("kept"))
-    fits = lambda a, x: a["used"] + x[size] <= budget
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x[size]).cast("long").alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
-    return rows.select(group, F.explode(F.aggregate("e", start, step, lambda a: a["kept"])).alias("i")).select(group, "i.*")
+    """old with the rows of new in place of those of the same key; of a key twice in new, one row stays."""
+    once = new.dropDuplicates([key])
+    return old.join(once.select(key), key, "left_anti").unionByName(once)

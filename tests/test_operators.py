@@ -72,11 +72,10 @@ def test_pace_levels(readings):
 def test_packing_rotation_and_budget(spark):
     rows = [("a", i, "x" * n, k) for i, (n, k) in enumerate([(3, "p"), (4, "p"), (2, "q"), (9, "plain"), (1, "p"), (5, "q")])]
     df = spark.createDataFrame(rows, "g string, pos long, t string, kind string")
-    lines = K.packed_lines(df, "g", "pos", "t", 8).first().lines
-    assert [len(x) for x in lines] == [8, 2, 9, 7]
+    assert [len(r.line) for r in K.packed_lines(df, "g", "pos", "t", 8).orderBy("nth").collect()] == [8, 2, 9, 7]
     assert K.rotated(df, "g", "pos", "kind", "pos").first()["items"] == [0, 2, 1, 3, 4, 5]
     assert sorted(r.pos for r in S.within_budget(df, "g", ["pos"], F.length("t"), 8).collect()) == [0, 1]
-    assert sorted(r.pos for r in stores.share_within(df.withColumn("n", F.length("t")), "g", ["pos"], "n", 10).collect()) == [0, 1, 2, 4]
+    assert sorted(r.pos for r in K.packed_within(df.withColumn("n", F.length("t")), "g", ["pos"], "n", 10).collect()) == [0, 1, 2, 4]
 
 
 def test_screening(spark):
