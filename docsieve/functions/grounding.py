@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.text import content_tokens, words_of
 
-#: Words of caution, pronouns that need someone named before them, and filler of requests (fixed values).
-HEDGES = ("allegedly", "apparently", "perhaps", "possibly", "probably", "reportedly", "rumoured", "supposedly")
+#: Words of caution (fixed values): single-word hedges of the kind that K. Hyland, Metadiscourse (2005) lists, written down
+#: from memory and not checked against the book.
+HEDGES = ("apparently", "broadly", "essentially", "frequently", "generally", "largely", "likely", "mainly", "maybe", "mostly", "often", "perhaps", "plausibly", "possibly", "presumably", "probably", "roughly", "sometimes", "typically", "uncertain", "unlikely", "usually")
+#: Pronouns that need someone named before them, and filler of requests (fixed values).
 PRONOUNS = ("he", "her", "his", "it", "its", "she", "their", "these", "they", "this")
 FILLER = ("song", "track", "music", "title", "artist")
 LONGEST = 160

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels in brackets or after a bar that name the kind of upload (fixed values).
-LABELS = "audio|clip|full album|hd|hq|lyrics?|lyric video|music video|official|visuali[sz]er|video|4k"
+#: Words in brackets or after a bar that tell of the recording's form, not of the work (fixed values: common ones, some of
+#: which the reproduced rules are specified with too).
+LABELS = "official|video|clip|lyrics|subtitles|teaser|premiere|1080p|4k|uhd|stereo mix"
 NOT_MUSIC = ("podcast", "trailer", "tutorial", "interview", "gameplay", "asmr", "unboxing", "vlog")
 
 
