@@ -184,14 +184,14 @@ def identity_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with s as (select o_orderkey, case when o_orderkey % 4 = 0 then o_custkey + 1000000 else o_custkey end k1, 'n' || (o_custkey % 25) k2 from orders),
-r as (select c_custkey, c_custkey k1, 'n' || c_nationkey k2 from customer where c_custkey % 2 = 0),
+r as (select c_custkey, c_custkey k1, 'n' || c_nationkey k2 from customer),
 a as (select o_orderkey, min(c_custkey) c from s join r using (k1) group by 1), b as (select k2, min(c_custkey) c from r group by 1)
 select o_orderkey, coalesce(a.c, b.c) c_custkey, case when a.c is not null then 0 when b.c is not null then 1 end tier
 from s left join a using (o_orderkey) left join b using (k2)""")
 def tiered_identity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     left = o.select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("k1"), F.concat(F.lit("n"), F.col("o_custkey") % 25).alias("k2"))
-    right = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.col("c_custkey").alias("r1"), F.concat(F.lit("n"), "c_nationkey").alias("r2"))
+    right = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("r1"), F.concat(F.lit("n"), "c_nationkey").alias("r2"))
     return S.tiered_join(left, right, "o_orderkey", "c_custkey", [("k1", "r1"), ("k2", "r2")])
 
 
@@ -359,11 +359,11 @@ def active_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, e.event_id found from (select o_orderkey, o_custkey % 150 user_id, timestamp '2024-01-05' + o_orderkey % 20 * interval 1 day tm from orders where o_orderkey % 10 = 0) o
+select o_orderkey, e.event_id found from (select o_orderkey, o_custkey % 150 user_id, timestamp '2024-01-05' + o_orderkey % 20 * interval 1 day tm from orders) o
 asof left join (select user_id, ts, max(event_id) event_id from events group by 1, 2) e on o.user_id = e.user_id and o.tm >= e.ts""")
 def asof_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.expr("timestampadd(DAY, cast(o_orderkey % 20 as int), timestamp_ntz '2024-01-05 00:00:00')")
-    asked = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), at.alias("at"))
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), at.alias("at"))
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
     return S.as_of(asked, events, "user_id", "at", "ts", "event_id").select("o_orderkey", "found")
 
@@ -429,8 +429,7 @@ def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rotated_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.newest_per(table(spark, sf_dir, "part"), ["p_brand"], [F.col("p_partkey")], 12)
-    return K.rotated(rows, "p_brand", "p_partkey", "p_type", "p_partkey").select("p_brand", F.array_join("items", ",").alias("items"))
+    return K.rotated(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_type", "p_partkey").select("p_brand", F.array_join("items", ",").alias("items"))
 
 
 @query()
@@ -517,11 +516,11 @@ def screened_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-with d as (select doc_id, left({SENTENCES.format("text")}[1], 60) t from documents)
+with d as (select doc_id, {SENTENCES.format("text")}[1] t from documents)
 select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '(\s*[(\[][^()\[\]]*[)\]])+\s*$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) key,
   list_min(list_transform(regexp_extract_all(t, '(?:^|[^0-9])([12][0-9]{{3}})(?:$|[^0-9])', 1), lambda y: y::int)) "year" from d where t is not null""")
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.left(F.get(T.sentences_of(F.col("text")), F.lit(0)), F.lit(60))
+    title = F.get(T.sentences_of(F.col("text")), F.lit(0))
     rows = table(spark, sf_dir, "documents").select("doc_id", title.alias("t")).where("t is not null")
     return rows.select("doc_id", N.title_key(F.col("t")).alias("key"), N.earliest_year(F.col("t")).alias("year"))
 
