@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsieve.functions.frames import dropped_hedge
 from docsieve.functions.text import content_tokens, words_of
 
-#: Words of caution (fixed values): single-word hedges of the kind that K. Hyland, Metadiscourse (2005) lists, written down
-#: from memory and not checked against the book.
-HEDGES = ("apparently", "broadly", "essentially", "frequently", "generally", "largely", "likely", "mainly", "maybe", "mostly", "often", "perhaps", "plausibly", "possibly", "presumably", "probably", "roughly", "sometimes", "typically", "uncertain", "unlikely", "usually")
 #: Pronouns that need someone named before them, and filler of requests (fixed values).
 PRONOUNS = ("he", "her", "his", "it", "its", "she", "their", "these", "they", "this")
 FILLER = ("song", "track", "music", "title", "artist")
@@ -53,10 +51,6 @@ def missing_name(caption: Column, source: Column) -> Column:
     return F.size(F.array_except(names, words_of(source))) > 0
 
 
-def dropped_hedge(caption: Column, source: Column) -> Column:
-    return F.arrays_overlap(words_of(source), array(HEDGES)) & ~F.arrays_overlap(words_of(caption), array(HEDGES))
-
-
 def restates(caption: Column, request: Column) -> Column:
     """No token beyond those of the request and filler."""
     return F.size(F.array_except(content_tokens(caption), F.concat(content_tokens(request), array(FILLER)))) == 0
@@ -69,7 +63,7 @@ def caption_reason(text: Column) -> Column:
 
 def source_reason(caption: Column, source: Column) -> Column:
     """The first reason against the source; none where the source is empty."""
-    checks = (("quote", altered_quote), ("number", missing_number), ("name", missing_name), ("hedge", dropped_hedge))
+    checks = (("quote", altered_quote), ("number", missing_number), ("name", missing_name), ("hedge", lambda c, s: dropped_hedge(c, F.array(s)).isNotNull()))
     return F.when(F.coalesce(source, F.lit("")) != "", F.coalesce(*[F.when(check(caption, source), label) for label, check in checks]))
 
 

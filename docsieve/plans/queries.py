@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import grounding as G
 from docsieve.functions import text as T
 from docsieve.functions import titles as N
+from docsieve.functions.frames import HEDGE, QUOTED
 from docsieve.functions.markup import html_text
 from docsieve.operators import sections as X
 from docsieve.operators import selection as S
@@ -500,7 +501,7 @@ r as (select conv_id, turn, case when len(cw) = 0 then 'empty' when regexp_match
   when regexp_matches(caption, '(^|\s)@\w') then 'mention' when list_contains({list(G.PRONOUNS)}, cw[1]) then 'pronoun'
   when source <> '' and len(list_filter(cw, lambda w: regexp_full_match(w, '[0-9]+') and not list_contains(sw, w))) > 0 then 'number'
   when source <> '' and len(list_filter(regexp_extract_all(caption, '[^.!?\s]\s+(\p{{Lu}}\p{{L}}+)', 1), lambda n: not list_contains(sw, lower(n)))) > 0 then 'name'
-  when source <> '' and list_has_any(sw, {list(G.HEDGES)}) and not list_has_any(cw, {list(G.HEDGES)}) then 'hedge'
+  when source <> '' and not regexp_matches(caption, '(?i){HEDGE}|\baccording to\b') and regexp_matches(regexp_replace(source, '{QUOTED}', '', 'g'), '(?i){HEDGE}') then 'hedge'
   when length(caption) > 160 then 'long' else 'kept' end reason from w)
 select reason, count(*) n, min(conv_id * 100 + turn) first_one from r group by 1""")
 def screen_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
