@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docsieve.functions.frames import dropped_hedge
+from docsieve.functions.frames import doubts, is_sure
 from docsieve.functions.text import content_tokens, words_of
 
 #: Pronouns that need someone named before them, and filler of requests (fixed values).
@@ -41,14 +41,15 @@ def numbers_of(text: Column) -> Column:
     return F.filter(words_of(text), lambda w: w.rlike("^[0-9]+$"))
 
 
-def missing_number(caption: Column, source: Column) -> Column:
-    return F.size(F.array_except(numbers_of(caption), numbers_of(source))) > 0
+def missing_number(caption: Column, words: Column) -> Column:
+    """A number that the words of the source lack."""
+    return F.size(F.array_except(numbers_of(caption), words)) > 0
 
 
-def missing_name(caption: Column, source: Column) -> Column:
-    """A capitalised word, the first apart, that the source has in no form."""
+def missing_name(caption: Column, words: Column) -> Column:
+    """A capitalised word, the first apart, that the words of the source have in no form."""
     names = F.transform(F.regexp_extract_all(caption, F.lit(r"[^.!?\s]\s+(\p{Lu}\p{L}+)"), F.lit(1)), lambda n: F.lower(n))
-    return F.size(F.array_except(names, words_of(source))) > 0
+    return F.size(F.array_except(names, words)) > 0
 
 
 def restates(caption: Column, request: Column) -> Column:
@@ -61,15 +62,21 @@ def caption_reason(text: Column) -> Column:
     return F.coalesce(F.when(F.size(words_of(text)) == 0, "empty"), not_for_stream(text), F.when(unresolved_pronoun(text), "pronoun"))
 
 
-def source_reason(caption: Column, source: Column) -> Column:
-    """The first reason against the source; none where the source is empty."""
-    checks = (("quote", altered_quote), ("number", missing_number), ("name", missing_name), ("hedge", lambda c, s: dropped_hedge(c, F.array(s)).isNotNull()))
-    return F.when(F.coalesce(source, F.lit("")) != "", F.coalesce(*[F.when(check(caption, source), label) for label, check in checks]))
+def known(source: Column) -> Column:
+    """(words, doubts): what the checks need of a source; where many captions share one, it is found once."""
+    return F.struct(words_of(source).alias("words"), doubts(source).alias("doubts"))
 
 
-def screen_reason(caption: Column, source: Column) -> Column:
+def source_reason(caption: Column, source: Column, facts: Column | None = None) -> Column:
+    """The first reason against the source; none where the source is empty. facts: `known` of it, if at hand."""
+    held = known(source) if facts is None else facts
+    checks = (("quote", altered_quote(caption, source)), ("number", missing_number(caption, held["words"])), ("name", missing_name(caption, held["words"])), ("hedge", held["doubts"] & is_sure(caption)))
+    return F.when(F.coalesce(source, F.lit("")) != "", F.coalesce(*[F.when(check, label) for label, check in checks]))
+
+
+def screen_reason(caption: Column, source: Column, facts: Column | None = None) -> Column:
     """Reasons in their order: the caption's own, those against the source, then its length."""
-    return F.coalesce(caption_reason(caption), source_reason(caption, source), F.when(F.length(caption) > LONGEST, "long"))
+    return F.coalesce(caption_reason(caption), source_reason(caption, source, facts), F.when(F.length(caption) > LONGEST, "long"))
 
 
 #: Word lists of the wider checks (fixed values).

@@ -512,8 +512,10 @@ def screen_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def screened_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every conversation as captions of its text, with near-duplicates resolved in order."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences_of(F.col("text"))).alias("k", "caption"), F.col("text").alias("source"))
-    return screen(turns.withColumn("pos", F.col("turn") * 10000 + F.col("k")), "conv_id", "pos")
+    text = F.col("text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sentences_of(text).alias("captions"), text.alias("source"), G.known(text).alias("known"))
+    rows = turns.select("conv_id", "turn", F.posexplode("captions").alias("k", "caption"), "source", "known")
+    return screen(rows.withColumn("pos", F.col("turn") * 2**32 + F.col("k")), "conv_id", "pos")
 
 
 @query(rf"""
