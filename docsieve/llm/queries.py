@@ -9,6 +9,7 @@ from docsieve.llm.common import read
 from docsieve.llm.decontaminate import overlaps
 from docsieve.llm.jaccard_join import jaccard_components
 from docsieve.llm.licenses import scan_licenses
+from docsieve.llm.lm_scoring import lm_scores
 from docsieve.llm.mixing import mix_sources
 from docsieve.llm.secrets import scan_secrets
 from docsieve.llm.suffix_dedup import remove_repeats
@@ -58,6 +59,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_top_k": op2_top_k,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_lm_score": op13_lm_score,
 }
 
 ORACLE_SQL = {
