@@ -12,11 +12,13 @@ from docsieve.llm.licenses import scan_licenses
 from docsieve.llm.lm_scoring import lm_scores
 from docsieve.llm.mixing import mix_sources
 from docsieve.llm.secrets import scan_secrets
+from docsieve.llm.spelling import spelling_groups
 from docsieve.llm.suffix_dedup import remove_repeats
 from docsieve.llm.token_output import token_output
 from docsieve.llm.topk import top_k
 from docsieve.llm.toxicity import toxicity
 from docsieve.llm.url_filter import judge_urls
+from docsieve.llm.whitening import whitening
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(read(spark, sf_dir, "embeddings"))
+
+
 def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read(spark, sf_dir, "documents"))
 
@@ -74,6 +84,8 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_whitening": op12_whitening,
     "op13_lm_score": op13_lm_score,
 }
 
@@ -104,4 +116,20 @@ sp as (select doc_id, s, min(i) a, max(i) + 100 b from u group by 1, 2),
 k as (select doc_id, s, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) p from sp),
 t as (select doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) kept, sum(b - a) n, count(*) c from k join d using (doc_id) group by 1)
 select d.doc_id, len(h) // 2 n_bytes, cast(coalesce(t.n, 0) as bigint) n_removed, coalesce(t.c, 0) n_spans, sha256(unhex(coalesce(t.kept, h))) kept_sha256 from d left join t using (doc_id)""",
+    # Edits by deleted and by masked letters, crc32 byte by byte from a table made by its rule.
+    "op11_spelling_groups": r"""
+with recursive r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) w from documents),
+d as (select coalesce(cast(doc_id as varchar), '') || ':' || w k, w, count(*) c from r group by all),
+t as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) order by i) t from range(256) x(i)),
+b as (select k, w, c, list_transform(range(len(hex(encode(k))) // 2), lambda i: cast('0x' || substr(hex(encode(k)), 2 * i + 1, 2) as bigint)) b from d),
+h as (select w, c, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) h from b, t),
+m as (select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end w, c from h),
+v as (select w, cast(sum(c) as bigint) n from m where length(w) >= 6 group by w having sum(c) >= 5),
+e as (select w, n, i, substr(w, 1, i) p, substr(w, i + 2) s from v, range(length(w)) x(i)),
+near as (select a.w, b.w x, b.n from e a join e b on a.i = b.i and a.p = b.p and a.s = b.s and length(a.w) = length(b.w) and a.w <> b.w
+  union select e.w, v.w, v.n from e join v on v.w = e.p || e.s union select v.w, e.w, e.n from e join v on v.w = e.p || e.s),
+f as (select w, count(*) n_near, max(n) form_n, min(x) filter (n = best) form from (select *, max(n) over (partition by w) best from near) group by w),
+g as (select v.w, v.n, coalesce(n_near, 0) n_near, case when form_n >= 5 * v.n then form end form, case when form_n >= 5 * v.n then form_n end form_n from v left join f using (w)),
+c as (select w, w root, form next from g union all select c.w, g.w, g.form from c join g on g.w = c.next)
+select g.w word, form, root, n, n_near, form_n from g join c using (w) where c.next is null""",
 }
