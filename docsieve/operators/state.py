@@ -6,7 +6,9 @@ that begins in one Arrow batch goes on in the next.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 from typing import Any
 
 import pyarrow as pa
@@ -58,6 +60,24 @@ def fold(
     return dealt.mapInArrow(run, types)
 
 
+def scan(events: DataFrame, keys: list[str], order: list[str], schema: str, run: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """(keys, columns of schema): what run makes of the events of each key, tuples of `order` columns in that order.
+
+    run is a generator: it holds what it has to and puts out rows as it goes; it has to take all events of its key.
+    """
+    types = StructType([*(events.schema[k] for k in keys), *_parse_datatype_string(schema).fields])
+    fields = to_arrow_schema(types)
+    dealt = events.select(*keys, *order).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = (key + tuple(row) for key, held in groupby(rows, lambda r: r[: len(keys)]) for row in run(r[len(keys) :] for r in held))
+        while out := list(islice(made, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+    return dealt.mapInArrow(batches_of, types)
+
+
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
@@ -147,17 +167,28 @@ def packed_within(items: DataFrame, key: str, order: list[str], size: str, budge
 
 
 def rotated(rows: DataFrame, key: str, order: str, kind: str, item: str) -> DataFrame:
-    """(key, items): greedy order in which no kind follows itself while another is left; "plain" may be followed by any.
+    """(key, place, item): greedy order in which no kind follows itself while another is left; "plain" may be followed by any.
 
-    For short lists, such as those of one song: the items of a key are gathered.
+    What has to wait is always of the kind put out last, so that one queue holds it; one item of another kind lets itself
+    and the first that waits through. Rows stream out in place; only the queue is held.
     """
-    none = F.array().cast("array<struct<o:long,k:string,i:long>>")
-    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(kind).alias("k"), F.col(item).cast("long").alias("i")))).alias("_e"))
-    start = F.struct(F.col("_e").alias("rest"), none.alias("out"), F.lit("plain").alias("last"))
-
-    def step(acc: Column, _: Column) -> Column:
-        other = F.filter(acc["rest"], lambda x: (x["k"] != acc["last"]) | (acc["last"] == "plain"))
-        pick = F.when(F.size(other) > 0, F.get(other, F.lit(0))).otherwise(F.get(acc["rest"], F.lit(0)))
-        return F.struct(F.filter(acc["rest"], lambda x: x["o"] != pick["o"]).alias("rest"), F.concat(acc["out"], F.array(pick)).alias("out"), pick["k"].alias("last"))
 
-    return held.select(key, F.aggregate("_e", start, step, lambda a: F.transform(a["out"], lambda x: x["i"])).alias("items"))
+    def run(events: Iterator[tuple]) -> Iterator[tuple]:
+        waiting: deque = deque()
+        last, place = "plain", 0
+        for _, k, i in events:
+            if k == last and last != "plain":
+                waiting.append(i)
+                continue
+            yield place, i
+            place += 1
+            if waiting:
+                yield place, waiting.popleft()
+                place += 1
+            else:
+                last = k
+        for place, i in enumerate(waiting, place):
+            yield place, i
+
+    held = rows.select(key, F.col(order).alias("_o"), F.col(kind).alias("_k"), F.col(item).cast("long").alias("_i"))
+    return scan(held, [key], ["_o", "_k", "_i"], "place long, item long", run)

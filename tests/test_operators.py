@@ -73,11 +73,26 @@ def test_packing_rotation_and_budget(spark):
     rows = [("a", i, "x" * n, k) for i, (n, k) in enumerate([(3, "p"), (4, "p"), (2, "q"), (9, "plain"), (1, "p"), (5, "q")])]
     df = spark.createDataFrame(rows, "g string, pos long, t string, kind string")
     assert [len(r.line) for r in K.packed_lines(df, "g", "pos", "t", 8).orderBy("nth").collect()] == [8, 2, 9, 7]
-    assert K.rotated(df, "g", "pos", "kind", "pos").first()["items"] == [0, 2, 1, 3, 4, 5]
+    assert [r["item"] for r in K.rotated(df, "g", "pos", "kind", "pos").orderBy("place").collect()] == [0, 2, 1, 3, 4, 5]
     assert sorted(r.pos for r in S.within_budget(df, "g", ["pos"], F.length("t"), 8).collect()) == [0, 1]
     assert sorted(r.pos for r in K.packed_within(df.withColumn("n", F.length("t")), "g", ["pos"], "n", 10).collect()) == [0, 1, 2, 4]
 
 
+def test_rotated_equals_the_greedy_rule(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice(kinds)) for k, kinds in ((1, ["a", "b", "plain"]), (2, ["a"] * 9 + ["b", "plain"]), (None, ["a"])) for i in range(5000)]
+    got = {}
+    for r in K.rotated(spark.createDataFrame(rows, "g long, pos long, kind string").repartition(3), "g", "pos", "kind", "pos").orderBy("place").collect():
+        got.setdefault(r.g, []).append(r["item"])
+    for key in (1, 2, None):
+        left, out, last = [(i, k) for g, i, k in rows if g == key], [], "plain"
+        while left:
+            at = next((n for n, (_, k) in enumerate(left) if last == "plain" or k != last), 0)
+            i, last = left.pop(at)
+            out.append(i)
+        assert got[key] == out
+
+
 def test_screening(spark):
     source = "Ada Lovelace wrote the first program in 1843 for a machine of brass"
     texts = ["Ada wrote 9 programs", "He wrote a program", "see https://x.y", "Ada met Grace there", "program machine brass zebra", "program machine brass first", "program machine brass first", "x" * 170]
