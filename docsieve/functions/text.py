@@ -19,6 +19,8 @@ STANDARD = (
     ("notice", ("licensed", "released")),
 )
 
+SENTENCE_BREAK = r"""(?<=[.!?]["”]?)\s+(?=["“]?\p{Lu})|\n+"""
+
 
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order; an empty array for null."""
@@ -36,6 +38,11 @@ def sentences_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n|\. "), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def full_sentences(text: Column) -> Column:
+    """Sentences: parts between line breaks and between an end mark and a blank before a capital, trimmed, none empty."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def too_similar(both: Column, a: Column, b: Column) -> Column:
     """Near-duplicate sets by sizes: Jaccard at least 1/2, or 7/10 of the smaller one; empty sets are similar to none."""
     return (F.least(a, b) > 0) & ((2 * both >= a + b - both) | (10 * both >= 7 * F.least(a, b)))

@@ -18,6 +18,17 @@ def title_key(title: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
+def normal_title(title: Column) -> Column:
+    """Folded case, trailing brackets off, other marks to blanks; "x-2" is one word with its number."""
+    bare = F.regexp_replace(fold_case(title), r"(?:\s*(?:\([^)]*\)|\[[^\]]*\]))+\s*$", "")
+    words = F.regexp_replace(F.regexp_replace(bare, r"(\p{L})-(\d)", "$1$2"), r"[^\p{L}\p{N}\s]", " ")
+    return F.trim(F.regexp_replace(words, r"\s+", " "))
+
+
+def padded(words: Column) -> Column:
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
 def without_version(title: Column) -> Column:
     """Notes on versions taken off: in brackets anywhere, or after the last dash."""
     inner = F.regexp_replace(title, rf"(?iu)\s*[(\[][^()\[\]]*\b(?:{VERSION_WORDS})\b[^()\[\]]*[)\]]", "")

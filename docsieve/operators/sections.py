@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING = r"^(={2,6})\s*(.*?)\s*={2,6}$"
@@ -15,17 +15,35 @@ def line_table(pages: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("level", level).withColumn("heading", F.when(level > 0, F.regexp_extract("line", HEADING, 2)))
 
 
-def section_table(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, heading, level, from, to): a section ends before the next heading of its level or a higher one.
+def heading_tree(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, heading, level, from, to): the headings of every page as a tree, in nested intervals of line numbers.
 
-    The headings of one page are gathered, not its lines; a page without headings has no row.
+    A section runs from its heading's line up to the next heading of its level or a higher one, so that `from` numbers the
+    tree in pre-order and `to` bounds a subtree: what lies within [from, to) is below, what reaches over it is above.
+    Five running values over the headings in falling order give all bounds in one pass. A key names one page; a page
+    without headings has no row, null texts have none.
     """
     lines = pages.select(key, F.split(text, "\n").alias("lines"))
-    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("heading"))), lambda h: h["level"] > 0)
-    rows = lines.select(key, F.size("lines").alias("n"), found.alias("hs")).select(key, "n", "hs", F.explode("hs").alias("h"))
-    later = F.filter("hs", lambda x: (x["at"] > F.col("h.at")) & (x["level"] <= F.col("h.level")))
-    end = F.coalesce(F.array_min(F.transform(later, lambda x: x["at"])), F.col("n"))
-    return rows.select(key, F.col("h.heading").alias("heading"), F.col("h.level").alias("level"), F.col("h.at").alias("from"), end.alias("to"))
+    marked = F.transform("lines", lambda x, i: F.struct(i.alias("from"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("heading")))
+    rows = lines.select(key, F.size("lines").alias("n"), F.explode(F.filter(marked, lambda h: h["level"] > 0)).alias("h")).select(key, "n", "h.*")
+    later = Window.partitionBy(key).orderBy(F.desc("from")).rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(2, 7):
+        rows = rows.withColumn(f"_next{level}", F.last(F.when(F.col("level") == level, F.col("from")), True).over(later))
+    end = F.col("n")
+    for level in range(2, 7):
+        end = F.when(F.col("level") >= level, F.least(end, f"_next{level}")).otherwise(end)
+    return rows.select(key, "heading", "level", "from", end.alias("to"))
+
+
+def within_any(rows: DataFrame, key: str, at: str, begin: Column, end: Column) -> Column:
+    """Whether the place `at` lies in any of the nested intervals that rows up to it begin (null: it begins none)."""
+    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.max(F.when(begin.isNotNull(), end)).over(w) > F.col(at), F.lit(False))
+
+
+def section_table(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, heading, level, from, to): the rows of heading_tree."""
+    return heading_tree(pages, key, text)
 
 
 def without_sections(pages: DataFrame, key: str, text: str, headings: str) -> DataFrame:
