@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsieve.functions.markup import html_text
 from docsieve.operators import series as R
+from docsieve.operators import work_scope as W
 from docsieve.operators.sections import heading_tree
 from docsieve.plans.queries import query, table
 
@@ -75,3 +77,33 @@ def soundtrack_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = R.soundtrack_part(docs, "doc_id", "t", "track").where("heading <> ''")
     first = heading_tree(docs, "doc_id", "t").groupBy("doc_id", "heading").agg(F.min_by(F.struct("from", "to"), "from").alias("at"))
     return parts.join(first, ["doc_id", "heading"]).select("doc_id", "heading", F.col("at.from").alias("from"), F.col("at.to").alias("to"), F.size("others").alias("others"), F.get("others", F.lit(0)).alias("first_other"))
+
+
+TITLE = r"(\p{Lu}\p{L}+ \p{L}{4,})"
+PLAIN = r"[<>{}\[\]']"
+
+
+@query(rf"""
+with l as (select doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[<>{{}}\[\]'']', ' ', 'g'), '{TITLE}', chr(1) || '\1' || chr(2), 'g'), chr(10))) s from documents),
+k as (select doc_id, unnest(string_split(regexp_replace(s, '([.!?]["”]?\x02?)\s+(["“\x01]?\p{{Lu}})', '\1' || chr(3) || '\2', 'g'), chr(3))) r from l where not regexp_full_match(s, '\s*=+[^=]+=+\s*') and regexp_matches(s, '\S')),
+t as (select doc_id, r, trim(regexp_replace(regexp_replace(regexp_replace(r, '[\x01\x02]', '', 'g'), '^[*#:;]+\s*', ''), '\s+', ' ', 'g')) x from k),
+w as (select doc_id, x, regexp_extract_all(r, '\x01([^\x02]*)\x02', 1) ws from t where x <> '')
+select doc_id, count(*) sentences, cast(sum(length(x)) as bigint) characters, cast(sum(len(ws)) as bigint) titles, list_sort(list_distinct(flatten(list(ws))))[1] first_title from w group by doc_id""")
+def italic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and italic titles of documents as wikitext in which words at the start of sentences are titles."""
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), PLAIN, " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(clean, TITLE, "<ref>x</ref>''$1''").alias("m"))
+    titles = F.array_sort(F.flatten(F.collect_list(F.col("works.title"))))
+    rows = W.italic_sentences(docs, "doc_id", "m").groupBy("doc_id")
+    return rows.agg(F.count("*").alias("sentences"), F.sum(F.length("text")).alias("characters"), F.sum(F.size("works")).alias("titles"), F.get(titles, F.lit(0)).alias("first_title"))
+
+
+@query()
+def other_work_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of pages about another work than the first words of the page name; titles are the words at the start of sentences."""
+    pages = table(spark, sf_dir, "pages").select("page_id", html_text("html").alias("t"))
+    words = F.regexp_extract_all("t", F.lit(r"\p{L}{4,}"), F.lit(0))
+    game = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    markup = F.regexp_replace(F.regexp_replace("t", PLAIN, " "), TITLE, "''$1''")
+    rows = W.other_work_sentences(pages.select("page_id", "t", markup.alias("m"), game.alias("game"), F.get(F.split("t", "\n"), F.lit(0)).alias("page")), "page_id", "t", "m", "game", "page")
+    return rows.select("page_id", "line", "k", F.md5("sentence").alias("sentence"))
