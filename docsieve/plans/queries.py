@@ -12,6 +12,7 @@ from docsieve.functions import text as T
 from docsieve.functions import titles as N
 from docsieve.functions.frames import HEDGE, QUOTED
 from docsieve.functions.markup import html_text
+from docsieve.operators import loose_names as L
 from docsieve.operators import sections as X
 from docsieve.operators import selection as S
 from docsieve.operators import similarity as M
@@ -164,13 +165,11 @@ def search_prefix_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 with n as (select distinct p_name from part), x as (select a.p_name a, b.p_name b, replace(a.p_name, ' ', '') x, replace(b.p_name, ' ', '') y from n a, n b where a.p_name < b.p_name)
 select a, b from x where levenshtein(x, y) <= greatest(1, floor(greatest(length(x), length(y)) * 30 / 100))""")
 def edit_distance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names within 30 % edits, met by shared pairs of letters: a name of n letters and one within e edits
-    share a run of floor(n / (e + 1)) letters, two at least for the names here."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("x", F.replace("p_name", F.lit(" "), F.lit("")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring(F.col("x"), i, F.lit(2))))
-    each = names.where(F.length("x") > 1).select("p_name", F.explode(grams).alias("g"))
-    met = each.select(F.col("p_name").alias("a"), "g").join(each.select(F.col("p_name").alias("b"), "g"), "g").where("a < b").select("a", "b").distinct()
-    return met.where(T.close_name(F.col("a"), F.col("b"), 30))
+    """Distinct part names within 30 % edits, blanks apart."""
+    names = table(spark, sf_dir, "part").select("p_name", F.replace(F.lower("p_name"), F.lit(" "), F.lit("")).alias("x")).distinct()
+    met = L.within_budget(names.select("x"), names.select("x"), L.share_of(30), 0)
+    one, two = names.select(F.col("p_name").alias("p"), F.col("x").alias("a")), names.select(F.col("p_name").alias("q"), F.col("x").alias("b"))
+    return met.join(one, "a").join(two, "b").where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 @query("""

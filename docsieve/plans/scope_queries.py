@@ -6,10 +6,12 @@ the same lines by joins of headings with those around them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions.markup import html_text
+from docsieve.functions.text import fold_case
+from docsieve.operators import loose_names as L
 from docsieve.operators import series as R
 from docsieve.operators import work_scope as W
 from docsieve.operators.sections import heading_tree
@@ -107,3 +109,25 @@ def other_work_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     markup = F.regexp_replace(F.regexp_replace("t", PLAIN, " "), TITLE, "''$1''")
     rows = W.other_work_sentences(pages.select("page_id", "t", markup.alias("m"), game.alias("game"), F.get(F.split("t", "\n"), F.lit(0)).alias("page")), "page_id", "t", "m", "game", "page")
     return rows.select("page_id", "line", "k", F.md5("sentence").alias("sentence"))
+
+
+def _bare(text: str) -> Column:
+    return F.trim(F.regexp_replace(fold_case(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+@query(r"""
+with d as (select doc_id, list_filter(string_split(trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') w from documents),
+b as (select item_id, list_filter(string_split(trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') w from benchmark),
+n as (select distinct w[1] || ' ' || w[2] nm from b where len(w) >= 2),
+r as (select distinct doc_id, size, array_to_string(w[i:i+size-1], ' ') x from d, range(1, 4) t(size), lateral (select unnest(range(1, len(w) - size + 2)) i)),
+u as (select distinct size, x, replace(x, ' ', '') a from r),
+m as (select u.size, u.x, nm, u.x = nm exact, replace(nm, ' ', '') b, a from u, n where abs(length(a) - length(replace(nm, ' ', ''))) <= 2),
+k as (select size, x, nm, exact from m where exact or (length(b) >= 5 and levenshtein(a, b) <= greatest(1, floor(length(b) * 15 / 100))
+  and not (size = 2 and len(list_filter(list_zip(string_split(x, ' '), string_split(nm, ' ')), lambda z: z[1] <> z[2] and length(z[1]) = 1 and length(z[2]) = 1)) > 0)))
+select doc_id, nm "name", bool_or(exact) exact from r join k using (size, x) group by doc_id, nm""")
+def loose_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have the first two words of a test item, or something a letter or two off."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _bare("text").alias("t"))
+    first = F.split(_bare("text"), " ")
+    names = table(spark, sf_dir, "benchmark").select(first.alias("w")).where("size(w) >= 2 and w[1] <> ''").select(F.array_join(F.slice("w", 1, 2), " ").alias("name"))
+    return L.named_loosely(docs, names, "doc_id", "t", "name")
