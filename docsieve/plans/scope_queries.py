@@ -13,6 +13,7 @@ from docsieve.functions.markup import html_text
 from docsieve.functions.text import fold_case
 from docsieve.operators import loose_names as L
 from docsieve.operators import series as R
+from docsieve.operators import work_match as M
 from docsieve.operators import work_scope as W
 from docsieve.operators.sections import heading_tree
 from docsieve.plans.queries import query, table
@@ -131,3 +132,73 @@ def loose_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.split(_bare("text"), " ")
     names = table(spark, sf_dir, "benchmark").select(first.alias("w")).where("size(w) >= 2 and w[1] <> ''").select(F.array_join(F.slice("w", 1, 2), " ").alias("name"))
     return L.named_loosely(docs, names, "doc_id", "t", "name")
+
+
+#: Requests from parts and articles from their names, in expressions that both engines read.
+ASKED_TITLE = "case p_partkey % 7 when 0 then p_name when 1 then p_name || ' (1987)' when 2 then 'The ' || p_name || ' ii' when 3 then split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) when 4 then p_name || ' deluxe' when 5 then 'x' || p_name else p_name || ' 2' end"
+ASKED_ARTIST = "case p_size % 5 when 0 then 'Brand Band' when 1 then p_brand when 2 then p_name when 3 then 'hot gear (video game)' else '' end"
+ASKED_HINT = "case when p_size % 9 = 0 then 'red widget' else '' end"
+ASKED_KIND = "case p_partkey % 4 when 0 then 'performer' when 1 then 'work' when 2 then 'composer' else 'unknown' end"
+PAGE = """case p_size % 9 when 0 then p_name || ' (song)' when 1 then p_name || ' (video game)' when 2 then p_name || ' (band)' when 3 then p_name when 4 then p_name || ' II (1990 film)' when 5 then 'Music of ' || p_name
+  when 6 then p_name || ' Deluxe Edition' when 7 then split_part(p_name, ' ', 2) else 'Big ' || p_name || ' (album)' end"""
+PAGE_TEXT = """case when p_size % 9 = 3 then '' else p_name || ' is a ' || cast(1975 + p_size % 9 * 4 as string) || case p_size % 2 when 0 then ' song' else ' game' end || ' by Brand Band. It is a '
+  || case when p_size % 9 > 5 then 'sequel to red widget, as they say.' else 'hit with hot gear.' end || ' More.' end"""
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    rows = p.select("p_partkey", *(F.expr(e).alias(n) for n, e in (("title", ASKED_TITLE), ("artist", ASKED_ARTIST), ("hint", ASKED_HINT), ("artist_kind", ASKED_KIND))))
+    return M.request_profile(rows, "p_partkey", "title", "artist", "hint", "artist_kind")
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.expr(PAGE).alias("page"), F.expr(PAGE_TEXT).alias("text"), (F.col("p_size") % 9).alias("rank"))
+    return M.candidate_profile(p.groupBy("page").agg(F.min("text").alias("text"), F.min("rank").alias("rank")), "page", "text", "rank")
+
+
+def _tokens_sql(name: str) -> str:
+    return f"list_transform(list_filter(string_split(regexp_replace({name}, ' (series|franchise)$', ''), ' '), lambda w: w <> '' and w not in ('the', 'and', 'of', 'a', 'an', 'in', 'on', 'for', 'to')), lambda w: case w when 'i' then '1' when 'ii' then '2' when 'iii' then '3' when 'iv' then '4' when 'v' then '5' else w end)"
+
+
+@query(rf"""
+with q0 as (select p_partkey, {ASKED_TITLE} title, {ASKED_ARTIST} artist, {ASKED_HINT} hint, {ASKED_KIND} ak from part),
+q1 as (select p_partkey, {NORM.format("title")} piece, {NORM.format("artist")} field, hint, ak, case when contains(title, '(1987)') then 1987 end yr, case when contains(artist, '(video game)') then 'game' else '' end medium from q0),
+q2 as (select * replace (case when piece = field then '' else piece end as piece) from q1),
+n as (select p_partkey, role, i, nm, {_tokens_sql("nm")} want from (select p_partkey, unnest(['piece', 'field', 'hint']) role, unnest([0, 1, 2]) i, unnest([piece, field, hint]) nm from q2) where nm <> ''),
+c0 as (select page, min(text) text, min(rank) rank from (select {PAGE.replace(chr(10), " ")} page, {PAGE_TEXT.replace(chr(10), " ")} text, p_size % 9 rank from part) group by page),
+c1 as (select page, text, rank, regexp_extract(page, '\(([^)]*)\)$', 1) ql, lower(regexp_replace(regexp_replace(page, '\s*\([^)]*\)$', ''), '^Music of ', '')) base, starts_with(page, 'Music of ') mus, regexp_extract(text, ' is a (\d+) ', 1) y,
+  lower(regexp_replace(regexp_replace(text, ' More\.$', ''), '[.,]', '', 'g')) lead from c0),
+c2 as (select *, case when mus then 'music' when contains(ql, 'film') then 'film' when ql = 'song' then 'song' when ql = 'video game' then 'game' when ql = 'band' then 'person' when ql = 'album' then 'album' when contains(text, ' game by') then 'game' when contains(text, ' song by') then 'song' else 'other' end kind,
+  {_tokens_sql("base")} have, {_tokens_sql("lead")} lead_t, case when contains(text, 'sequel to') then ['widget'] else [] end re from c1),
+f as (select n.*, c2.*, kind = 'person' or (kind = 'other' and text <> '') person, len(have) = len(want) and len(list_filter(want, lambda w: not list_contains(have, w))) = 0 same, len(list_filter(have, lambda w: not list_contains(want, w))) = 0 sub, len(list_filter(want, lambda w: not list_contains(have, w))) = 0 sup,
+  array_to_string(want, '') x, array_to_string(have, '') z, list_filter(have, lambda w: not list_contains(want, w)) extra from n, c2),
+g as (select *, case when same and not (contains(nm, ' 2') and contains(base, ' ii')) and not (contains(nm, ' ii') and contains(base, ' 2')) then 'exact' when same then 'respelling' when person and list_sort(string_split(x, '')) = list_sort(string_split(z, '')) then 'respelling'
+  when sub then case when person then 'close' else 'parent' end when sup then case when person then 'close' when len(list_filter(extra, lambda w: w not in ('deluxe', 'edition'))) = 0 then 'edition' when have[1:len(want)] = want then 'sibling' else 'combined' end
+  when length(x) >= 8 and levenshtein(x, z) <= length(x) // 5 then 'close' else 'absent' end what from f),
+h as (select *, case what when 'exact' then 4 when 'respelling' then 3 when 'edition' then 3 when 'close' then 2 when 'combined' then 0 when 'parent' then -3 else -4 end tp from g),
+-- the first of the best; where all are absent there is no candidate unless a name is a sibling, which has as few points
+k as (select * from h where (p_partkey, page) in (select (p_partkey, page) from h where what <> 'absent' or list_sort(string_split(x, '')) = list_sort(string_split(z, '')))),
+b as (select * from k qualify row_number() over (partition by p_partkey, page order by tp desc, (what = 'absent')::int, case when what = 'absent' then -i else i end) = 1),
+s as (select b.*, q2.piece, q2.field, q2.hint, q2.ak, q2.yr, q2.medium, text <> '' has, q2.piece <> '' and role <> 'piece' and text <> '' and contains(' ' || lead || ' ', ' ' || q2.piece || ' ') np,
+  case when q2.hint <> '' then q2.hint when q2.ak in ('work', 'unknown') then q2.field else '' end wk, ' ' || ql || ' ' || lead || ' ' up from b join q2 using (p_partkey)),
+kf as (select *, case when kind = 'other' then 0 when role <> 'piece' and medium = 'game' and kind = 'film' then -5 when role = 'piece' then case when kind = 'song' then 3 when kind in ('album', 'music') then 1 else -5 end
+  when role = 'hint' then case when kind in ('game', 'film', 'music', 'album') then 3 when kind = 'song' then 1 else -5 end when ak in ('performer', 'composer') then case when kind = 'person' then 3 when kind in ('album', 'song', 'music') then 1 else -5 end
+  when ak = 'work' then case when kind = 'person' then -5 when kind in ('game', 'film', 'music', 'album') then 3 else 1 end else 3 end k0 from s),
+kg as (select *, case when role <> 'piece' and kind = 'other' and has and what = 'exact' then 1 when k0 < 0 and role = 'piece' and wk <> '' and ql <> '' and len(list_filter(string_split(ql, ' '), lambda w: not list_contains(string_split(wk, ' '), w))) = 0 then 0
+  when k0 < 0 and role = 'field' and np and kind in ('game', 'music') then 0 else k0 end k1 from kf),
+v as (select p_partkey, page, have, kind, mus, [case when what = 'parent' and len(lead_t) > 0 and len(list_filter(want, lambda w: not list_contains(lead_t, w))) = 0 then 3 else tp end,
+  case when role = 'hint' and what in ('exact', 'respelling') then 3 else 0 end, case when np then 2 else 0 end, case when has then k1 else least(k1, 1) end,
+  case when role = 'field' and kind = 'person' and case when has then ak in ('performer', 'unknown') else ak <> 'work' end then 3 when has and role = 'piece' and kind in ('song', 'album') and ak in ('performer', 'unknown') and field <> '' and contains(up, ' ' || field || ' ') then 3
+    when has and role = 'piece' and kind in ('song', 'album') and ak = 'performer' and field <> '' then -3 else 0 end,
+  case when has and role = 'piece' and wk <> '' and contains(up, ' ' || wk || ' ') then 3 else 0 end,
+  case when has and len(re) > 0 and what <> 'exact' and exists (select 1 from n where n.p_partkey = kg.p_partkey and len(list_filter(n.want, lambda w: not list_contains(kg.re, w))) = 0) then -4 else 0 end,
+  case when not has or kind = 'person' or yr is null then 0 when abs(yr - coalesce(try_cast(regexp_extract(ql, '\d{{4}}') as int), try_cast(y as int))) <= 1 then 2 when abs(yr - coalesce(try_cast(regexp_extract(ql, '\d{{4}}') as int), try_cast(y as int))) > 2 then -3 else 0 end,
+  case when has and rank = 0 then 1 else 0 end] parts from kg),
+w as (select *, cast(list_sum(parts) as int) points, list_min(parts) < 0 neg from v),
+top as (select * from w qualify row_number() over (partition by p_partkey order by points desc, page) = 1),
+second as (select w.p_partkey, w.page, w.points from w join top t using (p_partkey) where w.page <> t.page and w.have[1:least(len(w.have), len(t.have))] = t.have[1:least(len(w.have), len(t.have))] and not (w.have = t.have and (w.mus or t.mus))
+  qualify row_number() over (partition by p_partkey order by w.points desc, w.page) = 1)
+select t.p_partkey, t.page, t.points, case when (s.points is null or t.points - s.points >= 3) and (t.points >= 6 or not t.neg) then 'sure' when t.points >= 3 then 'data-only' else 'abstain' end decision, s.page runner_up, t.points - s.points ahead from top t left join second s using (p_partkey)""")
+def scored_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article that each request means, by points of its title, kind, year, performer and lead."""
+    return M.matched_works(_requests(spark, sf_dir), _articles(spark, sf_dir), "p_partkey")
