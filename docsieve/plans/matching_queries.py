@@ -143,11 +143,15 @@ def _lower(text: str, words: str) -> str:
     return rf"regexp_matches(lower({text}), '{I.whole(words)}')"
 
 
+def _told(text: str, words: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({text}), '\b({words})\b', 1))"
+
+
 QUOTES = r"""regexp_extract_all({0}, '"([^"]+)"', 1)"""
 IS_TITLE = r"len(list_filter(list_filter(regexp_split_to_array(trim({0}), '\s+'), lambda w: length(w) > 3), lambda w: not regexp_matches(w, '^\p{{Lu}}'))) = 0"
 PADDED = "' ' || array_to_string({0}, ' ') || ' '"
 KINDS = {
-    "picture": _lower("c", f"[0-9]+ ([a-z-]+ )?({I.UNITS})"),
+    "picture": _lower("c", "|".join(I.PICTURES)),
     "making": _lower("c", I.MAKING),
     "first": "len(firsts) > 0 and stated",
     "person": _lower("c", I.PERSONAL),
@@ -158,12 +162,12 @@ KINDS = {
 CAPTIONS = rf"""
 with t as (select p_partkey, p_brand, {CAPTION} c, {SENTENCE} s, {NAME} title, p_size > 25 lead from part),
 u as (select *, list_distinct({WORDS.format("c")}) cw, {WORDS.format("s")} sw, {WORDS.format("title")} tw from t),
-v as (select *, list_filter(cw, lambda w: w in {I.FIRSTS}) firsts, list_filter({QUOTES.format("c")}, lambda q: {IS_TITLE.format("q")} and len({WORDS.format("q")}) > 0) titles from u),
-w as (select *, len(list_filter(firsts, lambda x: not list_contains(sw, x))) = 0 stated, {PADDED.format("tw")} own from v),
+v as (select *, {_told("c", I.FIRSTS)} firsts, list_filter({QUOTES.format("c")}, lambda q: {IS_TITLE.format("q")} and len({WORDS.format("q")}) > 0) titles from u),
+w as (select *, len(list_filter(firsts, lambda x: not list_contains({_told("s", I.FIRSTS)}, x))) = 0 stated, {PADDED.format("tw")} own from v),
 m as (select p_partkey, p_brand, lead, list_filter([case when {_lower("s", I.SPEECH)} then 'speech' end,
   case when len(list_filter({QUOTES.format("s")}, lambda q: {_count("q")} >= 4 and not ({IS_TITLE.format("q")}))) > 0 then 'quote' end,
   case when not lead and {_count("s")} >= 30 then 'long' end,
-  case when len(list_filter(list_filter(sw, lambda x: x in {I.LIMITING}), lambda x: not list_contains(cw, x))) > 0 then 'limit' end,
+  case when len(list_filter({_told("s", I.LIMITING)}, lambda x: not list_contains({_told("c", I.LIMITING)}, x))) > 0 then 'limit' end,
   case when not lead and 2 * len(list_filter(cw, lambda x: list_contains(sw, x))) < len(list_distinct(sw)) then 'compressed' end], lambda x: x is not null) flags,
   {" + ".join(f"(case when {KINDS[k]} then {p} else 0 end)" for k, p in I.POINTS)} + (case when len(firsts) > 0 and not stated then {I.UNSTATED_FIRST} else 0 end) score,
   case {" ".join(f"when {KINDS[k]} then '{k}'" for k, _ in I.POINTS)} else 'plain' end hook,
@@ -243,7 +247,7 @@ def tiered_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 with d as (select source, unnest({SENTENCES.format("text")}) s from documents), t as (select source, s || case length(s) % 4 when 0 then ' and peaked at 3' when 1 then ' ranked 2 on a list of charted ones' when 2 then ' sold well' else '' end s from d)
-select source, count(*) n, sum(({_lower("s", E.CHARTS)} and not {_lower("s", E.RANKINGS)} and regexp_matches(lower(s), '[0-9]|number one'))::int) charts from t group by 1""")
+select source, count(*) n, sum(({_lower("s", E.CHARTS)} and not {_lower("s", E.RANKINGS)} and regexp_matches(lower(s), '{E.CHART_NUMBER}'))::int) charts from t group by 1""")
 def chart_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sentences of a source tell of charts or sales with a number."""
     from docsieve.functions.text import sentences_of

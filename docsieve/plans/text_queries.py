@@ -180,9 +180,9 @@ _CREDIT = """case p_size % 7 when 0 then p_name || ' (requested by ' || p_brand
 
 
 @query(rf"""
-with t as (select p_partkey, {_CREDIT} t from part), u as (select *, trim(regexp_replace(t, '(?i)[\s,;:|/(\[–—-]+(?:commissioned|requested|sponsored|suggested)\s+by(\s.*)?$', '')) a from t),
+with t as (select p_partkey, {_CREDIT} t from part), u as (select *, trim(regexp_replace(t, '(?i)[\s,;:|/(\[–—-]+(?:commission(?:ed)?|requested|request|req\.?|suggested|sponsored|donated|gifted|paid)\s+(?:by|from)(\s.*)?$', '')) a from t),
 v as (select *, trim(regexp_replace(regexp_replace(a, '(?i)(?:\s*[,;|–—]|\s+-)\s+for\s+\S.*$', ''), '(\s*(\([^()@]*\)|\[[^\[\]@]*\]))+$', '')) b from u)
-select p_partkey, a title, b artist, regexp_full_match(trim(t), '(?i)(traditional|trad|anonymous|anon|unknown)\.?') nobody,
+select p_partkey, a title, b artist, regexp_full_match(trim(t), '(?i)(traditional|trad|anonymous|anon|unknown|folk)\.?') nobody,
  case when {WORDS.format("a")}[1] = {WORDS.format("p_name")}[1] then true else false end same from v join part using (p_partkey)""")
 def request_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and artists without who asked for them."""
