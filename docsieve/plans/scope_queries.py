@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docsieve.functions.markup import html_text
 from docsieve.functions.text import fold_case
 from docsieve.operators import loose_names as L
+from docsieve.operators import readings as D
 from docsieve.operators import series as R
 from docsieve.operators import work_match as M
 from docsieve.operators import work_scope as W
@@ -202,3 +203,31 @@ select t.p_partkey, t.page, t.points, case when (s.points is null or t.points -
 def scored_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article that each request means, by points of its title, kind, year, performer and lead."""
     return M.matched_works(_requests(spark, sf_dir), _articles(spark, sf_dir), "p_partkey")
+
+
+READ_TITLE = "case p_partkey % 6 when 0 then p_name when 1 then p_name || ' (1987)' when 2 then 'Song ' || p_size || ' (from ' || p_name || ')' when 3 then 'Song - ' || p_name when 4 then '12. ' || p_name else 'Nothing (' || p_name || ')' end"
+READ_ARTIST = "case p_size % 5 when 0 then 'Unknown' when 1 then p_brand || ' feat. Some Band' when 2 then p_name || ' [x]' when 3 then p_brand else '' end"
+READ_PAGE = "case p_size % 4 when 0 then p_name || ' (Some Band song)' when 1 then p_name when 2 then p_name || ' (' || p_brand || ')' else 'Song ' || p_size end"
+
+
+@query(rf"""
+with q as (select p_partkey, {READ_TITLE} t, {READ_ARTIST} a, p_partkey % 6 f, p_size % 5 g, p_name, p_size, p_brand from part),
+-- the title as it stands, and without its year or number; the artist as it stands, and without its note
+c as (select *, 0 c, t tt, a aa from q union all select *, 1, case f when 1 then p_name when 4 then p_name else t end, case g when 2 then p_name else a end from q),
+w as (select p_partkey, c, 0 o, p_name game, 'Song ' || p_size track, true tonly, false alone from c where f = 2
+  union all select p_partkey, c, 1, aa, tt, false, false from c where g in (1, 2, 3) union all select p_partkey, c, 2, '', tt, false, true from c where g in (0, 4)
+  union all select p_partkey, c, 3, p_brand, tt, true, false from c where g = 1 union all select p_partkey, c, 4, 'Some Band', tt, true, false from c where g = 1
+  union all select p_partkey, c, 5, '1987', p_name, true, false from c where f = 1 and c = 0 union all select p_partkey, c, 5, p_name, 'Nothing', true, false from c where f = 5
+  union all select p_partkey, c, 6, p_name, 'Song', false, false from c where f = 3 union all select p_partkey, c, 7, 'Song', p_name, false, false from c where f = 3),
+d as (select * from w qualify row_number() over (partition by p_partkey, game, track, tonly, alone order by c, o) = 1),
+r as (select *, cast(row_number() over (partition by p_partkey order by c, o) - 1 as int) place, {NORM.format("track")} nt, {NORM.format("game")} ng from d),
+p as (select distinct {READ_PAGE} page, case p_size % 4 when 0 then 'some band song' when 2 then lower(replace(p_brand, '#', ' ')) else '' end note, case when p_size % 4 = 3 then 'song ' || p_size else p_name end base from part),
+m as (select distinct p_partkey, place, page, true own from r join p on nt = base where note = '' or (not alone and ng <> '' and contains(note, ng))
+  union select p_partkey, place, page, false from r join p on ng = base where not tonly and not alone and ng <> '')
+select p_partkey, place, page, own from m qualify row_number() over (partition by p_partkey order by place, own desc, page) = 1""")
+def first_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article that the first reading of a request leads to which leads to any."""
+    p = table(spark, sf_dir, "part")
+    asked = D.listed_readings(p.select("p_partkey", F.expr(READ_TITLE).alias("t"), F.expr(READ_ARTIST).alias("a")), "p_partkey", "t", "a")
+    pages = p.select(F.expr(READ_PAGE).alias("page"))
+    return D.first_success(asked, lambda now: D.articles_of(now, pages, "p_partkey", "page"), "p_partkey")
