@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Words that carry no content (fixed values).
-STOPWORDS = ("the", "and", "for", "was", "with", "that", "this", "from", "are")
+#: Words that carry no content (fixed values, whole).
+STOPWORDS = ("the", "and", "of", "a", "an", "in", "on", "for", "to")
 #: Labelled word lists in the order in which they are tried (fixed values of this project's own choosing).
 STANDARD = (
     ("abuse", ("idiot", "moron", "scum", "trash", "loser")),

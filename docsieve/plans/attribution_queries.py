@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import attribution as A
 from docsieve.operators import clicks as K
+from docsieve.operators import speakers as P
 from docsieve.plans.queries import TOKENS, WORDS, query, table
 from docsieve.plans.wording_queries import cases, told
 
@@ -85,3 +86,30 @@ def report_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     statements = e.select("user_id", (k % 4).alias("play"), F.when(k % 4 == 0, on).otherwise(F.col("event_type")).alias("song"), F.concat(F.lit("f"), k % 5).alias("text"))
     reports = e.select("user_id", k.alias("report"), F.concat(F.lit("f"), k % 7).alias("text"), F.when(k % 3 > 0, F.when(k % 5 == 0, on).otherwise(F.col("event_type"))).alias("song"), (k % 2 == 0).alias("live"))
     return K.report_targets(reports, statements, "user_id")
+
+
+_SAYING = r"regexp_replace(coalesce(text, ''), ' (the|de|der|la) ', ' said '{})"
+_NAME = r"regexp_extract(coalesce(text, ''), '(\p{Lu}\p{Ll}{3,})', 1)"
+_QUOTE = r"regexp_extract(coalesce(text, ''), '[.] \p{Lu}\p{L}* (\p{L}+ \p{L}+ \p{L}+)', 1)"
+_BARE = r"""regexp_replace(s, '["“][^"”]*["”]', '', 'g')"""
+_WHOLE = r"' ' || regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
+
+
+@query(rf"""
+with d as (select doc_id, {_SAYING.format(", 'g'")} t, {_NAME} nm, {_QUOTE} q from documents),
+c as (select *, nm || ' said that ' || case when q <> '' then '"' || q || '"' else 'it was so' end c from d where nm <> '' and lower(nm) not in {A.NAME_STOPWORDS}),
+l as (select doc_id, c, nm, q, unnest(k) s, unnest(range(len(k))) i from (select *, list_filter(list_transform(flatten(list_transform(string_split(t, chr(10)), lambda x: string_split(regexp_replace(x, '([.!?]["”]?)\s+(["“]?\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: trim(x)), lambda x: x <> '') k from c)),
+m as (select *, contains({_WHOLE.format(_BARE)}, {_WHOLE.format("nm")}) m, {TOKENS.format("c")} ct, {TOKENS.format("s")} st from l),
+g as (select *, {told(P.ATTRIBUTION[4:], "s")} and (m or ({told(P.PRONOUN_SAYS[4:], "s")} and (coalesce(lag(m, 1) over w, false) or coalesce(lag(m, 2) over w, false))) or ({told(P.BY_THE_MAKER[4:], "s")} and first(m) over w)) gives,
+  case when len(ct) > 0 then len(list_filter(ct, lambda x: list_contains(st, x))) / len(ct) else 0.0 end share from m window w as (partition by doc_id order by i)),
+n as (select *, gives or (coalesce(lag(gives) over (partition by doc_id order by i), false) and not {told(P.ATTRIBUTION[4:], _BARE)}) near, max(share) over (partition by doc_id) best from g)
+select doc_id, any_value(nm) "name" from n group by doc_id
+having not bool_or(gives) or (any_value(q) <> '' and len(list_filter(string_split(any_value(q), ' '), lambda x: not regexp_matches(x, '^(\p{{Lu}}|\d)') and x not in ('a', 'an', 'the', 'of', 'in', 'on', 'to', 'and', 'for', 'at', 'by', 'or'))) > 0
+    and not bool_or(near and contains(s, q))) or (max(best) >= 0.25 and not bool_or(near and (share >= best - 0.1 or share >= 0.3)))""")
+def misattributed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which nobody gives their first name the words that a caption puts into its mouth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SAYING.format("")).alias("t"), F.expr(_NAME.replace("\\", "\\\\")).alias("nm"), F.expr(_QUOTE.replace("\\", "\\\\")).alias("q"))
+    words = F.when(F.col("q") != "", F.concat(F.lit('"'), "q", F.lit('"'))).otherwise("it was so")
+    docs = docs.select("doc_id", "t", F.when(F.col("nm") != "", F.concat("nm", F.lit(" said that "), words)).alias("c"))
+    rows = P.told_sentences(docs.select("doc_id", F.col("doc_id").alias("cid"), "c"), docs.select("doc_id", "t"), "doc_id", "cid", "c", "t")
+    return P.misattributed_words(rows, "cid", "c").select(F.col("cid").alias("doc_id"), "name")

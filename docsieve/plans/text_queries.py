@@ -142,7 +142,7 @@ def packed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 with c as (select p_partkey, p_name || case p_size % 3 when 0 then ' song' when 1 then ' music and track' else ' drum' end caption, p_name || case p_partkey % 2 when 0 then ' by ' || p_brand else '' end request from part),
-t as (select *, {TOKENS.format("caption")} ct, {TOKENS.format("request")} rt from c)
+t as (select *, {WORDS.format("caption")} ct, {WORDS.format("request")} rt from c)
 select p_partkey, len(list_filter(ct, lambda x: not list_contains(rt, x) and x not in {G.FILLER})) = 0 restates from t""")
 def restated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions that say no more than the request."""

@@ -7,7 +7,7 @@ import unicodedata
 from docsieve.functions.wikitext import marked_text
 from docsieve.operators import work_scope as W
 
-STOP = {"the", "and", "for", "was", "with", "that", "this", "from", "are"}
+STOP = {"the", "and", "for"}
 
 
 def norm(s):
