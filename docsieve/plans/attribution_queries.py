@@ -89,14 +89,14 @@ def report_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SAYING = r"regexp_replace(coalesce(text, ''), ' (the|de|der|la) ', ' said '{})"
-_NAME = r"regexp_extract(coalesce(text, ''), '(\p{Lu}\p{Ll}{3,})', 1)"
+_SPEAKER = r"regexp_extract(coalesce(text, ''), '(\p{Lu}\p{Ll}{3,})', 1)"
 _QUOTE = r"regexp_extract(coalesce(text, ''), '[.] \p{Lu}\p{L}* (\p{L}+ \p{L}+ \p{L}+)', 1)"
 _BARE = r"""regexp_replace(s, '["“][^"”]*["”]', '', 'g')"""
 _WHOLE = r"' ' || regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
 
 
 @query(rf"""
-with d as (select doc_id, {_SAYING.format(", 'g'")} t, {_NAME} nm, {_QUOTE} q from documents),
+with d as (select doc_id, {_SAYING.format(", 'g'")} t, {_SPEAKER} nm, {_QUOTE} q from documents),
 c as (select *, nm || ' said that ' || case when q <> '' then '"' || q || '"' else 'it was so' end c from d where nm <> '' and lower(nm) not in {A.NAME_STOPWORDS}),
 l as (select doc_id, c, nm, q, unnest(k) s, unnest(range(len(k))) i from (select *, list_filter(list_transform(flatten(list_transform(string_split(t, chr(10)), lambda x: string_split(regexp_replace(x, '([.!?]["”]?)\s+(["“]?\p{{Lu}})', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: trim(x)), lambda x: x <> '') k from c)),
 m as (select *, contains({_WHOLE.format(_BARE)}, {_WHOLE.format("nm")}) m, {TOKENS.format("c")} ct, {TOKENS.format("s")} st from l),
@@ -108,7 +108,7 @@ having not bool_or(gives) or (any_value(q) <> '' and len(list_filter(string_spli
     and not bool_or(near and contains(s, q))) or (max(best) >= 0.25 and not bool_or(near and (share >= best - 0.1 or share >= 0.3)))""")
 def misattributed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in which nobody gives their first name the words that a caption puts into its mouth."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SAYING.format("")).alias("t"), F.expr(_NAME.replace("\\", "\\\\")).alias("nm"), F.expr(_QUOTE.replace("\\", "\\\\")).alias("q"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SAYING.format("")).alias("t"), F.expr(_SPEAKER.replace("\\", "\\\\")).alias("nm"), F.expr(_QUOTE.replace("\\", "\\\\")).alias("q"))
     words = F.when(F.col("q") != "", F.concat(F.lit('"'), "q", F.lit('"'))).otherwise("it was so")
     docs = docs.select("doc_id", "t", F.when(F.col("nm") != "", F.concat("nm", F.lit(" said that "), words)).alias("c"))
     rows = P.told_sentences(docs.select("doc_id", F.col("doc_id").alias("cid"), "c"), docs.select("doc_id", "t"), "doc_id", "cid", "c", "t")
