@@ -231,3 +231,21 @@ def first_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = D.listed_readings(p.select("p_partkey", F.expr(READ_TITLE).alias("t"), F.expr(READ_ARTIST).alias("a")), "p_partkey", "t", "a")
     pages = p.select(F.expr(READ_PAGE).alias("page"))
     return D.first_success(asked, lambda now: D.articles_of(now, pages, "p_partkey", "page"), "p_partkey")
+
+
+WIDE_TITLE = "case doc_id % 4 when 0 then 'Music of ' || coalesce(game, '') when 1 then 'Music of the Other series' when 2 then coalesce(game, '') || ' soundtrack' else coalesce(game, '') end"
+
+
+@query(rf"""
+with {MADE},
+d as (select doc_id, count(distinct nh) n from (select doc_id, {NORM.format("h")} nh from m where head and i % 2 = 0) group by doc_id),
+f as (select doc_id, arg_min(h, i) game from hd group by doc_id),
+p as (select x.doc_id, coalesce(f.game, '') game, case x.doc_id % 4 when 0 then 'Music of ' || coalesce(f.game, '') when 1 then 'Music of the Other series' when 2 then coalesce(f.game, '') || ' soundtrack' else coalesce(f.game, '') end page, coalesce(d.n, 0) n
+  from documents x left join f using (doc_id) left join d using (doc_id))
+select doc_id, case when {NORM.format("game")} = '' then false when doc_id % 4 = 1 or (doc_id % 4 = 0 and regexp_matches(game, '(?i)^the .')) then true when doc_id % 4 in (0, 2) then n >= 3 else regexp_matches(lower(page), '\b(soundtracks?|music|score)\b') and n >= 3 end wide from p""")
+def series_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether documents with headings, of which every other line's has a year, are on a whole series' music."""
+    docs = made(spark, sf_dir)
+    dated = F.transform(F.split("t", "\n"), lambda s, i: F.when((i % 2 == 0) & s.rlike("^==+ .* ==$"), F.regexp_replace(s, " ==$", " (1990) ==")).otherwise(s))
+    rows = docs.withColumn("d", F.array_join(dated, "\n")).withColumn("page", F.expr(WIDE_TITLE))
+    return R.series_wide(rows, "doc_id", "page", "d", "game")
