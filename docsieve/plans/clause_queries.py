@@ -13,12 +13,13 @@ from docsieve.operators import speakers as P
 from docsieve.plans.queries import TOKENS, query, table
 from docsieve.plans.wording_queries import cases, told
 
+_PAIR, _PAIR_ONCE = r"([^.,\n]+), ([^.,\n]+)[.,]", r"(?<![^.,\n])([^.,\n]++), ([^.,\n]++)[.,]"
 _HAS = r"contains(' ' || regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ', ' ' || trim(regexp_replace(lower({1}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
 
 
 def _java(sql: str) -> str:
-    """SQL for Spark, whose string literals unescape a backslash."""
-    return sql.replace("\\", "\\\\")
+    """SQL for Spark, whose string literals unescape a backslash; halves of sentences are sought from where one starts only, which finds the same."""
+    return sql.replace(_PAIR, _PAIR_ONCE).replace("\\", "\\\\")
 
 
 def _retold(texts: str, caption: str) -> str:
@@ -36,7 +37,7 @@ def _told(spark: SparkSession, sf_dir: str, texts: str, caption: str) -> DataFra
 
 # Commas become clauses of who did it with years and names; captions tell the first half of a sentence, or the second, with one of them.
 _JOINED = "replace(coalesce(text, ''), ', ', ' in 1976 by Ada, who met Otto and ')"
-_HALF = r"regexp_extract(coalesce(text, ''), '([^.,\n]+), ([^.,\n]+)[.,]', {})"
+_HALF = f"regexp_extract(coalesce(text, ''), '{_PAIR}', {{}})"
 _MERGED = cases("doc_id", f"{_HALF.format(2)} || ' in 1976'", f"{_HALF.format(1)} || ' with Otto'", f"{_HALF.format(1)} || ' in 1976'", f"{_HALF.format(2)} || ' with Ada'", f"{_HALF.format(2)} || ' with Otto in 1976 again'")
 
 
