@@ -27,6 +27,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def every_word(text: Column) -> Column:
+    """The words of words_of, with an empty one where text begins or ends between words: for what is held against sets of words only."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+
+
 def content_tokens(text: Column) -> Column:
     """The set of words longer than two characters that are no stopwords."""
     kept = F.filter(words_of(text), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.attribution import NAME_STOPWORDS
-from docsieve.functions.text import content_tokens, full_sentences, share
+from docsieve.functions.text import content_tokens, every_word, full_sentences, share
 
 #: How a caption gives someone's words, how sources give words and views, and what opens a sentence before its doer.
 NAME = r"(?:Mc)?\p{Lu}[\p{L}'’.-]*"
@@ -53,10 +53,13 @@ def _plain(text: Column) -> Column:
 
 
 def told_sentences(captions: DataFrame, sources: DataFrame, key: str, caption_id: str, caption: str, text: str) -> DataFrame:
-    """(caption_id, caption, pos, sentence, share): each caption with the sentences of its source and their shares of its tokens."""
+    """(caption_id, caption, pos, sentence, share): each caption with the sentences of its source and their shares of its tokens.
+
+    A caption's tokens are taken once, before it meets the sentences; what is among them needs no choice among a sentence's words.
+    """
     rows = sources.select(key, F.posexplode(full_sentences(F.col(text))).alias("pos", "sentence"))
-    held = captions.select(key, caption_id, caption).where(F.col(caption).isNotNull())
-    return held.join(rows, key).select(caption_id, caption, "pos", "sentence", share(content_tokens(F.col(caption)), content_tokens(F.col("sentence"))).alias("share"))
+    held = captions.where(F.col(caption).isNotNull()).select(key, caption_id, caption, content_tokens(F.col(caption)).alias("_ct"))
+    return held.join(rows, key).select(caption_id, caption, "pos", "sentence", share(F.col("_ct"), every_word(F.col("sentence"))).alias("share"))
 
 
 def misattributed_words(told: DataFrame, caption_id: str, caption: str) -> DataFrame:

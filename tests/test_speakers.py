@@ -3,6 +3,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from docsieve.functions.text import content_tokens, share
 from docsieve.operators import speakers as S
 
 SOURCE = 'Ada Pell wrote the tune. She said it was "a lucky accident of sound". "It came to me in the rain" was the rest. In 1933, Mara Quill recorded the tune in a barn. Otto Vale thought little of it.'
@@ -72,3 +75,15 @@ def test_misattributed_words_equal_plain_python(spark):
     got = {r.cid: r.name for r in S.misattributed_words(told(spark, captions, sources), "cid", "caption").collect()}
     want = {i: name for i, (k, c) in enumerate(captions) if (name := brute(c, sources[k][1]))}
     assert got == want and 20 < len(want) < 190
+
+
+def test_told_shares_take_a_captions_tokens_once(spark):
+    rng = random.Random(3)
+    words = ["Lake", "lake", "the", "of", "É", "él", "été", "12", "123", "a-b", "Moon's", "...", "moon", "s"]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    caps = spark.createDataFrame([(i, line(rng.randint(0, 6))) for i in range(60)] + [(60, ""), (61, None)], "k long, c string")
+    texts = spark.createDataFrame([(i, ". ".join("A" + line(rng.randint(0, 8)) for _ in range(4))) for i in range(62)], "k long, t string")
+    told = S.told_sentences(caps.withColumn("id", F.col("k")), texts, "k", "id", "c", "t")
+    assert told.where(told.share != share(content_tokens(F.col("c")), content_tokens(F.col("sentence")))).count() == 0 and told.where("share > 0").count() > 50
+    joined = told._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "split(lower" in joined and "split(lower(coalesce(c" not in joined and "split(lower(c" not in joined
