@@ -228,9 +228,8 @@ select p_partkey, place, page, own from m qualify row_number() over (partition b
 def first_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article that the first reading of a request leads to which leads to any."""
     p = table(spark, sf_dir, "part")
-    asked = D.listed_readings(p.select("p_partkey", F.expr(READ_TITLE).alias("t"), F.expr(READ_ARTIST).alias("a")), "p_partkey", "t", "a")
-    pages = p.select(F.expr(READ_PAGE).alias("page"))
-    return D.first_success(asked, lambda now: D.articles_of(now, pages, "p_partkey", "page"), "p_partkey")
+    asked = p.select("p_partkey", F.expr(READ_TITLE).alias("t"), F.expr(READ_ARTIST).alias("a"))
+    return D.first_articles(asked, p.select(F.expr(READ_PAGE).alias("page")), "p_partkey", "t", "a", "page")
 
 
 WIDE_TITLE = "case doc_id % 4 when 0 then 'Music of ' || coalesce(game, '') when 1 then 'Music of the Other series' when 2 then coalesce(game, '') || ' soundtrack' else coalesce(game, '') end"
