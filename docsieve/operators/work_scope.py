@@ -80,7 +80,7 @@ def requested_names(pages: DataFrame, key: str, game: str, page: str, sentences:
     that has one, their subtitles of two words or more, and the names of paired versions ("Some Red and Blue")."""
     subjects = sentences.select(key, "para", F.explode(F.filter("works", lambda w: w["subject"])["title"]).alias("title"))
     first = subjects.groupBy(key).agg(F.min("para").alias("para"))
-    subjects = subjects.join(first, [key, "para"]).select(key, "title")
+    subjects = subjects.join(first.hint("merge"), [key, "para"]).select(key, "title")
     asked = F.coalesce(game, F.lit(""))
     titles = pages.select(key, F.explode(F.array(asked, F.regexp_replace(asked, EDITION_TAIL, ""), work_of_page(F.coalesce(page, F.lit(""))))).alias("title")).union(subjects)
     subtitle = F.regexp_extract("title", r":\s*(.+)$", 1)
@@ -97,10 +97,10 @@ def _judged_works(sentences: DataFrame, about: DataFrame, key: str) -> DataFrame
     """(key, para, k, i, title, name, target, requested, related): every italic title, and what it is to the work asked for."""
     rows = sentences.select(key, "para", "k", F.posexplode("works").alias("i", "w")).select(key, "para", "k", "i", "w.title", "w.target")
     rows = rows.select("*", _key_of(F.col("title")).alias("name"), normal_title(F.col("title")).alias("_full"), _key_of(F.col("target")).alias("_to"), _key_of(work_of_page(F.col("target"))).alias("_of"), F.lower(qualifier_of(F.col("target"))).alias("_q"))
-    rows = rows.join(about, key).withColumn("related", F.arrays_overlap(_distinctive(F.col("_full")), F.col("own")))
+    rows = rows.join(about.hint("merge"), key).withColumn("related", F.arrays_overlap(_distinctive(F.col("_full")), F.col("own")))
     known = lambda c: F.array_contains("names", c)
     games = rows.where(~known(F.col("name")) & ~F.col("title").rlike(MUSIC_ALBUM) & F.col("related")).groupBy(key).agg(F.collect_set("name").alias("games"))
-    rows = rows.join(games, key, "left")
+    rows = rows.join(games.hint("merge"), key, "left")
     inside = lambda n: F.contains(padded(F.col("name")), padded(n))
     album = F.exists("names", lambda n: F.contains(n, F.lit(" ")) & inside(n)) & F.col("title").rlike(MUSIC_ALBUM) & ~F.col("title").rlike(NOT_MUSIC_ALBUM)
     album = album & ~F.exists(F.coalesce("games", F.array().cast("array<string>")), inside)
@@ -115,10 +115,10 @@ def _aligned(plain: DataFrame, wiki: DataFrame, key: str) -> DataFrame:
     theirs = wiki.groupBy(key, F.array_sort(content_tokens(F.col("text"))).alias("u")).agg(F.min(F.struct("para", "k")).alias("at"))
     each = theirs.select(key, "at", "u", F.explode("u").alias("token"))
     df = each.groupBy(key, "token").agg(F.count("*").alias("df"))
-    mine = ours.select(key, "t", F.explode("t").alias("token")).join(df, [key, "token"], "left").groupBy(key, "t")
+    mine = ours.select(key, "t", F.explode("t").alias("token")).join(df.hint("merge"), [key, "token"], "left").groupBy(key, "t")
     ranked = mine.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
     probes = ranked.select(key, "t", F.explode(F.slice("r", 1, F.size("t") - F.ceil(F.size("t") / 2).cast("int") + 1)).alias("p")).where("p.df > 0").select(key, "t", F.col("p.token").alias("token"))
-    pairs = probes.join(each.select(key, "token", "at", "u"), [key, "token"]).select(key, "t", "at", "u").distinct()
+    pairs = probes.join(each.select(key, "token", "at", "u").hint("merge"), [key, "token"]).select(key, "t", "at", "u").distinct()
     share = F.size(F.array_intersect("t", "u")) / F.greatest(F.size("t"), F.size("u"))
     best = pairs.withColumn("share", share).where("share >= 0.5").groupBy(key, "t").agg(F.min_by("at", F.struct(-F.col("share"), F.col("at"))).alias("at"))
     return best.select(key, "t", "at.para", "at.k")
@@ -165,28 +165,29 @@ def other_work_sentences(pages: DataFrame, key: str, full: str, markup: str, gam
 
     They stand under a heading of another work or of editions, name a related work in italics and not the one asked for, are
     about an edition, or go on about such a sentence before them in their line. A key names one page; null texts are empty,
-    and pages without italic sentences or names drop nothing. Repeated sentences are judged at each place.
+    and pages without italic sentences or names drop nothing. Repeated sentences are judged at each place. No table that grows with the
+    pages is broadcast, though some are small as files: all joins are merged, and the driver holds none of them.
     """
     text = F.coalesce(F.col(full), F.lit(""))
     wiki = written(italic_sentences(pages, key, markup), "wiki-sentences")
     names = requested_names(pages, key, game, page, wiki)
     asked = F.coalesce(game, F.lit(""))
     about = pages.select(key, F.lower(qualifier_of(F.coalesce(page, F.lit("")))).alias("qualifier"), _key_of(asked).alias("_g"), _key_of(work_of_page(F.coalesce(page, F.lit("")))).alias("_p"), asked.rlike(EDITION_WORD).alias("asks_edition"))
-    about = about.join(names, key).join(wiki.select(key).distinct(), key, "left_semi")
+    about = about.join(names.hint("merge"), key).join(wiki.select(key).distinct().hint("merge"), key, "left_semi")
     about = about.select(key, "qualifier", "asks_edition", "names", F.array_distinct(F.flatten(F.transform("names", _distinctive))).alias("own"), F.when(F.col("_g") != F.col("_p"), F.col("_g")).otherwise("").alias("exempt"))
     about = written(about, "about")
     works = written(_judged_works(wiki, about.select(key, "qualifier", "names", "own"), key), "works")
     titles = works.where("not requested and related").groupBy(key).agg(F.collect_set("name").alias("other_titles"))
-    heads = heading_tree(pages.select(key, text.alias("_t")), key, "_t").join(about, key).join(titles, key, "left").withColumn("_h", _key_of(F.col("heading")))
+    heads = heading_tree(pages.select(key, text.alias("_t")), key, "_t").join(about.hint("merge"), key).join(titles.hint("merge"), key, "left").withColumn("_h", _key_of(F.col("heading")))
     other = (F.array_contains(F.coalesce("other_titles", F.array().cast("array<string>")), F.col("_h")) & ~F.array_contains("names", F.col("_h"))) | (~F.col("asks_edition") & F.col("heading").rlike(EDITION_HEADING))
     heads = heads.select(key, F.col("from").alias("line"), F.lit(True).alias("is_head"), F.when(other, F.col("to")).alias("until"))
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s")).join(heads, [key, "line"], "left")
+    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s")).join(heads.hint("merge"), [key, "line"], "left")
     lines = lines.withColumn("in_other", within_any(lines, key, "line", F.col("until"), F.col("until"))).where("is_head is null")
     plain = lines.select(key, "line", "in_other", F.posexplode(full_sentences(F.col("s"))).alias("k", "sentence")).withColumn("t", F.array_sort(content_tokens(F.col("sentence"))))
     plain = written(plain, "sentences")
     held = works.groupBy(key, "para", F.col("k").alias("_k")).agg(F.array_sort(F.collect_list(F.struct("i", "title", "name", "target", "requested", "related"))).alias("works"))
-    found = _aligned(plain, wiki, key).withColumnRenamed("k", "_k").join(held, [key, "para", "_k"]).select(key, "t", "works")
-    rows = plain.join(about, key).join(found, [key, "t"], "left").withColumn("works", F.coalesce("works", F.array().cast("array<struct<i:int,title:string,name:string,target:string,requested:boolean,related:boolean>>")))
+    found = _aligned(plain, wiki, key).withColumnRenamed("k", "_k").join(held.hint("merge"), [key, "para", "_k"]).select(key, "t", "works")
+    rows = plain.join(about.hint("merge"), key).join(found.hint("merge"), [key, "t"], "left").withColumn("works", F.coalesce("works", F.array().cast("array<struct<i:int,title:string,name:string,target:string,requested:boolean,related:boolean>>")))
     sentence = F.col("sentence")
     one_word = lambda w: ~F.contains(w["name"], F.lit(" ")) & F.exists("names", lambda n: F.startswith(n, F.concat(w["name"], F.lit(" "))))
     of_series = lambda w: F.rlike(sentence, F.concat(F.lit(r"(?i)\Q"), F.regexp_replace(w["title"], r"\\E", ""), F.lit(r"\E" + OF_SERIES)))
@@ -195,7 +196,7 @@ def other_work_sentences(pages: DataFrame, key: str, full: str, markup: str, gam
     rows = rows.withColumn("_w", normal_title(sentence)).withColumn("_names", F.concat("names", F.filter("works", lambda w: w["requested"])["name"]))
     longer = rows.select(key, "line", "k", F.explode(F.filter("works", lambda w: ~w["requested"])["title"]).alias("x")).select(key, "line", "k", normal_title(F.col("x")).alias("x"))
     longer = longer.groupBy(key, "line", "k").agg(F.collect_list("x").alias("longer"))
-    rows = rows.join(longer, [key, "line", "k"], "left")
+    rows = rows.join(longer.hint("merge"), [key, "line", "k"], "left")
     rows = rows.withColumn("_n", _named_plainly("_w", "_names", F.coalesce("longer", F.array().cast("array<string>")), "exempt"))
     rows = rows.select(
         key, "line", "k", "sentence", "in_other", others.alias("others"), "_n.clean", "_n.edition", sentence.rlike(SUBJECT_LED).alias("subject_led"),

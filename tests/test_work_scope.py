@@ -133,3 +133,9 @@ def test_named_plainly():
     assert W.named_plainly("a remake of some quest came", ["some quest"], [], "") == (False, True)
     assert W.named_plainly("some quest some quest hd", ["some quest"], [], "") == (True, True)
     assert W.named_plainly("red is here", ["red"], [], "") == (False, False)
+
+
+def test_no_table_of_pages_is_broadcast(spark):
+    df = spark.createDataFrame([(i, "Lake Song is a game. It has Moon Party fans in it.", "''Lake Song'' is a game. It has ''Moon Party'' fans in it.", "Lake Song", "Lake Song") for i in range(40)], "id long, full string, markup string, game string, page string")
+    plan = W.other_work_sentences(df, "id", "full", "markup", "game", "page")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
