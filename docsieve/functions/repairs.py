@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.frames import QUOTED, REGIONS
 from docsieve.functions.grounding import LONGEST, screen_reason
+from docsieve.functions.text import ascii_edges
 from docsieve.functions.wording import quoted
 
 #: Patterns and words that the rules are specified with.
@@ -82,13 +83,13 @@ def _figures(text: Column) -> Column:
 
 def number_limits(caption: Column, sentence: Column) -> Column:
     """(text, dropped): a caption with "about" or the like before the numbers that the sentence limits; why, where the place is not clear."""
-    zipped = F.arrays_zip(F.regexp_extract_all(sentence, F.lit(NUMBER_LIMIT), F.lit(1)).alias("limit"), F.regexp_extract_all(sentence, F.lit(NUMBER_LIMIT), F.lit(2)).alias("number"))
+    zipped = F.arrays_zip(F.regexp_extract_all(sentence, F.lit(ascii_edges(NUMBER_LIMIT)), F.lit(1)).alias("limit"), F.regexp_extract_all(sentence, F.lit(ascii_edges(NUMBER_LIMIT)), F.lit(2)).alias("number"))
 
     def step(acc: Column, x: Column) -> Column:
         out, limit = acc["text"], F.lower(x["limit"])
         hits = F.filter(F.regexp_extract_all(out, F.lit(NUMBER), F.lit(0)), lambda h: _bare(h) == _bare(x["number"]))
         hit = F.get(hits, F.lit(0))
-        limited = F.exists(hits, lambda h: F.regexp_like(out, F.concat(F.lit(ANY_NUMBER_LIMIT), quoted(h))))
+        limited = F.exists(hits, lambda h: F.regexp_like(out, F.concat(F.lit(ascii_edges(ANY_NUMBER_LIMIT)), quoted(h))))
         word = F.when(limit == "estimated", F.lit("an estimated")).otherwise(limit)
         word = F.when(F.startswith(out, hit), F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))).otherwise(word)
         at = F.concat(F.lit(r"(?<![\d$£€])(?<!\d[.,])"), quoted(hit))
@@ -102,9 +103,9 @@ def number_limits(caption: Column, sentence: Column) -> Column:
 
 def scope_adverbs(start: Column, sentence: Column) -> Column:
     """(text, dropped) of (text, dropped): "usually" and the like back before the next word of the sentence; why, where that word is not once in the caption."""
-    found = SCOPE_ADVERB + r"(?=([^,;.:!?]*))"
+    found = ascii_edges(SCOPE_ADVERB) + r"(?=([^,;.:!?]*))"
     zipped = F.arrays_zip(F.regexp_extract_all(sentence, F.lit(found), F.lit(1)).alias("word"), F.regexp_extract_all(sentence, F.lit(found), F.lit(2)).alias("after"))
-    same = F.create_map(*[F.lit(v) for kv in SAME_LIMIT.items() for v in kv])
+    same = F.create_map(*[F.lit(ascii_edges(v)) for kv in SAME_LIMIT.items() for v in kv])
 
     def step(acc: Column, x: Column) -> Column:
         out, word = acc["text"], F.lower(x["word"])
@@ -139,7 +140,7 @@ def put_back(caption: Column, sentence: Column, phrase: Column) -> Column:
         return F.when(usable, F.regexp_replace(caption, F.concat(F.lit("("), _standing(a), F.lit(")")), F.concat(F.lit("$1 "), phrase)))
 
     opens = (F.trim(F.regexp_replace(before, r"""^[^:.!?"“]{1,80}: """, "")) == "") & F.startswith(F.substr(sentence, F.length(before) + F.length(phrase) + 1), F.lit(","))
-    low = F.when(caption.rlike(r"^(?:The|It|Its|A|An|This)\b"), F.concat(F.lower(F.left(caption, F.lit(1))), F.substr(caption, F.lit(2)))).otherwise(caption)
+    low = F.when(caption.rlike(ascii_edges(r"^(?:The|It|Its|A|An|This)\b")), F.concat(F.lower(F.left(caption, F.lit(1))), F.substr(caption, F.lit(2)))).otherwise(caption)
     first = F.concat(F.upper(F.left(phrase, F.lit(1))), F.substr(phrase, F.lit(2)), F.lit(", "), low)
     return F.when(opens, first).otherwise(F.coalesce(after(1), after(2)))
 
@@ -156,16 +157,16 @@ def scope_restored(caption: Column, sentence: Column) -> Column:
     def same_clause(phrase: Column) -> Column:
         return (F.size(own) == 0) | F.exists(F.split(sentence, SEPARATOR), lambda k: F.contains(k, phrase) & F.arrays_overlap(_figures(k), own))
 
-    regions = F.regexp_extract_all(sentence, F.lit(REGION_PHRASE), F.lit(0))
+    regions = F.regexp_extract_all(sentence, F.lit(ascii_edges(REGION_PHRASE)), F.lit(0))
     region = F.get(regions, F.lit(0))
-    every = F.array_distinct(F.regexp_extract_all(sentence, F.lit(ANY_REGION), F.lit(0)))
+    every = F.array_distinct(F.regexp_extract_all(sentence, F.lit(ascii_edges(ANY_REGION)), F.lit(0)))
     leads = F.startswith(sentence, F.concat(region, F.lit(",")))
-    alone = (F.size(regions) == 1) & (F.size(every) == 1) & ~sentence.rlike(WIDER_SCOPE) & ~caption.rlike(WIDER_SCOPE) & ~caption.rlike("(?i)" + ANY_REGION)
+    alone = (F.size(regions) == 1) & (F.size(every) == 1) & ~sentence.rlike(ascii_edges(WIDER_SCOPE)) & ~caption.rlike(ascii_edges(WIDER_SCOPE)) & ~caption.rlike("(?i)" + ascii_edges(ANY_REGION))
     text = F.when(claim & alone & (leads | same_clause(region)), put_back(caption, sentence, region))
     text = F.coalesce(text, caption)
-    weeks = F.regexp_extract_all(sentence, F.lit(FIRST_WEEK), F.lit(0))
+    weeks = F.regexp_extract_all(sentence, F.lit(ascii_edges(FIRST_WEEK)), F.lit(0))
     week = F.get(weeks, F.lit(0))
-    late = F.when(claim & (F.size(weeks) == 1) & ~text.rlike(r"(?i)\bfirst week\b") & same_clause(week), put_back(text, sentence, week))
+    late = F.when(claim & (F.size(weeks) == 1) & ~text.rlike(ascii_edges(r"(?i)\bfirst week\b")) & same_clause(week), put_back(text, sentence, week))
     return F.coalesce(late, text)
 
 

@@ -22,6 +22,11 @@ STANDARD = (
 SENTENCE_BREAK = r"""(?<=[.!?]["”]?)\s+(?=["“]?\p{Lu})|\n+"""
 
 
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose word ends are those of SQL and of JavaScript, between ASCII word signs and all others: "An" ends in "Ané". Java's count all letters."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order; an empty array for null."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")

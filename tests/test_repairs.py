@@ -37,6 +37,13 @@ def test_repaired(spark):
     assert {r.cid: r.text for r in R.repaired(told, "cid", "c").collect()} == {i: t for i, (t, d) in got.items() if d is None}
 
 
+def test_words_end_before_letters_with_accents(spark):
+    """As in the SQL and the reference, "An" ends in "Ané", and "about" begins after "é"."""
+    rows = spark.createDataFrame([("Ané 5 copies", "In Japan, ané 5 copies were sold"), ("Anna 5 copies", "In Japan, anna 5 copies were sold"), ("Sold 5 copies", "éabout 5 copies were sold")], "c string, s string")
+    got = rows.select(R.scope_restored(F.col("c"), F.col("s")), R.number_limits(F.col("c"), F.col("s"))["text"]).collect()
+    assert [tuple(r) for r in got] == [("In Japan, ané 5 copies", "Ané 5 copies"), ("In Japan, Anna 5 copies", "Anna 5 copies"), ("Sold 5 copies", "Sold about 5 copies")]
+
+
 def test_without_markup(spark):
     rng = random.Random(5)
     parts = ["<!", "<!--", "-->", "--", ">", "<ref", "</ref>", "/>", " a", "<ref>", "\n", "é"]
