@@ -5,6 +5,8 @@ Null titles give nulls; a title without numbers, key and movement gives empty li
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,44 +60,77 @@ def _spelled(text: Column, pattern: str, mode: bool) -> Column:
     return F.concat(name, F.lit(" "), F.lower(part(4))) if mode else name
 
 
-def piece_parts(title: Column) -> Column:
-    """(name, alias, catalogs, numbers, key, movement, movement_name, classical) of a title.
+def _held(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value found once however often it is used: conditions over expressions over conditions would find it anew in each place."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    The movement goes first, then catalogue numbers, numbers and the key; what a last bracket holds is another name of
-    the piece unless it is a note on the version.
-    """
+
+def _without_movement(padded: Column) -> Column:
+    """(movement, movement_name, rest) of a title between blanks: the first of the movements that it has, else a numbered and named one at its end."""
     flagged = ["(?iu)" + m for m in MOVEMENTS]
-    padded = F.concat(F.lit(" "), F.trim(title), F.lit(" "))
-    found = [padded.rlike(m) for m in flagged]
     number = lambda m: F.lower(F.regexp_extract(padded, m, 1))
     counted = lambda x: F.coalesce(F.try_element_at(_map(COUNTED), x), x.try_cast("int"))
-    at, rest = F.when(padded.rlike(NAMED_MOVEMENT), counted(number(NAMED_MOVEMENT))), F.when(padded.rlike(NAMED_MOVEMENT), _without_first(padded, NAMED_MOVEMENT)).otherwise(padded)
-    for f, m in zip(reversed(found), reversed(flagged)):
-        at, rest = F.when(f, counted(number(m))).otherwise(at), F.when(f, _without_first(padded, m)).otherwise(rest)
-    name_of = F.when(~F.greatest(*found) & padded.rlike(NAMED_MOVEMENT), F.regexp_extract(padded, NAMED_MOVEMENT, 2))
-
-    def catalogs(t: Column) -> Column:
-        kinds, codes = (F.regexp_extract_all(t, F.lit("(?iu)" + CATALOG), F.lit(i)) for i in (1, 2))
-        spelled = lambda k, c: F.concat_ws(" ", F.try_element_at(_map(CATALOG_NAMES), F.regexp_replace(F.lower(k), r"\.$", "")), F.regexp_replace(c, r"\s+", ""))
-        return F.zip_with(kinds, codes, spelled)
-
-    bare = F.regexp_replace(rest, "(?iu)" + CATALOG, " ")
-    codes = F.regexp_extract_all(rest, F.lit("(?iu)" + CATALOG), F.lit(2))
-    numbers = F.array_distinct(F.concat(F.flatten(F.transform(codes, lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)))), F.regexp_extract_all(bare, F.lit("(?iu)" + NUMBERED), F.lit(1))))
-    plain = F.regexp_replace(bare, "(?iu)" + NUMBERED, " ")
+    state = lambda at, name, rest: F.struct(at.cast("int").alias("movement"), name.cast("string").alias("movement_name"), rest.alias("rest"))
+    named = state(counted(number(NAMED_MOVEMENT)), F.regexp_extract(padded, NAMED_MOVEMENT, 2), _without_first(padded, NAMED_MOVEMENT))
+    out = F.when(padded.rlike(NAMED_MOVEMENT), named).otherwise(state(F.lit(None), F.lit(None), padded))
+    for m in reversed(flagged):
+        out = F.when(padded.rlike(m), state(counted(number(m)), F.lit(None), _without_first(padded, m))).otherwise(out)
+    return out
+
+
+def _catalogs(text: Column) -> Column:
+    kinds, codes = (F.regexp_extract_all(text, F.lit("(?iu)" + CATALOG), F.lit(i)) for i in (1, 2))
+    spelled = lambda k, c: F.concat_ws(" ", F.try_element_at(_map(CATALOG_NAMES), F.regexp_replace(F.lower(k), r"\.$", "")), F.regexp_replace(c, r"\s+", ""))
+    return F.zip_with(kinds, codes, spelled)
+
+
+def _keyed(plain: Column) -> Column:
+    """(key, left): the key of a title, and the title without it."""
     with_mode = "(?iu)" + KEY_MODE
-    moded = plain.rlike(with_mode)
-    key = F.when(moded, _spelled(plain, with_mode, True)).when(plain.rlike(KEY_IN), _spelled(plain, KEY_IN, False))
-    left = F.trim(F.when(moded, _without_first(plain, with_mode)).otherwise(_without_first(plain, KEY_IN)))
+    state = lambda key, left: F.struct(key.alias("key"), F.trim(left).alias("left"))
+    moded = state(_spelled(plain, with_mode, True), _without_first(plain, with_mode))
+    without = state(_spelled(plain, KEY_IN, False), _without_first(plain, KEY_IN))
+    return F.when(plain.rlike(with_mode), moded).when(plain.rlike(KEY_IN), without).otherwise(state(F.lit(None).cast("string"), plain))
+
+
+def _bracketed(left: Column) -> Column:
+    """(name, alias): a title without its last bracket, and what that holds unless it is a note on the version."""
     bracket = r"^(.*?)\s*[(\[]([^)\]]+)[)\]]\s*$"
-    held = F.regexp_extract(left, bracket, 2)
-    inner = _stripped(F.regexp_replace(held, r"(?i)(?:^|[\s,;:])from\s.*$", ""))
-    alias = F.when((inner != "") & ~N.is_version_note(held), inner)
-    head = F.when((held != "") & (alias.isNotNull() | ~inner.rlike(r"[\p{L}\p{N}]")), F.regexp_extract(left, bracket, 1)).otherwise(left)
-    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"\s*[(\[]\s*[)\]]\s*", " "), r"\s*,\s*(?:,\s*)+", ", "), r"\s+", " ")
-    name, kept = _stripped(tidy), catalogs(rest)
-    classical = (F.size(kept) > 0) | key.isNotNull() | at.isNotNull() | name_of.isNotNull() | name.rlike("(?iu)" + FORMS)
-    return F.struct(name.alias("name"), alias.alias("alias"), kept.alias("catalogs"), numbers.alias("numbers"), key.alias("key"), at.alias("movement"), name_of.alias("movement_name"), classical.alias("classical"))
+
+    def parted(held: Column) -> Column:
+        def named(inner: Column) -> Column:
+            alias = F.when((inner != "") & ~N.is_version_note(held), inner)
+            head = F.when((held != "") & (alias.isNotNull() | ~inner.rlike(r"[\p{L}\p{N}]")), F.regexp_extract(left, bracket, 1)).otherwise(left)
+            tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"\s*[(\[]\s*[)\]]\s*", " "), r"\s*,\s*(?:,\s*)+", ", "), r"\s+", " ")
+            return F.struct(_stripped(tidy).alias("name"), alias.alias("alias"))
+
+        return _held(_stripped(F.regexp_replace(held, r"(?i)(?:^|[\s,;:])from\s.*$", "")), named)
+
+    return _held(F.regexp_extract(left, bracket, 2), parted)
+
+
+def piece_parts(title: Column) -> Column:
+    """(name, alias, catalogs, numbers, key, movement, movement_name, classical) of a title.
+
+    The movement goes first, then catalogue numbers, numbers and the key; what a last bracket holds is another name of
+    the piece unless it is a note on the version. Each step is found once and handed on.
+    """
+
+    def after_movement(m: Column) -> Column:
+        def after_catalogs(bare: Column) -> Column:
+            codes = F.regexp_extract_all(m["rest"], F.lit("(?iu)" + CATALOG), F.lit(2))
+            numbers = F.array_distinct(F.concat(F.flatten(F.transform(codes, lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)))), F.regexp_extract_all(bare, F.lit("(?iu)" + NUMBERED), F.lit(1))))
+            after_key = lambda k: _held(_bracketed(k["left"]), lambda b: _held(_catalogs(m["rest"]), lambda c: parts(k["key"], b, c)))
+
+            def parts(key: Column, b: Column, kept: Column) -> Column:
+                classical = (F.size(kept) > 0) | key.isNotNull() | m["movement"].isNotNull() | m["movement_name"].isNotNull() | b["name"].rlike("(?iu)" + FORMS)
+                return F.struct(b["name"].alias("name"), b["alias"].alias("alias"), kept.alias("catalogs"), numbers.alias("numbers"), key.alias("key"), m["movement"].alias("movement"), m["movement_name"].alias("movement_name"), classical.alias("classical"))
+
+            return _held(_held(F.regexp_replace(bare, "(?iu)" + NUMBERED, " "), _keyed), after_key)
+
+        return _held(F.regexp_replace(m["rest"], "(?iu)" + CATALOG, " "), after_catalogs)
+
+    return _held(_held(F.concat(F.lit(" "), F.trim(title), F.lit(" ")), _without_movement), after_movement)
 
 
 def one_spelling(text: Column) -> Column:

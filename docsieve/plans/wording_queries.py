@@ -13,6 +13,7 @@ from docsieve.functions import frames as R
 from docsieve.functions import wording as W
 from docsieve.operators import works as K
 from docsieve.plans.queries import query, table
+from docsieve.sources.shared import dealt
 
 
 def told(pattern: str, text: str = "t") -> str:
@@ -144,7 +145,8 @@ select p_partkey, case k when 0 then n || ' Sonata' when 1 then 'Nocturne' when
  case k when 0 then 'E-flat major' when 2 then 'C-sharp minor' when 4 then 'D' when 6 then 'D minor' end key, case k when 2 then 3 when 3 then 2 when 7 then 18 when 8 then 3 end movement, case k when 2 then 'Rondo' end movement_name, k not in (5, 9) or formal classical from a""")
 def classical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pieces read apart."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", C.piece_parts(F.expr(PIECE)).alias("c"))
+    titles = dealt(table(spark, sf_dir, "part").select("p_partkey", F.expr(PIECE).alias("title")), "p_partkey")
+    rows = titles.select("p_partkey", C.piece_parts(F.col("title")).alias("c"))
     return rows.select(
         "p_partkey", F.col("c.name").alias("piece"), "c.alias", F.array_join("c.catalogs", " ").alias("catalogs"), F.array_join("c.numbers", " ").alias("numbers"), "c.key", F.col("c.movement").cast("int").alias("movement"), "c.movement_name", "c.classical"
     )
