@@ -10,6 +10,7 @@ from docsieve.functions import grounding as G
 from docsieve.functions import text as T
 from docsieve.functions.markup import plain
 from docsieve.operators import selection as S
+from docsieve.operators import set_pairs as P
 from docsieve.operators import similarity as M
 from docsieve.operators import state as K
 from docsieve.operators.screening import screen
@@ -217,6 +218,25 @@ def test_near_duplicates_of_all_documents(spark, monkeypatch):
         assert sorted(tuple(r) for r in M.near_duplicate_documents(docs).collect()) == want
 
 
+def test_near_duplicates_shuffle_sets_and_no_candidates(spark, monkeypatch):
+    """Sets of one frequent token make candidates of all pairs, which no exchange may hold; cells of small batches, large ones and null ones."""
+    rows = [(i, f"b{i % 3}" if i % 10 else None, f"common usual xxx{i} yyy{i} " + ("same thing here too and more of it" if i % 7 == 0 else "")) for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id int, g string, text string")
+    sets = {(g, i): frozenset(w for w in t.split() if len(w) > 2 and w != "and") for i, g, t in rows if g is not None}
+    want = []
+    for (g, i), x in sets.items():
+        for (h, j), y in sets.items():
+            if g == h and i < j and (2 * len(x & y) >= len(x | y) or 10 * len(x & y) >= 7 * min(len(x), len(y))):
+                want.append((g, i, j, len(x & y), len(x), len(y)))
+    assert len(want) > 50
+    for hot, most in ((4096, 4_000_000), (5, 4_000_000), (4096, 50)):
+        monkeypatch.setattr(M, "HOT", hot)
+        monkeypatch.setattr(P, "MOST", most)
+        pairs = M.near_duplicate_pairs(docs, "g")
+        assert sorted(tuple(r) for r in pairs.collect()) == sorted(want) and dict(pairs.dtypes)["a"] == "int"
+        assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString() and "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_all_orders_and_customers_take_part(spark):
     import __spark_entry__ as entry
 
