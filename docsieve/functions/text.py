@@ -93,12 +93,21 @@ def without_markers(text: Column) -> Column:
     return F.regexp_replace(bare, '^"(.*)"$', "$1")
 
 
+class _Bases(dict):
+    """What is left of a character without its combining marks: marks never change places with what is none, so one by one is as good."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        return self[code]
+
+
 @F.pandas_udf(StringType())
 def fold_case(text: pd.Series) -> pd.Series:
     """Lower case without combining marks (Spark has no Unicode normalisation of its own)."""
+    bases = _Bases()
 
     def fold(x: str | None) -> str | None:
-        return None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower()
+        return x if x is None else x.lower() if x.isascii() else x.translate(bases).lower()
 
     return text.map(fold)
 

@@ -3,7 +3,9 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from docsieve.operators import loose_names as L
 
@@ -62,3 +64,49 @@ def test_named_loosely_equals_all_pairs(spark, monkeypatch, small):
     assert set(got) == {(i, n) for i, t in rows if t for n in names if loosely(t, n)}
     assert all(exact == (f" {n} " in f" {dict(rows)[i]} ") for (i, n), exact in got.items()) and {True, False} == set(got.values())
     assert L.named_loosely(df, df.where("false"), "id", "t", "t").count() == 0
+
+
+@pytest.mark.parametrize(("words", "places"), [(50_000, 250_000), (4, 3), (1, 1)])
+def test_sought_runs_hold_all_names(monkeypatch, words, places):
+    monkeypatch.setattr(L, "WORDS", words)
+    monkeypatch.setattr(L, "PLACES", places)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randint(1, 9)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(60)})
+
+    def off(s):
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(s))
+            s = s[:i] + rng.choice(["", "a", "é", " "]) + s[i + rng.randint(0, 1) :]
+        return " ".join(s.split())
+
+    texts = [" ".join(rng.choice([off(rng.choice(names)), word()]) for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, ""]
+    rows = [Row(name=x, n=len(x.split()), b=(b := x.replace(" ", "")), e=max(1, len(b) * 15 // 100) if len(b) >= 5 else -1) for x in names]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "t"])
+    got = {tuple(r.values()) for b in L._Sought(rows).runs(iter([batch])) for r in b.to_pylist()}
+    assert all(f" {run} " in f" {texts[i]} " for i, _, run in got)
+    for i, text in enumerate(texts):
+        for name in names:
+            assert not text or not loosely(text, name) or any((i, name) == x[:2] and loosely(x[2], name) for x in got), (text, name)
+            assert not text or f" {name} " not in f" {text} " or (i, name, name) in got
+
+
+def test_runs_of_texts_are_no_rows(spark):
+    texts = spark.createDataFrame([(1, "luis f rodrigues and the moon light"), (2, "b c d")], "id long, t string")
+    found = L.named_loosely(texts, spark.createDataFrame([("luis f rodriguez",), ("moonlight",)], "nm string"), "id", "t", "nm")
+    assert sorted(map(tuple, found.collect())) == [(1, "luis f rodriguez", False), (1, "moonlight", False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_folded_one_by_one():
+    import unicodedata
+
+    import pandas as pd
+
+    from docsieve.functions.text import fold_case
+
+    rng = random.Random(6)
+    texts = [None, "", "Plain ASCII", "ΟΔΟΣ Ὀδυσσεύς", "İstanbul", "각한", "a\u0323\u0307b"] + ["".join(chr(rng.choice([rng.randint(32, 0x2FFF), rng.randint(0x300, 0x36F), rng.randint(0xAC00, 0x1FFFF)])) for _ in range(30)) for _ in range(2000)]
+    want = [None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)).lower() for x in texts]
+    assert list(fold_case.func(pd.Series(texts, dtype=object))) == want
