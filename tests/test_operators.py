@@ -237,6 +237,15 @@ def test_near_duplicates_shuffle_sets_and_no_candidates(spark, monkeypatch):
         assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString() and "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_sets_of_one_batch_among_many_are_not_copied(spark):
+    """Batches that are a small part of the work are one cell, however many sets they have; one that is most of it is dealt over several."""
+    sets = lambda rows: spark.createDataFrame([(f"b{b}", i, f"a{i} b", 2) for b, i in rows], "batch string, id long, tokens string, n int")
+    even = P.cells(sets([(b, 100 * b + i) for b in range(40) for i in range(12)]), 5).collect()
+    assert len(even) == 40 * 12 and all(len({r.cell for r in even if r.batch == b}) == 1 for b in {r.batch for r in even}) and len({r.cell for r in even}) == 40
+    uneven = P.cells(sets([(0, i) for i in range(60)] + [(b, 100 * b) for b in range(1, 9)]), 5).collect()
+    assert len({r.cell for r in uneven if r.batch == "b0"}) > 3 and len({r.cell for r in uneven if r.batch != "b0"}) == 1
+
+
 def test_all_orders_and_customers_take_part(spark):
     import __spark_entry__ as entry
 
