@@ -19,6 +19,8 @@ STANDARD = (
     ("notice", ("licensed", "released")),
 )
 
+#: What SQL takes off at the ends of a text: blanks of all widths, no tabs.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 SENTENCE_BREAK = r"""(?<=[.!?]["”]?)\s+(?=["“]?\p{Lu})|\n+"""
 
 
@@ -45,12 +47,12 @@ def content_tokens(text: Column) -> Column:
 
 def sentences_of(text: Column) -> Column:
     """Sentences: parts between line breaks and full stops followed by a blank, trimmed, none empty."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n|\. "), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n|\. "), lambda s: F.trim(s, F.lit(BLANKS))), lambda s: s != "")
 
 
 def full_sentences(text: Column) -> Column:
     """Sentences: parts between line breaks and between an end mark and a blank before a capital, trimmed, none empty."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), lambda s: F.trim(s, F.lit(BLANKS))), lambda s: s != "")
 
 
 def too_similar(both: Column, a: Column, b: Column) -> Column:
@@ -112,6 +114,21 @@ def fold_case(text: pd.Series) -> pd.Series:
     return text.map(fold)
 
 
+class _PlainBases(dict):
+    """What SQL leaves of a character without accents, in lower case: marks of all kinds go, and what is left is composed."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = unicodedata.normalize("NFC", "".join(c.lower() for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c)[0] != "M"))
+        return self[code]
+
+
+@F.pandas_udf(StringType())
+def plain_case(text: pd.Series) -> pd.Series:
+    """fold_case with the marks and capitals of SQL, for which a sigma at the end of a word is no other one."""
+    bases = _PlainBases()
+    return text.map(lambda x: x if x is None else x.lower() if x.isascii() else x.translate(bases))
+
+
 def luminance(red: Column, green: Column, blue: Column) -> Column:
     """Relative luminance of an sRGB colour with components 0 to 255."""
     line = lambda c: F.when(c / 255 <= 0.03928, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4)))

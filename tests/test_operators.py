@@ -264,3 +264,18 @@ def test_title_keys_read_whole_titles(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["title_keys_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [(r.key, r.year) for r in got] == [(f"{long} one 1987", 1987), (f"{long} two", None)]
+
+
+def test_title_keys_are_those_of_the_sql(spark, tmp_path):
+    """A letter between two years ends the first only; blanks, ends, marks and capitals are as in the SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    titles = ["token 2e1999a1888b1777c 5", "1999 1888 (live)", "x 1888", "a b (live)\u2028", "a (live)\x0b", "ΟΔΟΣ Α\u0903β (live)\u00a0", "\u3000", "a\u20dd 각", None]
+    spark.createDataFrame(list(enumerate(titles)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("title_keys",):
+        got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).orderBy("doc_id").collect()]
+        assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall()) and [r[2] for r in got[:3]] == [1777, 1999, 1888] and len(got) == 7
