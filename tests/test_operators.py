@@ -276,6 +276,6 @@ def test_title_keys_are_those_of_the_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(titles)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    for name in ("title_keys",):
+    for name in ("title_keys", "title_keys_whole"):
         got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).orderBy("doc_id").collect()]
         assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall()) and [r[2] for r in got[:3]] == [1777, 1999, 1888] and len(got) == 7
