@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions.frames import QUOTED, REGIONS
 from docsieve.functions.grounding import LONGEST, screen_reason
-from docsieve.functions.text import ascii_edges
+from docsieve.functions.text import BLANKS, ascii_edges
 from docsieve.functions.wording import quoted
 
 #: Patterns and words that the rules are specified with.
@@ -81,8 +81,11 @@ def _figures(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
 
 
-def number_limits(caption: Column, sentence: Column) -> Column:
-    """(text, dropped): a caption with "about" or the like before the numbers that the sentence limits; why, where the place is not clear."""
+def number_limits(caption: Column, sentence: Column, inside: bool = False) -> Column:
+    """(text, dropped): a caption with "about" or the like before the numbers that the sentence limits; why, where the place is not clear.
+
+    With `inside` also where a number's signs stand within longer ones, as a plain replacement of text in SQL puts it.
+    """
     zipped = F.arrays_zip(F.regexp_extract_all(sentence, F.lit(ascii_edges(NUMBER_LIMIT)), F.lit(1)).alias("limit"), F.regexp_extract_all(sentence, F.lit(ascii_edges(NUMBER_LIMIT)), F.lit(2)).alias("number"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -92,8 +95,12 @@ def number_limits(caption: Column, sentence: Column) -> Column:
         limited = F.exists(hits, lambda h: F.regexp_like(out, F.concat(F.lit(ascii_edges(ANY_NUMBER_LIMIT)), quoted(h))))
         word = F.when(limit == "estimated", F.lit("an estimated")).otherwise(limit)
         word = F.when(F.startswith(out, hit), F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))).otherwise(word)
-        at = F.concat(F.lit(r"(?<![\d$£€])(?<!\d[.,])"), quoted(hit))
-        put = F.regexp_replace(out, at, F.concat(word, F.lit(" "), F.replace(hit, F.lit("$"), F.lit("\\$"))))
+        with_limit = lambda n: F.concat(word, F.lit(" "), n)
+        if inside:
+            put = F.replace(out, hit, with_limit(hit))
+        else:
+            parts, numbers = F.split(out, NUMBER), F.regexp_extract_all(out, F.lit(NUMBER), F.lit(0))
+            put = F.array_join(F.zip_with(parts, numbers, lambda p, n: F.concat(p, F.when(_bare(n) == _bare(x["number"]), with_limit(n)).otherwise(F.coalesce(n, F.lit(""))))), "")
         why = F.concat(F.lit('"'), x["limit"], F.lit(" "), x["number"], F.lit('" without "'), x["limit"], F.lit('"'))
         skip = acc["dropped"].isNotNull() | (F.size(hits) == 0) | limited
         return F.when(skip, acc).when(F.size(hits) > 1, _state(out, why)).otherwise(_state(put))
@@ -117,7 +124,7 @@ def scope_adverbs(start: Column, sentence: Column) -> Column:
         told = F.exists(content, lambda w: _times(out, _standing(w)) > 0)
         first = F.get(content, F.lit(0))
         clear = (first == F.get(words, F.lit(0))) & (_times(out, _standing(first)) == 1) & ~F.regexp_like(out, F.concat(F.lit("(?iu)^"), quoted(first), F.lit(r"(?![\p{L}\p{N}])"))) & (word != "estimated")
-        put = F.regexp_replace(out, F.concat(F.lit("("), _standing(first), F.lit(")")), F.concat(word, F.lit(" $1")))
+        put = F.trim(F.regexp_replace(out, F.concat(F.lit("("), _standing(first), F.lit(")")), F.concat(word, F.lit(" $1"))), F.lit(BLANKS))
         why = F.concat(F.lit('"'), word, F.lit('" left out'))
         skip = acc["dropped"].isNotNull() | has | number | ~told
         return F.when(skip, acc).when(clear, _state(put)).otherwise(_state(out, why))
@@ -170,18 +177,18 @@ def scope_restored(caption: Column, sentence: Column) -> Column:
     return F.coalesce(late, text)
 
 
-def repaired(told: DataFrame, caption_id: str, caption: str) -> DataFrame:
+def repaired(told: DataFrame, caption_id: str, caption: str, inside: bool = False) -> DataFrame:
     """(caption_id, text, dropped, reason): captions with dropped limits put back from the sentence that holds at least half of their tokens.
 
     told is of `told_sentences`; of equal shares the first sentence counts, and sentences below 20 characters do not. Scope comes first, then limits of
     numbers, then adverbs; quotes of the sentence limit nothing. Where no place is clear, dropped says why and the text
     is as given, and so it is where it would be too long ("too long with its limit", unless only scope was put back).
-    What was changed is screened again against its sentence: reason is null when it passes, and for unchanged captions.
+    `inside` is that of `number_limits`. What was changed is screened again against its sentence: reason is null when it passes, and for unchanged captions.
     """
     near = told.where(F.length("sentence") >= 20).groupBy(caption_id).agg(F.max(F.struct("share", (-F.col("pos")).alias("at"), "sentence", F.col(caption).alias("c"))).alias("m"))
     rows = near.where("m.share >= 0.5").select(caption_id, F.col("m.c").alias("c"), F.col("m.sentence").alias("s"))
     rows = rows.withColumn("scoped", scope_restored(F.col("c"), F.col("s"))).withColumn("scoped", F.when(F.length("scoped") <= LONGEST, F.col("scoped")).otherwise(F.col("c")))
-    rows = rows.withColumn("q", F.regexp_replace("s", QUOTED, " ")).withColumn("n", number_limits(F.col("scoped"), F.col("q"))).withColumn("r", scope_adverbs(F.col("n"), F.col("q")))
+    rows = rows.withColumn("q", F.regexp_replace("s", QUOTED, " ")).withColumn("n", number_limits(F.col("scoped"), F.col("q"), inside)).withColumn("r", scope_adverbs(F.col("n"), F.col("q")))
     dropped = F.coalesce(F.col("r.dropped"), F.when(F.length("r.text") > LONGEST, "too long with its limit"))
     rows = rows.select(caption_id, "c", "s", F.when(dropped.isNull(), F.col("r.text")).otherwise(F.col("c")).alias("text"), dropped.alias("dropped"))
     return rows.select(caption_id, "text", "dropped", F.when(F.col("text") != F.col("c"), screen_reason(F.col("text"), F.col("s"))).alias("reason"))

@@ -44,6 +44,31 @@ def test_words_end_before_letters_with_accents(spark):
     assert [tuple(r) for r in got] == [("In Japan, ané 5 copies", "Ané 5 copies"), ("In Japan, Anna 5 copies", "Anna 5 copies"), ("Sold 5 copies", "Sold about 5 copies")]
 
 
+def test_limits_stand_before_whole_numbers(spark):
+    """A number's signs within longer ones are none of it; its plain replacement, as in the SQL, is asked for. What an adverb is put into has no blanks at its ends."""
+    rows = spark.createDataFrame([("Sold 7012, 8701 and 70 of 1.70", "About 70 were sold"), ("70 of 7012", "About 70 were sold"), ("Cost $70", "About $70 was paid")], "c string, s string")
+    got = rows.select(R.number_limits(F.col("c"), F.col("s"))["text"], R.number_limits(F.col("c"), F.col("s"), inside=True)["text"]).collect()
+    assert [r[0] for r in got] == ["Sold 7012, 8701 and about 70 of 1.70", "About 70 of 7012", "Cost about $70"]
+    assert [r[1] for r in got] == ["Sold about 7012, 8about 701 and about 70 of 1.about 70", "About 70 of About 7012", "Cost about $70"]
+    told = spark.createDataFrame([("The band wore lanterns ",)], "c string")
+    assert told.select(R.scope_adverbs(F.struct(F.col("c").alias("text"), F.lit(None).cast("string").alias("dropped")), F.lit("Usually band people wore lanterns"))["text"]).first()[0] == "The usually band wore lanterns"
+
+
+def test_repaired_captions_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["Otto sang loudly. Reer the 46403707022 horns and lamps ndsh. The end of it", "Otto sang loudly. Reer the lanterns and lamps ndsh \nThe end of it"]
+    docs = [(42 * 10 * j + i, t) for j, t in enumerate(texts) for i in range(42)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: (r.text, r.dropped) for r in entry.queries()["repaired_captions"](spark, str(tmp_path)).collect()}
+    assert got == {i: (t, d) for i, t, d in con.execute(entry.oracle_sql()["repaired_captions"]).fetchall()}
+    assert any("an estimated 7022" in t for t, _ in got.values()) and any("usually" in t for t, _ in got.values())
+
+
 def test_without_markup(spark):
     rng = random.Random(5)
     parts = ["<!", "<!--", "-->", "--", ">", "<ref", "</ref>", "/>", " a", "<ref>", "\n", "é"]
