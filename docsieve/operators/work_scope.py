@@ -20,7 +20,7 @@ from docsieve.functions.relevance import qualifier_of
 from docsieve.functions.text import content_tokens, full_sentences
 from docsieve.functions.titles import normal_title, padded
 from docsieve.functions.wikitext import marked, unmarked
-from docsieve.operators.sections import heading_tree, within_any
+from docsieve.operators.sections import HEADING, heading_tree
 from docsieve.operators.state import scan
 from docsieve.sources.shared import written
 
@@ -94,7 +94,7 @@ def requested_names(pages: DataFrame, key: str, game: str, page: str, sentences:
 
 
 def _judged_works(sentences: DataFrame, about: DataFrame, key: str) -> DataFrame:
-    """(key, para, k, i, title, name, target, requested, related): every italic title, and what it is to the work asked for."""
+    """(key, para, k, i, title, name, target, full, requested, related): every italic title, its normal form, and what it is to the work asked for."""
     rows = sentences.select(key, "para", "k", F.posexplode("works").alias("i", "w")).select(key, "para", "k", "i", "w.title", "w.target")
     rows = rows.select("*", _key_of(F.col("title")).alias("name"), normal_title(F.col("title")).alias("_full"), _key_of(F.col("target")).alias("_to"), _key_of(work_of_page(F.col("target"))).alias("_of"), F.lower(qualifier_of(F.col("target"))).alias("_q"))
     rows = rows.join(about.hint("merge"), key).withColumn("related", F.arrays_overlap(_distinctive(F.col("_full")), F.col("own")))
@@ -105,23 +105,39 @@ def _judged_works(sentences: DataFrame, about: DataFrame, key: str) -> DataFrame
     album = F.exists("names", lambda n: F.contains(n, F.lit(" ")) & inside(n)) & F.col("title").rlike(MUSIC_ALBUM) & ~F.col("title").rlike(NOT_MUSIC_ALBUM)
     album = album & ~F.exists(F.coalesce("games", F.array().cast("array<string>")), inside)
     linked = known(F.col("_to")) | (known(F.col("_of")) & ((F.col("_q") == "") | (F.col("_q") == F.col("qualifier"))))
-    return rows.select(key, "para", "k", "i", "title", "name", "target", (F.when(F.col("target") != "", linked).otherwise(known(F.col("name"))) | album).alias("requested"), "related")
+    return rows.select(key, "para", "k", "i", "title", "name", "target", F.col("_full").alias("full"), (F.when(F.col("target") != "", linked).otherwise(known(F.col("name"))) | album).alias("requested"), "related")
+
+
+def best_places(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(line, k, para, at): of (is plain, line or paragraph, k, tokens in order between blanks) of a page, wikitext first, for each plain sentence
+    the first wikitext sentence with the largest share of common tokens, of half the larger set at least. Sets meet by the rarest
+    tokens of the plain one, of which one has to be common. Held are the page's own sets, each once."""
+    sets, index, known = {}, {}, {}
+    for plain, line, k, tokens in rows:
+        if not plain:
+            if tokens not in sets:
+                sets[tokens] = (line, k, frozenset(tokens.split(" ")))
+                for w in sets[tokens][2]:
+                    index.setdefault(w, []).append(tokens)
+            continue
+        if tokens not in known:
+            own = frozenset(tokens.split(" "))
+            probes = sorted(own, key=lambda w: (len(index.get(w, ())), w))[: len(own) - -(-len(own) // 2) + 1]
+            met = (sets[u] for u in {u for w in probes for u in index.get(w, ())})
+            shares = ((-len(own & u) / max(len(own), len(u)), para, at) for para, at, u in met)
+            known[tokens] = min((x for x in shares if x[0] <= -0.5), default=None)
+        if known[tokens]:
+            yield line, k, *known[tokens][1:]
 
 
 def _aligned(plain: DataFrame, wiki: DataFrame, key: str) -> DataFrame:
-    """(key, t, para, k): for each distinct token set t of plain sentences the first wikitext sentence with the largest share of
-    common tokens, of half the larger set at least. Sets meet by the rarest tokens of the plain one, of which one has to be common."""
-    ours = plain.where(F.size("t") >= 4).select(key, "t").distinct()
-    theirs = wiki.groupBy(key, F.array_sort(content_tokens(F.col("text"))).alias("u")).agg(F.min(F.struct("para", "k")).alias("at"))
-    each = theirs.select(key, "at", "u", F.explode("u").alias("token"))
-    df = each.groupBy(key, "token").agg(F.count("*").alias("df"))
-    mine = ours.select(key, "t", F.explode("t").alias("token")).join(df.hint("merge"), [key, "token"], "left").groupBy(key, "t")
-    ranked = mine.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("r"))
-    probes = ranked.select(key, "t", F.explode(F.slice("r", 1, F.size("t") - F.ceil(F.size("t") / 2).cast("int") + 1)).alias("p")).where("p.df > 0").select(key, "t", F.col("p.token").alias("token"))
-    pairs = probes.join(each.select(key, "token", "at", "u").hint("merge"), [key, "token"]).select(key, "t", "at", "u").distinct()
-    share = F.size(F.array_intersect("t", "u")) / F.greatest(F.size("t"), F.size("u"))
-    best = pairs.withColumn("share", share).where("share >= 0.5").groupBy(key, "t").agg(F.min_by("at", F.struct(-F.col("share"), F.col("at"))).alias("at"))
-    return best.select(key, "t", "at.para", "at.k")
+    """(key, line, k, para, at): plain sentences of four tokens at least with their places in the wikitext (best_places). Each sentence's tokens are
+    shuffled once, and neither candidates nor postings are."""
+    tokens = lambda c: F.array_sort(content_tokens(F.col(c)))
+    ours = plain.select(key, F.lit(True).alias("plain"), F.col("line").alias("a"), "k", tokens("sentence").alias("t")).where(F.size("t") >= 4)
+    theirs = wiki.select(key, F.lit(False).alias("plain"), F.col("para").alias("a"), "k", tokens("text").alias("t")).where(F.size("t") > 0)
+    events = theirs.union(ours).where(F.col(key).isNotNull()).withColumn("t", F.array_join("t", " "))
+    return scan(events, [key], ["plain", "a", "k", "t"], "line int, k int, para int, at int", best_places)
 
 
 def named_plainly(words: str, names: list[str], longer: list[str], exempt: str) -> tuple[bool, bool]:
@@ -180,24 +196,22 @@ def other_work_sentences(pages: DataFrame, key: str, full: str, markup: str, gam
     titles = works.where("not requested and related").groupBy(key).agg(F.collect_set("name").alias("other_titles"))
     heads = heading_tree(pages.select(key, text.alias("_t")), key, "_t").join(about.hint("merge"), key).join(titles.hint("merge"), key, "left").withColumn("_h", _key_of(F.col("heading")))
     other = (F.array_contains(F.coalesce("other_titles", F.array().cast("array<string>")), F.col("_h")) & ~F.array_contains("names", F.col("_h"))) | (~F.col("asks_edition") & F.col("heading").rlike(EDITION_HEADING))
-    heads = heads.select(key, F.col("from").alias("line"), F.lit(True).alias("is_head"), F.when(other, F.col("to")).alias("until"))
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("line", "s")).join(heads.hint("merge"), [key, "line"], "left")
-    lines = lines.withColumn("in_other", within_any(lines, key, "line", F.col("until"), F.col("until"))).where("is_head is null")
-    plain = lines.select(key, "line", "in_other", F.posexplode(full_sentences(F.col("s"))).alias("k", "sentence")).withColumn("t", F.array_sort(content_tokens(F.col("sentence"))))
+    gone = heads.where(other).groupBy(key).agg(F.collect_list(F.struct("from", "to")).alias("gone"))
+    lines = pages.select(key, text.alias("_t")).join(gone.hint("merge"), key, "left").select(key, "gone", F.posexplode(F.split("_t", "\n")).alias("line", "s")).where(~F.col("s").rlike(HEADING))
+    within = F.exists("gone", lambda g: (F.col("line") >= g["from"]) & (F.col("line") < g["to"]))
+    plain = lines.select(key, "line", F.coalesce(within, F.lit(False)).alias("in_other"), F.posexplode(full_sentences(F.col("s"))).alias("k", "sentence"))
     plain = written(plain, "sentences")
-    held = works.groupBy(key, "para", F.col("k").alias("_k")).agg(F.array_sort(F.collect_list(F.struct("i", "title", "name", "target", "requested", "related"))).alias("works"))
-    found = _aligned(plain, wiki, key).withColumnRenamed("k", "_k").join(held.hint("merge"), [key, "para", "_k"]).select(key, "t", "works")
-    rows = plain.join(about.hint("merge"), key).join(found.hint("merge"), [key, "t"], "left").withColumn("works", F.coalesce("works", F.array().cast("array<struct<i:int,title:string,name:string,target:string,requested:boolean,related:boolean>>")))
+    held = works.groupBy(key, "para", F.col("k").alias("at")).agg(F.array_sort(F.collect_list(F.struct("i", "title", "name", "target", "full", "requested", "related"))).alias("works"))
+    found = _aligned(plain, wiki, key).join(held.hint("merge"), [key, "para", "at"]).select(key, "line", "k", "works")
+    rows = plain.join(found.hint("merge"), [key, "line", "k"], "left").join(about.hint("merge"), key).withColumn("works", F.coalesce("works", F.array().cast("array<struct<i:int,title:string,name:string,target:string,full:string,requested:boolean,related:boolean>>")))
     sentence = F.col("sentence")
     one_word = lambda w: ~F.contains(w["name"], F.lit(" ")) & F.exists("names", lambda n: F.startswith(n, F.concat(w["name"], F.lit(" "))))
     of_series = lambda w: F.rlike(sentence, F.concat(F.lit(r"(?i)\Q"), F.regexp_replace(w["title"], r"\\E", ""), F.lit(r"\E" + OF_SERIES)))
     series = lambda w: F.lower(w["target"]).rlike(r"\b(?:series|franchise)\b") | one_word(w) | of_series(w)
     others = F.exists("works", lambda w: ~w["requested"] & w["related"] & ~series(w))
     rows = rows.withColumn("_w", normal_title(sentence)).withColumn("_names", F.concat("names", F.filter("works", lambda w: w["requested"])["name"]))
-    longer = rows.select(key, "line", "k", F.explode(F.filter("works", lambda w: ~w["requested"])["title"]).alias("x")).select(key, "line", "k", normal_title(F.col("x")).alias("x"))
-    longer = longer.groupBy(key, "line", "k").agg(F.collect_list("x").alias("longer"))
-    rows = rows.join(longer.hint("merge"), [key, "line", "k"], "left")
-    rows = rows.withColumn("_n", _named_plainly("_w", "_names", F.coalesce("longer", F.array().cast("array<string>")), "exempt"))
+    rows = rows.withColumn("longer", F.filter("works", lambda w: ~w["requested"])["full"])
+    rows = rows.withColumn("_n", _named_plainly("_w", "_names", "longer", "exempt"))
     rows = rows.select(
         key, "line", "k", "sentence", "in_other", others.alias("others"), "_n.clean", "_n.edition", sentence.rlike(SUBJECT_LED).alias("subject_led"),
         F.when(~F.col("asks_edition"), sentence.rlike(EDITION_LED)).alias("edition_led"), sentence.rlike(LEANS_BACK).alias("leans"), (F.size("works") > 0).alias("any_work"),

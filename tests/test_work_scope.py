@@ -139,3 +139,25 @@ def test_no_table_of_pages_is_broadcast(spark):
     df = spark.createDataFrame([(i, "Lake Song is a game. It has Moon Party fans in it.", "''Lake Song'' is a game. It has ''Moon Party'' fans in it.", "Lake Song", "Lake Song") for i in range(40)], "id long, full string, markup string, game string, page string")
     plan = W.other_work_sentences(df, "id", "full", "markup", "game", "page")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_aligned_shuffles_sentences_once(spark):
+    """Places equal those of all pairs, and no tokens, candidates or postings are exchanged one by one."""
+    rng = random.Random(8)
+    some = lambda: " ".join(rng.choices([f"word{i}" for i in range(14)] + ["né"], k=rng.randint(1, 9)))
+    wiki = [(i, p, k, some()) for i in range(12) for p in range(6) for k in range(3)]
+    ours = [(i, p, k, some()) for i in range(13) for p in range(8) for k in range(4)]
+    wiki.append((None, 0, 0, "word1 word2 word3 word4"))
+    ours.append((None, 0, 0, "word1 word2 word3 word4"))
+    w = spark.createDataFrame(wiki, "id long, para int, k int, text string").repartition(3)
+    p = spark.createDataFrame(ours, "id long, line int, k int, sentence string").repartition(3)
+    out = W._aligned(p, w, "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for i, line, k, s in ours:
+        t = {x for x in s.split() if len(x) > 2}
+        fits = [(len(t & u) / max(len(t), len(u)), -para, -at) for j, para, at, x in wiki if i is not None and j == i and len(t) >= 4 and (u := {y for y in x.split() if len(y) > 2})]
+        best = max(fits, default=(0, 0, 0))
+        want |= {(i, line, k, -best[1], -best[2])} if best[0] >= 0.5 else set()
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 50
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
