@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,26 @@ def test_sets_of_one_batch_among_many_are_not_copied(spark):
     assert len({r.cell for r in uneven if r.batch == "b0"}) > 3 and len({r.cell for r in uneven if r.batch != "b0"}) == 1
 
 
+def test_sets_of_one_corpus_are_written_once(spark, monkeypatch):
+    """However many blocks the sets make, each is in one of them, and pairs are those of all sets."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.sample([f"word{i}" for i in range(30)], rng.randint(1, 12))) for _ in range(160)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = {}
+    for i, t in enumerate(texts):
+        held.setdefault(frozenset(t.split()), i)
+    held = [(i, x) for x, i in held.items()]
+    want = sorted((min(i, j), max(i, j), len(x & y)) for k, (i, x) in enumerate(held) for j, y in held[k + 1 :] if 2 * len(x & y) >= len(x | y) or 10 * len(x & y) >= 7 * min(len(x), len(y)))
+    monkeypatch.setattr(P, "MOST", 200)
+    packed, n = P.blocks(M._token_sets(docs, F.lit("")), 4096)
+    assert n >= 5 and sum(len(pa.ipc.open_stream(r.sets).read_all()) for r in packed.collect()) == len(held)
+    out = M.near_duplicate_documents(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert sorted((r.a, r.b, r.both) for r in out.collect()) == want and len(want) > 50
+    assert M.near_duplicate_documents(docs.where("doc_id < 0")).count() == 0
+
+
 def test_all_orders_and_customers_take_part(spark):
     import __spark_entry__ as entry
 
